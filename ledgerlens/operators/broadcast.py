@@ -1,0 +1,48 @@
+"""Broadcast only what is proven small.
+
+``F.broadcast`` is a hint Spark obeys without looking at the size; a side
+that grows with the data would then be collected to the driver and shipped
+to every executor.  :func:`checked_broadcast` counts the side first (a
+bounded count: each task stops after ``max_rows + 1`` rows) and only hints
+the broadcast when the bound holds.  Beyond it the join stays a shuffled
+join, and AQE may still turn it into a broadcast at runtime if the actual
+shuffle output is small.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Dimension tables (journals, accounts, currencies, latest rates, parameter
+# relations) are narrow: a few columns, so this many rows stay in the low
+# tens of megabytes.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def bounded_count(df: DataFrame, bound: int) -> int:
+    """``min(df.count(), bound + 1)`` without scanning past the bound."""
+    return df.limit(bound + 1).count()
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      known_rows: int | None = None) -> DataFrame:
+    """``F.broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+
+    ``known_rows`` skips the count when the caller built ``df`` on the
+    driver and knows its size.
+    """
+    n = known_rows if known_rows is not None else bounded_count(df, max_rows)
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def assert_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
+    """Raise if ``keys`` repeat in ``df`` (a small parameter relation).
+
+    The reports' sums assume one joined row per line for these relations.
+    """
+    dup = df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).count()
+    if dup:
+        raise ValueError(f"{what}: {', '.join(keys)} must be unique")

@@ -1,0 +1,6 @@
+"""Streaming: nothing here on purpose.
+
+The reports read tables as of a date and return a finished result; the
+reference has no stream, watermark or stateful operator.  A caller who wants
+fresh reports re-runs them (they are plain DataFrame plans) on a schedule.
+"""
