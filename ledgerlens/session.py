@@ -45,7 +45,8 @@ def get_spark(app: str = "ledgerlens", master: str | None = None,
         master = f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     if master is not None:
         builder = builder.master(master)
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = (builder.config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in (extra or {}).items():

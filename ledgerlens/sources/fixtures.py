@@ -191,7 +191,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
             o.o_custkey.alias("partner_id"),
             (o.o_custkey % 8).cast("int").alias("currency_id"),
             F.lit(None).cast("int").alias("analytic_account_id"),
-            o.o_orderdate.cast("timestamp").alias("create_date"),
+            o.o_orderdate.alias("create_date"),
         )
 
     def sale_order_line() -> DataFrame:
@@ -201,7 +201,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
                    .when(li.l_returnflag == "N", F.lit(None))
                    .when(li.l_returnflag == "A", F.lit(0).cast(MONEY))
                    .otherwise(qty + F.lit(1)))
-        ship_ts = li.l_shipdate.cast("timestamp")
+        ship_ts = li.l_shipdate
         return li.select(
             _lineitem_key(li).alias("id"),
             li.l_orderkey.alias("order_id"),
