@@ -11,7 +11,8 @@ shuffle output is small.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,25 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     return F.broadcast(df) if n <= max_rows else df
 
 
+def broadcast_small(frames: Mapping[str, DataFrame],
+                    max_rows: int = BROADCAST_MAX_ROWS) -> dict[str, DataFrame]:
+    """:func:`checked_broadcast` for several candidates with a single job.
+
+    The bounded counts of all candidates run as one union (each branch
+    limited to ``max_rows + 1`` rows) grouped by candidate, so a report pays
+    one small sizing job however many dimensions it has.
+    """
+    if not frames:
+        return {}
+    tag = "__bc_name"
+    parts = [df.limit(max_rows + 1).select(F.lit(name).alias(tag))
+             for name, df in frames.items()]
+    sized = reduce(DataFrame.unionAll, parts).groupBy(tag).count().collect()
+    counts = {r[tag]: r["count"] for r in sized}
+    return {name: (F.broadcast(df) if counts.get(name, 0) <= max_rows else df)
+            for name, df in frames.items()}
+
+
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
     """Raise if ``keys`` repeat in ``df`` (a small parameter relation).
 

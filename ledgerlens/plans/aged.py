@@ -34,11 +34,12 @@ from ledgerlens.functions.money import (
     WORK, converted_amount, ratio_or_one, round_by_precision,
 )
 from ledgerlens.functions.text import DEFAULT_TRUST, account_label
-from ledgerlens.operators.broadcast import assert_unique, checked_broadcast
+from ledgerlens.operators.broadcast import assert_unique, broadcast_small, checked_broadcast
 from ledgerlens.operators.latest import latest_rate
 from ledgerlens.operators.periods import period_join
 from ledgerlens.operators.settlement import partial_residual
 from ledgerlens.operators.trust import trust_properties
+from ledgerlens.sources.inline import currency_table as make_currency_table
 from ledgerlens.sources.inline import period_rows, period_table
 
 PERIODS = 6
@@ -63,15 +64,17 @@ def account_sign(account_type: str) -> int:
 
 
 def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
-               account_type: str = "receivable", currency_table: DataFrame | None = None,
+               account_type: str = "receivable",
+               currency_table: DataFrame | Sequence[tuple] | None = None,
                periods: DataFrame | None = None) -> DataFrame:
     """Open lines of ``account_type`` accounts as of ``date_to`` with six
     ageing columns ``period0 .. period5``.
 
-    ``currency_table`` is ``(company_id, rate, precision)`` (one row per
-    company; a company missing from it drops its lines).  ``periods`` is
-    ``(date_start, date_stop, period_index)``; by default the six 30-day
-    buckets ending at ``date_to``.
+    ``currency_table`` is ``(company_id, rate, precision)``, one row per
+    company (a company missing from it drops its lines), given as Python
+    rows (validated and broadcast directly) or as a DataFrame (validated and
+    size-checked).  ``periods`` is ``(date_start, date_stop, period_index)``;
+    by default the six 30-day buckets ending at ``date_to``.
     """
     if currency_table is None:
         raise ValueError("aged_lines needs the company currency table")
@@ -88,17 +91,34 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
                    F.col("code").alias("account_code")))
     journal = tables["account_journal"].select(
         F.col("id").alias("__jr_id"), F.col("currency_id").alias("__jr_currency_id"))
-    ct = currency_table.select(F.col("company_id").alias("__ct_company_id"),
-                               F.col("rate").alias("__company_rate"),
-                               F.col("precision").alias("__precision"))
-    assert_unique(ct, ["__ct_company_id"], "currency table")
+    if isinstance(currency_table, DataFrame):
+        ct_df, ct_rows = currency_table, None
+    else:
+        ct_rows = list(currency_table)
+        ct_df = make_currency_table(spark, ct_rows)  # validates on the driver
+    ct = ct_df.select(F.col("company_id").alias("__ct_company_id"),
+                      F.col("rate").alias("__company_rate"),
+                      F.col("precision").alias("__precision"))
+    rates = latest_rate(tables["res_currency_rate"]).select(
+        F.col("currency_id").alias("__rate_currency_id"), F.col("rate").alias("currency_rate"))
+    trust = trust_properties(tables["ir_property"])
+    partners = tables["res_partner"].select(
+        F.col("id").alias("__p_id"), F.col("name").alias("partner_name"))
+    candidates = {"acc": acc, "journal": journal, "rates": rates, "trust": trust,
+                  "partners": partners}
+    if ct_rows is None:
+        assert_unique(ct, ["__ct_company_id"], "currency table")
+        candidates["ct"] = ct
+    dims = broadcast_small(candidates)
+    if ct_rows is not None:
+        dims["ct"] = checked_broadcast(ct, known_rows=len(ct_rows))
 
     line_cols = aml.columns
     lines = (aml
              .filter(F.col("partner_id").isNotNull())
-             .join(checked_broadcast(acc), F.col("account_id") == F.col("__acc_id"))
-             .join(checked_broadcast(journal), F.col("journal_id") == F.col("__jr_id"))
-             .join(checked_broadcast(ct), F.col("company_id") == F.col("__ct_company_id")))
+             .join(dims["acc"], F.col("account_id") == F.col("__acc_id"))
+             .join(dims["journal"], F.col("journal_id") == F.col("__jr_id"))
+             .join(dims["ct"], F.col("company_id") == F.col("__ct_company_id")))
 
     # 2. settlement as of date_to, then the HAVING test
     settled = partial_residual(tables["account_partial_reconcile"], date_to).select(
@@ -111,16 +131,13 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
         round_by_precision(F.col("balance") - debit + credit, F.col("__precision")) != 0)
 
     # 3. document header, its source order and the latest rate of its currency
-    moves = _move_headers(tables)
+    moves = _move_headers(tables, dims["rates"])
     lines = lines.join(moves, F.col("move_id") == F.col("__mv_id"))
 
     # 4. trust property (left) and partner (inner)
-    trust = checked_broadcast(trust_properties(tables["ir_property"]))
-    lines = lines.join(trust, (F.col("partner_id") == F.col("trust_partner_id"))
+    lines = lines.join(dims["trust"], (F.col("partner_id") == F.col("trust_partner_id"))
                        & (F.col("company_id") == F.col("trust_company_id")), "left")
-    partners = checked_broadcast(tables["res_partner"].select(
-        F.col("id").alias("__p_id"), F.col("name").alias("partner_name")))
-    lines = lines.join(partners, F.col("partner_id") == F.col("__p_id"))
+    lines = lines.join(dims["partners"], F.col("partner_id") == F.col("__p_id"))
 
     # 5. period range join
     report_date = F.coalesce(F.col("date_maturity"), F.col("date"))
@@ -162,16 +179,14 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
     return lines.select(*passthrough, *[explicit[c].alias(c) for c in _EXPLICIT], *buckets)
 
 
-def _move_headers(tables: Mapping[str, DataFrame]) -> DataFrame:
+def _move_headers(tables: Mapping[str, DataFrame], rates: DataFrame) -> DataFrame:
     """Document headers with the source sale order name and the latest rate
-    of the document currency."""
+    of the document currency (``rates``: ``__rate_currency_id, currency_rate``)."""
     mv = tables["account_move"].select(
         F.col("id").alias("__mv_id"), "move_type", F.col("name").alias("move_name"),
         F.col("ref").alias("move_ref"), "amount_residual",
         F.col("currency_id").alias("__mv_currency_id"),
         F.col("x_studio_source_order").alias("__mv_source_order"))
-    rates = checked_broadcast(latest_rate(tables["res_currency_rate"]).select(
-        F.col("currency_id").alias("__rate_currency_id"), F.col("rate").alias("currency_rate")))
     orders = tables["sale_order"].select(F.col("id").alias("__so_id"),
                                          F.col("name").alias("order_no"))
     return (mv.join(rates, F.col("__mv_currency_id") == F.col("__rate_currency_id"), "left")
@@ -224,7 +239,8 @@ def group_by_partner(lines: DataFrame, sort_by: Sequence[Column] | None = None)
 
 
 def aged_by_partner(tables: Mapping[str, DataFrame], date_to: dt.date | str,
-                    account_type: str = "receivable", currency_table: DataFrame | None = None,
+                    account_type: str = "receivable",
+                    currency_table: DataFrame | Sequence[tuple] | None = None,
                     periods: DataFrame | None = None,
                     sort_by: Sequence[Column] | None = None) -> DataFrame:
     """:func:`aged_lines` rolled up per partner (:func:`group_by_partner`)."""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import WORK, converted_amount
 from ledgerlens.functions.text import blank_zero, order_label
-from ledgerlens.operators.broadcast import checked_broadcast
+from ledgerlens.operators.broadcast import broadcast_small
 from ledgerlens.operators.latest import latest_rate_named
 from ledgerlens.operators.trust import trust_properties
 
@@ -66,38 +66,40 @@ def undelivered_lines(tables: Mapping[str, DataFrame],
         F.col("partner_id").alias("partner_id"), F.col("currency_id").alias("__so_currency_id"),
         F.col("analytic_account_id").alias("__so_analytic_account_id"),
         F.col("create_date").alias("__so_create_date"))
-    if isinstance(partner_ids, DataFrame):
-        wanted = checked_broadcast(partner_ids.select(F.col("id").alias("__pf_id")))
-        orders = orders.join(wanted, F.col("partner_id") == F.col("__pf_id"), "left_semi")
-    elif partner_ids is not None:
-        orders = orders.filter(F.col("partner_id").isin(list(partner_ids)))
-
-    partners = checked_broadcast(tables["res_partner"].select(
+    partners = tables["res_partner"].select(
         F.col("id").alias("__p_id"), F.col("name").alias("partner_name"),
-        F.col("display_name").alias("english_name")))
-    rates = checked_broadcast(latest_rate_named(tables["res_currency_rate"],
-                                                tables["res_currency"]).select(
+        F.col("display_name").alias("english_name"))
+    rates = latest_rate_named(tables["res_currency_rate"], tables["res_currency"]).select(
         F.col("currency_id").alias("__rate_currency_id"), F.col("rate").alias("__rate"),
         F.col("currency_name").alias("__rate_name"),
-        F.col("currency_symbol").alias("__rate_symbol")))
-    # Order header with its customer and rate: orders x partner is inner.
-    order_info = (orders
-                  .join(partners, F.col("partner_id") == F.col("__p_id"))
-                  .join(rates, F.col("__so_currency_id") == F.col("__rate_currency_id"), "left")
-                  .drop("__p_id", "__rate_currency_id"))
-
+        F.col("currency_symbol").alias("__rate_symbol"))
     products = (tables["product_product"].select(F.col("id").alias("__prod_id"),
                                                  F.col("product_tmpl_id").alias("__tmpl_ref"))
                 .join(tables["product_template"].select(F.col("id").alias("__tmpl_id"),
                                                         F.col("name").alias("product_code")),
                       F.col("__tmpl_ref") == F.col("__tmpl_id"))
                 .select("__prod_id", "product_code"))
-    trust = checked_broadcast(trust_properties(tables["ir_property"]))
+    trust = trust_properties(tables["ir_property"])
+    candidates = {"partners": partners, "rates": rates, "products": products, "trust": trust}
+    if isinstance(partner_ids, DataFrame):
+        candidates["wanted"] = partner_ids.select(F.col("id").alias("__pf_id"))
+    dims = broadcast_small(candidates)
+
+    if isinstance(partner_ids, DataFrame):
+        orders = orders.join(dims["wanted"], F.col("partner_id") == F.col("__pf_id"), "left_semi")
+    elif partner_ids is not None:
+        orders = orders.filter(F.col("partner_id").isin(list(partner_ids)))
+    # Order header with its customer and rate: orders x partner is inner.
+    order_info = (orders
+                  .join(dims["partners"], F.col("partner_id") == F.col("__p_id"))
+                  .join(dims["rates"], F.col("__so_currency_id") == F.col("__rate_currency_id"),
+                        "left")
+                  .drop("__p_id", "__rate_currency_id"))
 
     lines = (sol
-             .join(checked_broadcast(products), F.col("product_id") == F.col("__prod_id"))
+             .join(dims["products"], F.col("product_id") == F.col("__prod_id"))
              .join(order_info, F.col("order_id") == F.col("__so_id"))
-             .join(trust, (F.col("partner_id") == F.col("trust_partner_id"))
+             .join(dims["trust"], (F.col("partner_id") == F.col("trust_partner_id"))
                    & (F.col("company_id") == F.col("trust_company_id")), "left"))
     if dedupe:
         lines = lines.dropDuplicates(["id", "__so_id", "partner_id", "trust_property_id"])

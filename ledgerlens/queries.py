@@ -53,8 +53,9 @@ def _tables(spark: SparkSession, sf_dir: str):
     return fixture_tables(spark, sf_dir)
 
 
-def _ct(spark: SparkSession) -> DataFrame:
-    return currency_table(spark, CURRENCY_TABLE_ROWS)
+def _ct(spark: SparkSession) -> list[tuple]:
+    """The fixture's company currency table, as report parameter rows."""
+    return list(CURRENCY_TABLE_ROWS)
 
 
 def q_latest_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,8 @@ def q_round_by_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     (ties on both signs at precisions 0, 2 and 3)."""
     t = _tables(spark, sf_dir)
     aml = t["account_move_line"]
-    ct = checked_broadcast(_ct(spark).select("company_id", "precision"), known_rows=3)
+    ct = checked_broadcast(currency_table(spark, CURRENCY_TABLE_ROWS)
+                           .select("company_id", "precision"), known_rows=len(CURRENCY_TABLE_ROWS))
     signed = F.when(F.col("id") % 2 == 0, F.col("balance")).otherwise(-F.col("balance"))
     value = (signed * F.lit(Decimal("0.125")).cast(T.DecimalType(18, 6))).cast(T.DecimalType(18, 6))
     out = (aml.join(ct, "company_id")

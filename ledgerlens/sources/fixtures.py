@@ -99,9 +99,24 @@ def _company(orderkey: Column) -> Column:
     return (orderkey % 3 + 1).cast("int")
 
 
+_BUILT: dict[tuple[int, str], LazyTables] = {}
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
-    """All ERP tables of the fixture over ``sf_dir`` (lazy)."""
+    """All ERP tables of the fixture over ``sf_dir`` (lazy).
+
+    The table set is built once per session and folder, like a catalog: the
+    DataFrames (plans, not data) are reused by every report, so the parquet
+    footers are listed and read once.
+    """
     root = sf_dir.rstrip("/")
+    key = (id(spark), root)
+    if key not in _BUILT:
+        _BUILT[key] = _fixture_tables(spark, root)
+    return _BUILT[key]
+
+
+def _fixture_tables(spark: SparkSession, root: str) -> LazyTables:
 
     def raw(name: str) -> DataFrame:
         return spark.read.parquet(f"{root}/{name}.parquet")
