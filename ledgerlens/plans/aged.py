@@ -7,17 +7,18 @@ the other five hold 0.
 
 Plan, in the order the data meets it (lines are the only large input):
 
-1. accounts filtered to the report's kind (non-excluded), journals and the
-   company currency table are broadcast after a size check; joining them is
-   the account filter and costs no shuffle;
+1. accounts of the report's kind (non-excluded) filter the lines through a
+   broadcast semi join, and the company currency table is broadcast; both
+   after a size check, neither moves the lines;
 2. partials are reduced to one row per line (``partial_residual``) and joined
    on the line id; the "still open" test (company-currency residual rounded
    to the company precision is not 0) is applied right there, so settled
    lines leave before the wider joins;
 3. document headers (with their source sale order and the latest rate of the
    document currency) join on the move id;
-4. trust properties and partners join on the partner id (broadcast when the
-   master data is small, shuffled otherwise);
+4. account label, journal currency, trust properties and partners join
+   last (broadcast when the master data is small, shuffled otherwise), so
+   the two shuffles above carry narrow rows;
 5. the period range join runs last, against the broadcast period table.
 """
 
@@ -114,10 +115,14 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
         dims["ct"] = checked_broadcast(ct, known_rows=len(ct_rows))
 
     line_cols = aml.columns
+    # Only the filtering joins run before the shuffles (account kind as a
+    # semi join, company currency for the open-amount test); the account
+    # label and the journal currency are attached after them, so the
+    # shuffled rows stay narrow.
     lines = (aml
              .filter(F.col("partner_id").isNotNull())
-             .join(dims["acc"], F.col("account_id") == F.col("__acc_id"))
-             .join(dims["journal"], F.col("journal_id") == F.col("__jr_id"))
+             .join(dims["acc"].select("__acc_id"), F.col("account_id") == F.col("__acc_id"),
+                   "left_semi")
              .join(dims["ct"], F.col("company_id") == F.col("__ct_company_id")))
 
     # 2. settlement as of date_to, then the HAVING test
@@ -134,7 +139,10 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
     moves = _move_headers(tables, dims["rates"])
     lines = lines.join(moves, F.col("move_id") == F.col("__mv_id"))
 
-    # 4. trust property (left) and partner (inner)
+    # 4. account label, journal currency, trust property (left) and partner
+    lines = (lines
+             .join(dims["acc"], F.col("account_id") == F.col("__acc_id"))
+             .join(dims["journal"], F.col("journal_id") == F.col("__jr_id")))
     lines = lines.join(dims["trust"], (F.col("partner_id") == F.col("trust_partner_id"))
                        & (F.col("company_id") == F.col("trust_company_id")), "left")
     lines = lines.join(dims["partners"], F.col("partner_id") == F.col("__p_id"))

@@ -156,24 +156,20 @@ _SUMMED = ("quantity", "shipped_quantity", "outstanding_quantity", "unit_price",
 def undelivered_by_order(lines: DataFrame) -> DataFrame:
     """One row per order: ``max`` of order number and customer names, sums
     of the numeric columns (including the rate, which has no operator of its
-    own); text columns without an operator are left out."""
-    return lines.groupBy("order_id").agg(
-        F.max("order_no").alias("order_no"),
-        F.max("partner_name").alias("partner_name"),
-        F.max("english_name").alias("english_name"),
+    own); text columns without an operator are left out.
+
+    Order number and customer names come from the order header, so they are
+    constant within an order and their ``max`` is the value itself: they are
+    grouping keys next to ``order_id``.  Every aggregate is then numeric,
+    which keeps Spark's hash aggregate with map-side partial sums.
+    """
+    return lines.groupBy("order_id", "order_no", "partner_name", "english_name").agg(
         *[F.sum(c).alias(c) for c in _SUMMED],
         F.sum("currency_rate").alias("currency_rate"),
         F.count(F.lit(1)).alias("line_count"),
     )
 
 
-# Report columns after the label, in display order.
-REPORT_COLUMNS = ("partner_name", "english_name", "product_code", "quantity",
-                  "shipped_quantity", "outstanding_quantity", "currency_name",
-                  "unit_price", "amount_currency", "amount")
-_BLANKABLE = ("quantity", "shipped_quantity", "outstanding_quantity", "unit_price",
-              "amount_currency")
-
 
 def undelivered_report(lines: DataFrame, sort: bool = True) -> DataFrame:
     """Two-level report: an order row (``level`` 0) followed by its line rows
@@ -186,28 +182,38 @@ def undelivered_report(lines: DataFrame, sort: bool = True) -> DataFrame:
     empty; the last column (``amount``) is always empty, so the amount shows
     on order rows only.
 
-    Both levels come from the same line relation: the order rows by one
-    aggregation on ``order_id`` (map-side combined), the line rows by a plain
-    projection, so the lines are not expanded or shuffled a second time.
-    Sorted by order number (nulls last), order, level, line id.
+    Both levels come from one ``GROUPING SETS`` aggregation over the lines,
+    so the join pipeline behind ``lines`` runs once.  The order number and
+    customer names are constant within an order, so they are grouping keys
+    of both sets (their ``max`` is the value itself) and every aggregate is
+    a numeric sum: Spark keeps a hash aggregate with map-side partial sums,
+    which also absorbs a very large order before the shuffle.  The line set
+    is keyed by a row number so that equal lines (one per trust row) stay
+    separate rows.  Sorted by order number (nulls last), order, level, line.
     """
-    orders = undelivered_by_order(lines).select(
-        F.lit(0).alias("level"), "order_id", F.lit(None).cast("bigint").alias("id"),
-        "order_no", order_label(F.col("order_no")).alias("name"),
-        "partner_name", "english_name", F.lit(None).cast("string").alias("product_code"),
-        "quantity", "shipped_quantity", "outstanding_quantity",
-        F.lit(None).cast("string").alias("currency_name"),
-        "unit_price", "amount_currency", "amount")
-    detail = lines.select(
-        F.lit(1).alias("level"), "order_id", "id", "order_no",
-        F.col("order_no").alias("name"),
+    row = "__row"
+    order_keys = ["order_id", "order_no", "partner_name", "english_name"]
+    line_keys = order_keys + [row, "id", "product_code", "currency_name"]
+    summed = ("quantity", "shipped_quantity", "outstanding_quantity", "unit_price",
+              "amount_currency", "amount")
+    grouped = (lines.withColumn(row, F.monotonically_increasing_id())
+               .groupingSets([order_keys, line_keys], *line_keys)
+               .agg(*[F.sum(c).alias(c) for c in summed],
+                    F.grouping(row).alias("__order_level")))
+    is_line = F.col("__order_level") == 0
+
+    def shown(c: str) -> Column:
+        return F.when(is_line, blank_zero(F.col(c))).otherwise(F.col(c)).alias(c)
+
+    out = grouped.select(
+        F.when(is_line, F.lit(1)).otherwise(F.lit(0)).alias("level"),
+        "order_id", "id", "order_no",
+        F.when(is_line, F.col("order_no")).otherwise(order_label(F.col("order_no"))).alias("name"),
         "partner_name", "english_name", "product_code",
-        *[blank_zero(F.col(c)).alias(c) for c in ("quantity", "shipped_quantity",
-                                                  "outstanding_quantity")],
-        "currency_name",
-        *[blank_zero(F.col(c)).alias(c) for c in ("unit_price", "amount_currency")],
-        F.lit(None).cast(WORK).alias("amount"))
-    out = orders.unionByName(detail)
+        shown("quantity"), shown("shipped_quantity"), shown("outstanding_quantity"),
+        "currency_name", shown("unit_price"), shown("amount_currency"),
+        F.when(is_line, F.lit(None).cast(WORK)).otherwise(F.col("amount").cast(WORK))
+        .alias("amount"))
     if sort:
         out = out.orderBy(F.asc_nulls_last("order_no"), "order_id", "level",
                           F.asc_nulls_first("id"))
