@@ -39,9 +39,9 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     return F.broadcast(df) if n <= max_rows else df
 
 
-def broadcast_small(frames: Mapping[str, DataFrame],
-                    max_rows: int = BROADCAST_MAX_ROWS) -> dict[str, DataFrame]:
-    """:func:`checked_broadcast` for several candidates with a single job.
+def small_flags(frames: Mapping[str, DataFrame],
+                max_rows: int = BROADCAST_MAX_ROWS) -> dict[str, bool]:
+    """Which candidates have at most ``max_rows`` rows, in a single job.
 
     The bounded counts of all candidates run as one union (each branch
     limited to ``max_rows + 1`` rows) grouped by candidate, so a report pays
@@ -54,8 +54,14 @@ def broadcast_small(frames: Mapping[str, DataFrame],
              for name, df in frames.items()]
     sized = reduce(DataFrame.unionAll, parts).groupBy(tag).count().collect()
     counts = {r[tag]: r["count"] for r in sized}
-    return {name: (F.broadcast(df) if counts.get(name, 0) <= max_rows else df)
-            for name, df in frames.items()}
+    return {name: counts.get(name, 0) <= max_rows for name in frames}
+
+
+def broadcast_small(frames: Mapping[str, DataFrame],
+                    max_rows: int = BROADCAST_MAX_ROWS) -> dict[str, DataFrame]:
+    """:func:`checked_broadcast` for several candidates with a single job."""
+    flags = small_flags(frames, max_rows)
+    return {name: (F.broadcast(df) if flags[name] else df) for name, df in frames.items()}
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:

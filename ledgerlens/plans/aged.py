@@ -221,14 +221,18 @@ def group_by_partner(lines: DataFrame, sort_by: Sequence[Column] | None = None)
     aggregates: sum of ``amount_currency`` over the group's max rate (rate
     null or 0 -> 1).
     """
-    g = lines.groupBy("partner_id").agg(
-        F.max("partner_name").alias("partner_name"),
-        F.sum("amount_residual").alias("amount_residual"),
-        F.sum("amount_currency").alias("amount_currency"),
-        F.max("currency_rate").alias("currency_rate"),
-        F.max("order_no").alias("order_no"),
-        *[F.sum(f"period{i}").alias(f"period{i}") for i in range(PERIODS)],
-    )
+    # Two phases: sums per (partner, order number) by hash aggregation (the
+    # partner name is a per-partner constant, so it is a key), then per
+    # partner.  Only the second phase takes a string max, over one row per
+    # partner and order instead of one per line.
+    sums = [F.sum("amount_residual").alias("amount_residual"),
+            F.sum("amount_currency").alias("amount_currency"),
+            *[F.sum(f"period{i}").alias(f"period{i}") for i in range(PERIODS)]]
+    per_order = lines.groupBy("partner_id", "partner_name", "order_no").agg(
+        *sums, F.max("currency_rate").alias("currency_rate"))
+    g = per_order.groupBy("partner_id", "partner_name").agg(
+        *sums, F.max("currency_rate").alias("currency_rate"),
+        F.max("order_no").alias("order_no"))
     out = g.select(
         "partner_id", "partner_name", "amount_residual",
         F.lit(None).cast("date").alias("report_date"),

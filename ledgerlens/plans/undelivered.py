@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import WORK, converted_amount
 from ledgerlens.functions.text import blank_zero, order_label
-from ledgerlens.operators.broadcast import broadcast_small
+from ledgerlens.operators.broadcast import small_flags
 from ledgerlens.operators.latest import latest_rate_named
 from ledgerlens.operators.trust import trust_properties
 
@@ -69,10 +69,14 @@ def undelivered_lines(tables: Mapping[str, DataFrame],
     partners = tables["res_partner"].select(
         F.col("id").alias("__p_id"), F.col("name").alias("partner_name"),
         F.col("display_name").alias("english_name"))
-    rates = latest_rate_named(tables["res_currency_rate"], tables["res_currency"]).select(
-        F.col("currency_id").alias("__rate_currency_id"), F.col("rate").alias("__rate"),
-        F.col("currency_name").alias("__rate_name"),
-        F.col("currency_symbol").alias("__rate_symbol"))
+    currencies = tables["res_currency"]
+
+    def rates_with(cur: DataFrame) -> DataFrame:
+        return latest_rate_named(tables["res_currency_rate"], cur).select(
+            F.col("currency_id").alias("__rate_currency_id"), F.col("rate").alias("__rate"),
+            F.col("currency_name").alias("__rate_name"),
+            F.col("currency_symbol").alias("__rate_symbol"))
+    rates = rates_with(currencies)
     products = (tables["product_product"].select(F.col("id").alias("__prod_id"),
                                                  F.col("product_tmpl_id").alias("__tmpl_ref"))
                 .join(tables["product_template"].select(F.col("id").alias("__tmpl_id"),
@@ -80,10 +84,16 @@ def undelivered_lines(tables: Mapping[str, DataFrame],
                       F.col("__tmpl_ref") == F.col("__tmpl_id"))
                 .select("__prod_id", "product_code"))
     trust = trust_properties(tables["ir_property"])
-    candidates = {"partners": partners, "rates": rates, "products": products, "trust": trust}
+    candidates = {"partners": partners, "rates": rates, "products": products, "trust": trust,
+                  "currencies": currencies}
     if isinstance(partner_ids, DataFrame):
         candidates["wanted"] = partner_ids.select(F.col("id").alias("__pf_id"))
-    dims = broadcast_small(candidates)
+    small = small_flags(candidates)
+    dims = {k: (F.broadcast(v) if small[k] else v) for k, v in candidates.items()}
+    if small["currencies"]:
+        # currency rows join the rate history before the top-1: broadcast them
+        rates = rates_with(dims["currencies"])
+        dims["rates"] = F.broadcast(rates) if small["rates"] else rates
 
     if isinstance(partner_ids, DataFrame):
         orders = orders.join(dims["wanted"], F.col("partner_id") == F.col("__pf_id"), "left_semi")
