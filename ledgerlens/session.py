@@ -21,6 +21,11 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A join on order_id followed by a per-order aggregation reuses the join's
+    # partitioning; without this AQE refuses to split a hot order there
+    # (splitting needs one more exchange).  With it, the hot partition is
+    # split and the aggregation gets its own (map-side combined) shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Dates in the ledger are calendar dates; keep timestamp->date casts
     # independent of the machine's zone.
     "spark.sql.session.timeZone": "UTC",
