@@ -70,12 +70,13 @@ def ensure_defaults(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Checkpoint directory of the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that one is
-    used as is.  Only when it is unset (local tests) a private scratch folder
-    is created.
+    used as is.  Only a ``local[...]`` session without one (tests, bench)
+    gets a private scratch folder; a cluster session without one is left
+    alone (the reports do not need to checkpoint).
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
@@ -85,7 +86,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     current = sc.getCheckpointDir()
-    if current:
+    if current or not sc.master.startswith("local"):
         return current
     local = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     sc.setCheckpointDir(local)

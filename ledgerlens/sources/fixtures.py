@@ -99,7 +99,7 @@ def _company(orderkey: Column) -> Column:
     return (orderkey % 3 + 1).cast("int")
 
 
-_BUILT: dict[tuple[int, str], LazyTables] = {}
+_BUILT: dict[tuple[str, int, str], LazyTables] = {}
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
@@ -110,7 +110,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
     footers are listed and read once.
     """
     root = sf_dir.rstrip("/")
-    key = (id(spark), root)
+    key = (spark.sparkContext.applicationId, id(spark), root)
     if key not in _BUILT:
         _BUILT[key] = _fixture_tables(spark, root)
     return _BUILT[key]
