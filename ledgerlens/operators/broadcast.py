@@ -2,17 +2,23 @@
 
 ``F.broadcast`` is a hint Spark obeys without looking at the size; a side
 that grows with the data would then be collected to the driver and shipped
-to every executor.  :func:`checked_broadcast` counts the side first (a
-bounded count: each task stops after ``max_rows + 1`` rows) and only hints
-the broadcast when the bound holds.  Beyond it the join stays a shuffled
-join, and AQE may still turn it into a broadcast at runtime if the actual
-shuffle output is small.
+to every executor.  :func:`checked_broadcast` counts the side first and only
+hints the broadcast when at most ``max_rows`` rows exist; beyond it the join
+stays a shuffled join (AQE may still turn it into a broadcast at runtime if
+the actual shuffle output turns out small).
+
+The count is bounded: ``limit(max_rows + 1)`` collected at the top of a plan
+runs Spark's incremental take, which scans one partition, then four times
+as many, and so on, and stops as soon as ``max_rows + 1`` rows are seen.  A
+huge table therefore costs about one partition's scan, never a full one,
+and at most ``max_rows + 1`` one-column rows reach the driver.  The
+candidates of one report are counted concurrently from driver threads.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +30,8 @@ BROADCAST_MAX_ROWS = 200_000
 
 
 def bounded_count(df: DataFrame, bound: int) -> int:
-    """``min(df.count(), bound + 1)`` without scanning past the bound."""
-    return df.limit(bound + 1).count()
+    """``min(df.count(), bound + 1)``, scanning only as far as needed."""
+    return len(df.select(F.lit(True).alias("present")).limit(bound + 1).collect())
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
@@ -41,20 +47,13 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
 
 def small_flags(frames: Mapping[str, DataFrame],
                 max_rows: int = BROADCAST_MAX_ROWS) -> dict[str, bool]:
-    """Which candidates have at most ``max_rows`` rows, in a single job.
-
-    The bounded counts of all candidates run as one union (each branch
-    limited to ``max_rows + 1`` rows) grouped by candidate, so a report pays
-    one small sizing job however many dimensions it has.
-    """
+    """Which candidates have at most ``max_rows`` rows (bounded counts, run
+    concurrently)."""
     if not frames:
         return {}
-    tag = "__bc_name"
-    parts = [df.limit(max_rows + 1).select(F.lit(name).alias(tag))
-             for name, df in frames.items()]
-    sized = reduce(DataFrame.unionAll, parts).groupBy(tag).count().collect()
-    counts = {r[tag]: r["count"] for r in sized}
-    return {name: counts.get(name, 0) <= max_rows for name in frames}
+    with ThreadPoolExecutor(max_workers=min(8, len(frames))) as pool:
+        counts = {name: pool.submit(bounded_count, df, max_rows) for name, df in frames.items()}
+        return {name: c.result() <= max_rows for name, c in counts.items()}
 
 
 def broadcast_small(frames: Mapping[str, DataFrame],

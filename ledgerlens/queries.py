@@ -22,9 +22,7 @@ from ledgerlens.operators.latest import latest_rate, latest_rate_named
 from ledgerlens.operators.periods import period_join
 from ledgerlens.operators.settlement import partial_residual
 from ledgerlens.plans.aged import aged_by_partner, aged_lines
-from ledgerlens.plans.attachments import (
-    attachments_main, attachments_page, attachments_typed, newest_first,
-)
+from ledgerlens.plans.attachments import attachments_main, attachments_page, attachments_typed
 from ledgerlens.plans.undelivered import (
     undelivered_by_order, undelivered_lines, undelivered_report,
 )
@@ -187,4 +185,4 @@ QUERIES: dict[str, Query] = {
     "attachments_main": q_attachments_main,
 }
 
-__all__ = ["QUERIES", "portable", "newest_first"]
+__all__ = ["QUERIES", "portable"]

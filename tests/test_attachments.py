@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import classify_mime
 from ledgerlens.operators.paging import _positional_slice, ordered_slice
-from ledgerlens.plans.attachments import (
-    attachments_main, attachments_page, attachments_typed, newest_first,
-)
+from ledgerlens.plans.attachments import attachments_main, attachments_page, attachments_typed
 from micro import day, tables
 
 ROWS = [
