@@ -151,3 +151,27 @@ def test_payable_uses_rate_path(spark):
     t = base(spark, [line(1, account_id=3, balance=50)])
     df = aged_lines(t, D, "payable", CT)
     assert df.agg(F.sum("period1")).first()[0] == Decimal("-50")
+
+
+def test_parameter_relations_as_dataframes(spark):
+    from ledgerlens.sources.inline import CURRENCY_TABLE_SCHEMA, currency_table, period_table
+    import pytest
+    t = base(spark, [line(1, balance="2.50", company_id=2), line(2, date_maturity="1999-12-31")])
+    ct_rows = [(1, "1", 2), (2, "2", 0)]
+    from_rows = sorted(map(tuple, aged_lines(t, D, "receivable", ct_rows).collect()))
+    ct_df = currency_table(spark, ct_rows)
+    from_df = sorted(map(tuple, aged_lines(t, D, "receivable", ct_df,
+                                           periods=period_table(spark, D)).collect()))
+    assert from_rows == from_df
+    dup = spark.createDataFrame([(1, dec_("1"), 2), (1, dec_("2"), 2)], CURRENCY_TABLE_SCHEMA)
+    with pytest.raises(ValueError):
+        aged_lines(t, D, "receivable", dup)
+    with pytest.raises(ValueError):
+        currency_table(spark, [(1, "1", 2), (1, "2", 2)])
+    bad_periods = spark.createDataFrame([(None, None, 0), (None, None, 0)], PERIOD_TABLE_SCHEMA)
+    with pytest.raises(ValueError):
+        aged_lines(t, D, "receivable", ct_rows, periods=bad_periods)
+
+
+def dec_(x):
+    return Decimal(x)
