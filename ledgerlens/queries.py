@@ -35,16 +35,21 @@ ATTACHMENT_COLUMNS = ("id", "res_id", "mimetype", "create_date", "is_main")
 
 
 def portable(df: DataFrame) -> DataFrame:
-    """Decimals as double, dates / timestamps as ISO text (comparison only)."""
-    cols = []
+    """Decimals as double, dates / timestamps as ISO text (comparison only).
+
+    Written as one ``selectExpr`` so the whole projection is a single call
+    into the JVM.
+    """
+    exprs = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        name = f"`{f.name}`"
         if isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
+            exprs.append(f"CAST({name} AS DOUBLE) AS {name}")
         elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            c = c.cast("string")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            exprs.append(f"CAST({name} AS STRING) AS {name}")
+        else:
+            exprs.append(name)
+    return df.selectExpr(*exprs)
 
 
 def _tables(spark: SparkSession, sf_dir: str):
