@@ -4,6 +4,7 @@ from ledgerlens.plans.aged import aged_by_partner, aged_lines, group_by_partner
 from ledgerlens.plans.attachments import (
     attachments_main, attachments_page, attachments_typed, typed_attachments,
 )
+from ledgerlens.plans.spec import REPORTS, ReportSpec, run_report
 from ledgerlens.plans.undelivered import (
     undelivered_by_order, undelivered_lines, undelivered_report,
 )
@@ -12,4 +13,5 @@ __all__ = [
     "aged_by_partner", "aged_lines", "group_by_partner", "attachments_main",
     "attachments_page", "attachments_typed", "typed_attachments",
     "undelivered_by_order", "undelivered_lines", "undelivered_report",
+    "REPORTS", "ReportSpec", "run_report",
 ]

@@ -1,0 +1,33 @@
+"""Reports run by name through their declarations."""
+
+import os
+
+import pytest
+
+from ledgerlens.plans import (
+    REPORTS, aged_by_partner, run_report, undelivered_by_order, undelivered_lines,
+)
+from ledgerlens.sources import CURRENCY_TABLE_ROWS, FIXTURE_DATE_TO, fixture_tables
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_declared_reports_match_direct_calls(spark):
+    t = fixture_tables(spark, SF)
+    assert set(REPORTS) == {"aged_partner", "undelivered", "attachments"}
+    assert rows(run_report("undelivered", t, level="order_id", company_ids=[1])) == \
+        rows(undelivered_by_order(undelivered_lines(t, company_ids=[1])))
+    assert rows(run_report("aged_partner", t, level="partner_id", date_to=FIXTURE_DATE_TO,
+                           currency_table=CURRENCY_TABLE_ROWS)) == \
+        rows(aged_by_partner(t, FIXTURE_DATE_TO, currency_table=CURRENCY_TABLE_ROWS))
+    lines = run_report("undelivered", t)
+    assert tuple(lines.columns) == REPORTS["undelivered"].columns
+    with pytest.raises(TypeError):
+        run_report("undelivered", t, account_type="receivable")
+    with pytest.raises(KeyError):
+        run_report("attachments", t, level="nope")
