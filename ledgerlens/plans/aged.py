@@ -16,9 +16,10 @@ Plan, in the order the data meets it (lines are the only large input):
    lines leave before the wider joins;
 3. document headers (with their source sale order and the latest rate of the
    document currency) join on the move id;
-4. account label, journal currency, trust properties and partners join
-   last (broadcast when the master data is small, shuffled otherwise), so
-   the two shuffles above carry narrow rows;
+4. account label and journal currency join after the shuffles, so the two
+   shuffles above carry narrow rows; partners and their trust rows meet the
+   lines in a single join on the partner id (broadcast when the master data
+   is small, one shuffle otherwise) followed by the company match;
 5. the period range join runs last, against the broadcast period table.
 """
 
@@ -39,7 +40,7 @@ from ledgerlens.operators.broadcast import assert_unique, broadcast_small, check
 from ledgerlens.operators.latest import latest_rate
 from ledgerlens.operators.periods import period_join
 from ledgerlens.operators.settlement import partial_residual
-from ledgerlens.operators.trust import trust_properties
+from ledgerlens.operators.trust import partners_with_trust, trust_match
 from ledgerlens.sources.inline import currency_table as make_currency_table
 from ledgerlens.sources.inline import period_rows, period_table
 
@@ -102,11 +103,11 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
                       F.col("precision").alias("__precision"))
     rates = latest_rate(tables["res_currency_rate"]).select(
         F.col("currency_id").alias("__rate_currency_id"), F.col("rate").alias("currency_rate"))
-    trust = trust_properties(tables["ir_property"])
-    partners = tables["res_partner"].select(
-        F.col("id").alias("__p_id"), F.col("name").alias("partner_name"))
-    candidates = {"acc": acc, "journal": journal, "rates": rates, "trust": trust,
-                  "partners": partners}
+    partners = partners_with_trust(
+        tables["res_partner"].select(F.col("id").alias("__p_id"),
+                                     F.col("name").alias("partner_name")),
+        tables["ir_property"])
+    candidates = {"acc": acc, "journal": journal, "rates": rates, "partners": partners}
     if ct_rows is None:
         assert_unique(ct, ["__ct_company_id"], "currency table")
         candidates["ct"] = ct
@@ -143,9 +144,10 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
     lines = (lines
              .join(dims["acc"], F.col("account_id") == F.col("__acc_id"))
              .join(dims["journal"], F.col("journal_id") == F.col("__jr_id")))
-    lines = lines.join(dims["trust"], (F.col("partner_id") == F.col("trust_partner_id"))
-                       & (F.col("company_id") == F.col("trust_company_id")), "left")
-    lines = lines.join(dims["partners"], F.col("partner_id") == F.col("__p_id"))
+    # partner (inner) and its trust rows for the line's company (left) in
+    # one join on the partner id, then the company match
+    lines = (lines.join(dims["partners"], F.col("partner_id") == F.col("__p_id"))
+             .filter(trust_match("company_id")))
 
     # 5. period range join
     report_date = F.coalesce(F.col("date_maturity"), F.col("date"))

@@ -78,3 +78,27 @@ def test_broadcast_only_below_bound(spark):
         assert "BroadcastHashJoin" not in plan(facts.join(dims["big"], "k"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_large_master_data_shuffles_lines_once_for_partner_and_trust(spark, t, monkeypatch):
+    """With nothing broadcast (master data too big), partner and trust rows
+    still meet the line stream in one join on the partner id: no exchange is
+    keyed by (partner, company)."""
+    import ledgerlens.plans.aged as aged_mod
+    import ledgerlens.plans.undelivered as und_mod
+
+    def nothing_small(frames, max_rows=0):
+        return {k: False for k in frames}
+
+    monkeypatch.setattr(und_mod, "small_flags", nothing_small)
+    monkeypatch.setattr(aged_mod, "broadcast_small", lambda frames, max_rows=0: dict(frames))
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (undelivered_lines(t),
+                   aged_lines(t, FIXTURE_DATE_TO, "receivable", CURRENCY_TABLE_ROWS)):
+            p = plan(df)
+            assert not re.search(r"hashpartitioning\([^)]*company_id", p)
+            assert re.search(r"hashpartitioning\((partner_id|__p_id)", p)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
