@@ -17,9 +17,10 @@ Plan, in the order the data meets it (lines are the only large input):
 3. document headers (with their source sale order and the latest rate of the
    document currency) join on the move id;
 4. account label and journal currency join after the shuffles, so the two
-   shuffles above carry narrow rows; partners and their trust rows meet the
-   lines in a single join on the partner id (broadcast when the master data
-   is small, one shuffle otherwise) followed by the company match;
+   shuffles above carry narrow rows; partners and trust rows are broadcast
+   when a bounded count proves them small, and otherwise meet the lines
+   together in a single join on the partner id followed by the company
+   match (one shuffle, never a second one keyed by partner and company);
 5. the period range join runs last, against the broadcast period table.
 """
 
@@ -36,11 +37,11 @@ from ledgerlens.functions.money import (
     WORK, converted_amount, ratio_or_one, round_by_precision,
 )
 from ledgerlens.functions.text import DEFAULT_TRUST, account_label
-from ledgerlens.operators.broadcast import assert_unique, broadcast_small, checked_broadcast
+from ledgerlens.operators.broadcast import assert_unique, checked_broadcast, small_flags
 from ledgerlens.operators.latest import latest_rate
 from ledgerlens.operators.periods import period_join
 from ledgerlens.operators.settlement import partial_residual
-from ledgerlens.operators.trust import partners_with_trust, trust_match
+from ledgerlens.operators.trust import partners_with_trust, trust_match, trust_properties
 from ledgerlens.sources.inline import currency_table as make_currency_table
 from ledgerlens.sources.inline import period_rows, period_table
 
@@ -103,15 +104,16 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
                       F.col("precision").alias("__precision"))
     rates = latest_rate(tables["res_currency_rate"]).select(
         F.col("currency_id").alias("__rate_currency_id"), F.col("rate").alias("currency_rate"))
-    partners = partners_with_trust(
-        tables["res_partner"].select(F.col("id").alias("__p_id"),
-                                     F.col("name").alias("partner_name")),
-        tables["ir_property"])
-    candidates = {"acc": acc, "journal": journal, "rates": rates, "partners": partners}
+    partners = tables["res_partner"].select(F.col("id").alias("__p_id"),
+                                            F.col("name").alias("partner_name"))
+    trust = trust_properties(tables["ir_property"])
+    candidates = {"acc": acc, "journal": journal, "rates": rates, "partners": partners,
+                  "trust": trust}
     if ct_rows is None:
         assert_unique(ct, ["__ct_company_id"], "currency table")
         candidates["ct"] = ct
-    dims = broadcast_small(candidates)
+    small = small_flags(candidates)
+    dims = {k: (F.broadcast(v) if small[k] else v) for k, v in candidates.items()}
     if ct_rows is not None:
         dims["ct"] = checked_broadcast(ct, known_rows=len(ct_rows))
 
@@ -144,10 +146,18 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
     lines = (lines
              .join(dims["acc"], F.col("account_id") == F.col("__acc_id"))
              .join(dims["journal"], F.col("journal_id") == F.col("__jr_id")))
-    # partner (inner) and its trust rows for the line's company (left) in
-    # one join on the partner id, then the company match
-    lines = (lines.join(dims["partners"], F.col("partner_id") == F.col("__p_id"))
-             .filter(trust_match("company_id")))
+    # partner (inner) and its trust rows for the line's company (left)
+    if small["partners"] and small["trust"]:
+        lines = (lines
+                 .join(dims["trust"], (F.col("partner_id") == F.col("trust_partner_id"))
+                       & (F.col("company_id") == F.col("trust_company_id")), "left")
+                 .join(dims["partners"], F.col("partner_id") == F.col("__p_id")))
+    else:
+        # too big to broadcast: both meet the lines in one join on the partner
+        # id (one shuffle, not one per key), then the company match
+        lines = (lines.join(partners_with_trust(partners, tables["ir_property"]),
+                            F.col("partner_id") == F.col("__p_id"))
+                 .filter(trust_match("company_id")))
 
     # 5. period range join
     report_date = F.coalesce(F.col("date_maturity"), F.col("date"))

@@ -7,9 +7,9 @@ listed too (there is no outstanding > 0 test).
 
 Shuffle plan: the order lines are the only large input.  Product, template,
 partner and trust rows are master data, broadcast when a bounded count
-proves them small; the trust rows travel with the order header, so the one
-unavoidable shuffle of the lines is the join with their orders on
-``order_id``.  The per-order roll-up groups on that key (plus per-order
+proves them small (when they are not, the trust rows travel with the order
+header), so the one unavoidable shuffle of the lines is the join with their
+orders on ``order_id``.  The per-order roll-up groups on that key (plus per-order
 constants), so it reuses the join's partitioning; the two-level report is
 one grouping-sets aggregation with map-side partial sums.
 """
@@ -25,7 +25,7 @@ from ledgerlens.functions.money import WORK, converted_amount
 from ledgerlens.functions.text import blank_zero, order_label
 from ledgerlens.operators.broadcast import small_flags
 from ledgerlens.operators.latest import latest_rate_named
-from ledgerlens.operators.trust import partners_with_trust, trust_match
+from ledgerlens.operators.trust import partners_with_trust, trust_match, trust_properties
 
 # Fixed fallback currency shown when an order's currency has no usable rate.
 FALLBACK_CURRENCY_NAME = "HKD"
@@ -84,9 +84,9 @@ def undelivered_lines(tables: Mapping[str, DataFrame],
                                                         F.col("name").alias("product_code")),
                       F.col("__tmpl_ref") == F.col("__tmpl_id"))
                 .select("__prod_id", "product_code"))
-    partners = partners_with_trust(partners, tables["ir_property"])
+    trust = trust_properties(tables["ir_property"])
     candidates = {"partners": partners, "rates": rates, "products": products,
-                  "currencies": currencies}
+                  "currencies": currencies, "trust": trust}
     if isinstance(partner_ids, DataFrame):
         candidates["wanted"] = partner_ids.select(F.col("id").alias("__pf_id"))
     small = small_flags(candidates)
@@ -100,19 +100,26 @@ def undelivered_lines(tables: Mapping[str, DataFrame],
         orders = orders.join(dims["wanted"], F.col("partner_id") == F.col("__pf_id"), "left_semi")
     elif partner_ids is not None:
         orders = orders.filter(F.col("partner_id").isin(list(partner_ids)))
-    # Order header with its customer (inner), the customer's trust rows and
-    # the rate; the trust rows are matched to each line's company after the
-    # one join of the lines with their orders.
+    # Trust rows are matched on (partner, line company).  Broadcast when
+    # small; otherwise they travel with the order header and are matched to
+    # each line's company after the one join of the lines with their orders.
+    carry_trust = not (small["partners"] and small["trust"])
+    customer = (partners_with_trust(partners, tables["ir_property"]) if carry_trust
+                else dims["partners"])
     order_info = (orders
-                  .join(dims["partners"], F.col("partner_id") == F.col("__p_id"))
+                  .join(customer, F.col("partner_id") == F.col("__p_id"))
                   .join(dims["rates"], F.col("__so_currency_id") == F.col("__rate_currency_id"),
                         "left")
                   .drop("__p_id", "__rate_currency_id"))
 
     lines = (sol
              .join(dims["products"], F.col("product_id") == F.col("__prod_id"))
-             .join(order_info, F.col("order_id") == F.col("__so_id"))
-             .filter(trust_match("company_id")))
+             .join(order_info, F.col("order_id") == F.col("__so_id")))
+    if carry_trust:
+        lines = lines.filter(trust_match("company_id"))
+    else:
+        lines = lines.join(dims["trust"], (F.col("partner_id") == F.col("trust_partner_id"))
+                           & (F.col("company_id") == F.col("trust_company_id")), "left")
     if dedupe:
         lines = lines.dropDuplicates(["id", "__so_id", "partner_id", "trust_property_id"])
 
