@@ -175,3 +175,29 @@ def test_parameter_relations_as_dataframes(spark):
 
 def dec_(x):
     return Decimal(x)
+
+
+def test_partner_keyed_trust_equals_left_join(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.trust import join_trust, partners_with_trust, trust_match
+    props = [trust(1, 10, 1, "good"), trust(2, 10, 1, "bad"),      # two rows, company 1
+             trust(3, 11, 2, "bad"),                                # other company only
+             {"id": 4, "name": "trust", "res_id": "res.partner,12", "company_id": None,
+              "value_text": "bad"},                                 # null company
+             {"id": 5, "name": "other", "res_id": "res.partner,13", "company_id": 1,
+              "value_text": "bad"}]                                 # not a trust row
+    t = tables(spark, ir_property=props)
+    lines = spark.createDataFrame(
+        [(1, 10, 1), (2, 10, 2), (3, 11, 1), (4, 12, 1), (5, 13, 1), (6, 14, 1)],
+        "id long, partner_id long, company_id int")
+    partners = spark.range(10, 15).select(F.col("id").alias("__p_id"))
+    want = (join_trust(lines, t["ir_property"])
+            .select("id", "trust_property_id", "trust_value").collect())
+    got = (lines.join(partners_with_trust(partners, t["ir_property"]),
+                      F.col("partner_id") == F.col("__p_id"))
+           .filter(trust_match("company_id"))
+           .select("id", "trust_property_id", "trust_value").collect())
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+    assert sorted(r.trust_property_id for r in got if r.id == 1) == [1, 2]
+    assert [r.trust_value for r in got if r.id in (2, 3, 4, 5, 6)] == [None] * 5
