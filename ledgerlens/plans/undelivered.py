@@ -207,23 +207,25 @@ def undelivered_report(lines: DataFrame, sort: bool = True) -> DataFrame:
     of both sets (their ``max`` is the value itself) and every aggregate is
     a numeric sum: Spark keeps a hash aggregate with map-side partial sums,
     which also absorbs a very large order before the shuffle.  The line set
-    is keyed by a row number so that equal lines (one per trust row) stay
-    separate rows.  Sorted by order number (nulls last), order, level, line.
+    is keyed by the line's own values; equal lines (one per trust row of the
+    customer) fold into one group with a count and are expanded back, so the
+    result is deterministic even when tasks are retried.  Sorted by order
+    number (nulls last), order, level, line.
     """
-    row = "__row"
-    order_keys = ["order_id", "order_no", "partner_name", "english_name"]
-    line_keys = order_keys + [row, "id", "product_code", "currency_name"]
     summed = ("quantity", "shipped_quantity", "outstanding_quantity", "unit_price",
               "amount_currency", "amount")
-    grouped = (lines.withColumn(row, F.monotonically_increasing_id())
-               .groupingSets([order_keys, line_keys], *line_keys)
-               .agg(*[F.sum(c).alias(c) for c in summed],
-                    F.grouping(row).alias("__order_level")))
+    order_keys = ["order_id", "order_no", "partner_name", "english_name"]
+    line_keys = order_keys + ["id", "product_code", "currency_name", *summed]
+    grouped = (lines.groupingSets([order_keys, line_keys], *line_keys)
+               .agg(*[F.sum(c).alias(f"__sum_{c}") for c in summed],
+                    F.count(F.lit(1)).alias("__copies"),
+                    F.grouping("id").alias("__order_level")))
     is_line = F.col("__order_level") == 0
 
     def shown(c: str) -> Column:
-        return F.when(is_line, blank_zero(F.col(c))).otherwise(F.col(c)).alias(c)
+        return F.when(is_line, blank_zero(F.col(c))).otherwise(F.col(f"__sum_{c}")).alias(c)
 
+    copies = F.when(is_line, F.col("__copies")).otherwise(F.lit(1)).cast("int")
     out = grouped.select(
         F.when(is_line, F.lit(1)).otherwise(F.lit(0)).alias("level"),
         "order_id", "id", "order_no",
@@ -231,8 +233,10 @@ def undelivered_report(lines: DataFrame, sort: bool = True) -> DataFrame:
         "partner_name", "english_name", "product_code",
         shown("quantity"), shown("shipped_quantity"), shown("outstanding_quantity"),
         "currency_name", shown("unit_price"), shown("amount_currency"),
-        F.when(is_line, F.lit(None).cast(WORK)).otherwise(F.col("amount").cast(WORK))
-        .alias("amount"))
+        F.when(is_line, F.lit(None).cast(WORK)).otherwise(F.col("__sum_amount").cast(WORK))
+        .alias("amount"),
+        F.explode(F.array_repeat(F.lit(True), copies)).alias("__copy"),
+    ).drop("__copy")
     if sort:
         out = out.orderBy(F.asc_nulls_last("order_no"), "order_id", "level",
                           F.asc_nulls_first("id"))

@@ -99,3 +99,13 @@ def test_filters_and_trust_rows(spark):
     assert undelivered_lines(t, partner_ids=wanted).count() == 3
     by_order = undelivered_by_order(undelivered_lines(t)).collect()
     assert len(by_order) == 1 and by_order[0].line_count == 3
+
+
+def test_report_keeps_one_line_row_per_trust_row(spark):
+    t = make(spark, [order(1, "SO1", 0)], [sol(1, 1, company_id=1), sol(2, 1, company_id=2)],
+             props=[trust(1, 10, 1, "good"), trust(2, 10, 1, "bad")])
+    rep = undelivered_report(undelivered_lines(t)).collect()
+    assert sorted(r.id for r in rep if r.level == 1) == [1, 1, 2]
+    order_row = next(r for r in rep if r.level == 0)
+    assert order_row.quantity == 15 and order_row.amount == 30   # three report rows summed
+    assert [r.level for r in rep] == [0, 1, 1, 1]
