@@ -1,16 +1,20 @@
 """Relational building blocks shared by the reports."""
 
 from ledgerlens.operators.broadcast import (
-    BROADCAST_MAX_ROWS, assert_unique, bounded_count, checked_broadcast,
+    BROADCAST_MAX_ROWS, assert_unique, bounded_count, broadcast_small, checked_broadcast,
+    small_flags,
 )
 from ledgerlens.operators.latest import latest_rate, latest_rate_named, top1_per_key
 from ledgerlens.operators.paging import ordered_slice
 from ledgerlens.operators.periods import period_join
 from ledgerlens.operators.settlement import partial_residual
-from ledgerlens.operators.trust import join_trust, trust_properties
+from ledgerlens.operators.trust import (
+    join_trust, partners_with_trust, trust_match, trust_properties,
+)
 
 __all__ = [
-    "BROADCAST_MAX_ROWS", "assert_unique", "bounded_count", "checked_broadcast",
+    "BROADCAST_MAX_ROWS", "assert_unique", "bounded_count", "broadcast_small",
+    "checked_broadcast", "small_flags",
     "latest_rate", "latest_rate_named", "top1_per_key", "ordered_slice", "period_join",
-    "partial_residual", "join_trust", "trust_properties",
+    "partial_residual", "join_trust", "partners_with_trust", "trust_match", "trust_properties",
 ]

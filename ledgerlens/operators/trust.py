@@ -80,6 +80,3 @@ def trust_match(company_col: str = "company_id") -> Column:
     has_trust = F.coalesce(F.array_contains(F.col("__trust_companies"), company), F.lit(False))
     return ((~F.col("__trust_fallback") & (F.col("trust_company_id") == company))
             | (F.col("__trust_fallback") & ~has_trust))
-
-
-TRUST_HELPER_COLUMNS = ("__trust_fallback", "__trust_companies", "trust_company_id")
