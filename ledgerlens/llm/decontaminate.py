@@ -21,6 +21,9 @@ SIZE = 13
 #: by a shuffle of the documents' windows.
 MAX_BROADCAST = 500_000
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower-cased.
+_RAW_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = string.ascii_uppercase
 
 
@@ -32,12 +35,7 @@ def lower_ascii(text: Column) -> Column:
 
 def word_list(text: Column) -> Column:
     """Words of a text; empty for null."""
-    return F.filter(F.split(F.coalesce(lower_ascii(text), F.lit("")), _BREAK), lambda w: w != "")
-
-
-def n_words(text: Column) -> Column:
-    """Number of words; upper case is a break for the pattern, so it is matched too."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    return F.array_remove(F.split(F.coalesce(lower_ascii(text), F.lit("")), _BREAK), "")
 
 
 def window_hash(hashes: str, at: str, size: int) -> Column:
@@ -60,34 +58,40 @@ def item_windows(items: DataFrame, size: int, id_col: str, text_col: str) -> Dat
         F.array_sort(F.collect_set(F.coalesce("item", F.lit("null")))).alias("items"))
 
 
-def hits(docs: DataFrame, items: DataFrame, keys: list[str], size: int = SIZE, text_col: str = "text",
+def scan(docs: DataFrame, items: DataFrame, keys: list[str], size: int = SIZE, text_col: str = "text",
          item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """``(keys..., start, len, items)``: the occurrences of item windows, by
-    word position in the document (from 0)."""
+    """``(keys..., start, len, items, n_words)`` from one scan of the texts: a
+    row for every occurrence of an item window, by word position (from 0), and
+    one with ``start`` -1 for every row of ``docs``."""
     found = cut(item_windows(items, size, item_id, item_text))
     lengths = {r["len"]: r["n"] for r in found.groupBy("len").agg(F.count("*").alias("n")).collect()}  # size rows
     rows = docs.select(*[docs[k].alias(k) for k in keys], word_list(docs[text_col]).alias("words"))
     hashed = rows.withColumn("h", _hashes("words"))
-    parts = []
-    for n, windows in sorted(lengths.items()):
-        listed = found.where(F.col("len") == n).select(
-            _hashes("gram").alias("h"), "gram", "items").select(
-            window_hash("h", "0", n).alias("key"), "gram", "items")
-        if windows <= max_broadcast:
-            listed = F.broadcast(listed)
-        at = (hashed.where(F.size("h") >= n)
-              .select(*keys, "words", "h", F.explode(F.sequence(F.lit(0), F.size("h") - n)).alias("start"))
-              .select(*keys, "words", "start", window_hash("h", "start", n).alias("w_key")))
-        met = at.join(listed, F.col("w_key") == F.col("key"))
-        parts.append(met.where(F.slice("words", F.col("start") + 1, F.lit(n)) == F.col("gram"))
-                     .select(*keys, "start", F.lit(n).alias("len"), "items"))
-    if not parts:
-        return rows.where("false").select(*keys, F.lit(0).alias("start"), F.lit(0).alias("len"),
-                                          F.array().cast("array<string>").alias("items"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sizes = sorted(lengths) or [size]
+    at = hashed.select(*keys, "words", "h", F.explode(F.sequence(
+        F.lit(-1), F.greatest(F.size("h") - sizes[0], F.lit(-1)))).alias("start"))
+
+    def window(n: int) -> Column:
+        return F.when((F.col("start") >= 0) & (F.col("start") + n <= F.size("h")), window_hash("h", "start", n))
+
+    if len(sizes) == 1:
+        at = at.withColumn("w_len", F.lit(sizes[0])).withColumn("w_key", window(sizes[0]))
+    else:  # one row for each length; the row of the text itself only once
+        each = F.array(*[F.struct(F.lit(n).alias("w_len"), window(n).alias("w_key")) for n in sizes])
+        at = at.select(*keys, "words", "start", F.inline(
+            F.when(F.col("start") < 0, F.slice(each, 1, 1)).otherwise(each)))
+    listed = None
+    for n in lengths:
+        part = found.where(F.col("len") == n).select(_hashes("gram").alias("h"), "gram", "items").select(
+            F.lit(n).alias("len"), window_hash("h", "0", n).alias("key"), "gram", "items")
+        listed = part if listed is None else listed.unionByName(part)
+    if listed is None:
+        listed = found.select("len", F.lit(None).cast("long").alias("key"), "gram", "items")
+    if sum(lengths.values()) <= max_broadcast:
+        listed = F.broadcast(listed)
+    met = at.join(listed, F.col("w_key") == F.col("key"), "left").where((F.col("start") < 0) | (
+        (F.col("w_len") == F.col("len")) & (F.slice("words", F.col("start") + 1, F.col("w_len")) == F.col("gram"))))
+    return met.select(*keys, "start", "len", "items", F.size("words").cast("long").alias("n_words"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc_id",
@@ -104,16 +108,38 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: s
     """
     rows = docs.select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("text_hash"),
                        docs[text_col].alias("text"))
-    occur = hits(rows, items, ["doc", "text_hash"], size, "text", item_id, item_text, max_broadcast)
-    covered = occur.groupBy("doc", "text_hash").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(start, start + len - 1)"))))).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    covered = covered.select(F.col("doc").alias("c_doc"), F.col("text_hash").alias("c_hash"), "n_hit", "items")
-    counted = rows.select("doc", "text_hash", n_words(F.col("text")).alias("n_words"))
-    same = F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash"))
-    return counted.join(covered, same, "left").select(
-        "doc", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    met = scan(rows, items, ["doc", "text_hash"], size, "text", item_id, item_text, max_broadcast)
+    judged = met.groupBy("doc", "text_hash").agg(
+        F.max("n_words").alias("n_words"), F.size(_positions()).cast("long").alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.count_if(F.col("start") < 0).alias("copies"))
+    return judged.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop(
+        "copy", "copies")
+
+
+def _positions() -> Column:
+    """Positions of the words inside the occurrences of a text."""
+    return F.array_distinct(F.flatten(F.collect_set(F.when(
+        F.col("start") >= 0, F.expr("sequence(start, start + len - 1)")))))
+
+
+def without_spans(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text",
+                  item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """``(doc, text)``, one row per row of ``docs``: the texts without their
+    hit words and without what stands between two of them.  Texts without
+    hits stay as they are, null ones too."""
+    rows = docs.select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text"))
+    hit = (scan(rows, items, ["doc", "text_hash"], size, "text", item_id, item_text, max_broadcast).where("start >= 0")
+           .groupBy(F.col("doc").alias("h_doc"), F.col("text_hash").alias("h_hash")).agg(_positions().alias("gone")))
+    same = F.col("doc").eqNullSafe(F.col("h_doc")) & (F.col("text_hash") == F.col("h_hash"))
+    # breaks and words take turns; word i is piece 2 i, or 2 i + 1 after a leading break
+    pieces = F.regexp_extract_all("text", F.lit(f"{_RAW_BREAK}+|{_RAW_WORD}"), F.lit(0))
+    joined = (rows.join(hit, same, "left").withColumn("pieces", F.when(F.col("gone").isNotNull(), pieces))
+              .withColumn("lead", F.when(F.col("text").rlike(f"^{_RAW_BREAK}"), 1).otherwise(0)))
+    kept = F.expr("""filter(pieces, (p, i) -> NOT CASE WHEN i % 2 = lead THEN array_contains(gone, i div 2)
+                     ELSE array_contains(gone, (i - 1 - lead) div 2) AND i > lead
+                          AND array_contains(gone, (i + 1 - lead) div 2) END)""")
+    return joined.select("doc", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "")).alias("text"))
 
 
 def is_contaminated(n_hit: Column, n_words_: Column, parts: int = 20) -> Column:
