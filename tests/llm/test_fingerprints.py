@@ -1,0 +1,100 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from ledgerlens.llm import grouped, minhash
+from llm.conftest import ODD_TEXTS
+from llm.test_jaccard_join import brute_components
+
+
+def expected_edits(rows):
+    """(n_chars, edited sha256, next text) by id, for distinct ids and texts."""
+    order = sorted(rows, key=lambda r: -r[0])
+    out = {}
+    for at, (i, text) in enumerate(order):
+        following = order[(at + 1) % len(order)][1] or ""
+        text = text or ""
+        half = len(text) // 2
+        edited = text[:len(text) - half] + following[:half]
+        out[i] = (len(text), hashlib.sha256(edited.encode()).hexdigest())
+    return out
+
+
+def jaccard(a, b, k=5):
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_edits_and_likeness(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = expected_edits(list(texts.items()))
+    got = minhash.edited_fingerprints(docs).collect()
+    assert len(got) == len(texts)
+    order = sorted(texts, reverse=True)
+    following = {i: order[(n + 1) % len(order)] for n, i in enumerate(order)}
+    marks = {r["doc"]: r["fingerprint"] for r in got}
+    errors = []
+    for r in got:
+        assert (r["n_chars"], r["edited_sha256"]) == want[r["doc"]]
+        after = texts[following[r["doc"]]]
+        errors.append(r["near_next"] - jaccard(texts[r["doc"]], after))
+        same = np.frombuffer(bytes.fromhex(r["fingerprint"]), np.uint32) == np.frombuffer(
+            bytes.fromhex(marks[following[r["doc"]]]), np.uint32)
+        assert r["near_next"] == same.mean()
+    assert np.abs(errors).mean() < 0.06
+
+
+def test_equal_texts_have_equal_fingerprints(spark, odd, empty):
+    rows = minhash.fingerprints(odd).collect()
+    assert len(rows) == len(ODD_TEXTS)
+    by_id = {r["doc"]: bytes(r["fingerprint"]) for r in rows if r["doc"] is not None}
+    assert by_id[1] == by_id[2] and by_id[7] == by_id[8]
+    assert by_id[3] == by_id[4] == by_id[5] != by_id[7]
+    assert minhash.edited_fingerprints(odd).count() == len(ODD_TEXTS)
+    assert minhash.edited_fingerprints(empty).count() == 0
+    one = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    (r,) = minhash.edited_fingerprints(one).collect()
+    assert r["near_next"] == 1.0 and r["n_chars"] == 7
+    assert r["edited_sha256"] == hashlib.sha256(b"a b a b").hexdigest()
+
+
+def test_ranges_do_not_matter(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    a = {tuple(r) for r in minhash.edited_fingerprints(docs).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        b = {tuple(r) for r in minhash.edited_fingerprints(docs.repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert a == b
+
+
+def test_near_duplicates_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = brute_components({r["doc_id"]: r["text"] for r in docs.collect()}, 5, 80)
+    got = {r["doc"]: (r["n_shingles"], r["component"]) for r in minhash.near_duplicates(docs).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_near_copies_of_one_base(spark, block, monkeypatch):
+    """A group of copies edited here and there, in one block and in many."""
+    monkeypatch.setattr(grouped, "BLOCK_SHINGLES", block)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        texts[100 - i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc"]: (r["n_shingles"], r["component"]) for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute_components(texts, 5, 80)
