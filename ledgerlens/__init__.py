@@ -11,10 +11,9 @@ Sub-packages:
                    fixture views and small inline parameter relations.
 * ``functions``  - column-level helpers (money rounding, labels, MIME type).
 * ``operators``  - reusable relational building blocks (latest rate,
-                   settlement residuals, period range join, checked
-                   broadcast, ordered paging, two-level report rows).
+                   settlement residuals, period range join, ordered
+                   paging).
 * ``plans``      - the reports themselves.
-* ``streaming``  - intentionally empty (the reports are batch only).
 """
 
 from ledgerlens.session import get_spark

@@ -8,17 +8,27 @@ a display value computed from two aggregated numbers).
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Working type of a money value before it is rounded to a currency precision:
-# 22 integer digits, 6 decimals.  Spark would otherwise silently drop scale
-# when a decimal(38,16) quotient is multiplied by a decimal(18,6) rate.
+# Type of a converted line amount of the undelivered report: 22 integer
+# digits, 6 decimals.
 WORK = T.DecimalType(28, 6)
-# Scales a currency precision may take.
-PRECISIONS = range(0, 7)
+# Currency precisions that amounts can be rounded to, and a type that holds
+# all of them: 26 integer digits, 12 decimals.  Values beyond 26 digits raise.
+PRECISIONS = range(0, 13)
+ROUNDED = T.DecimalType(38, 12)
+# Whole-number arithmetic: cents, and millionths of a rate.
+_CENTS, _RATE = T.DecimalType(20, 0), T.DecimalType(18, 0)
+_CENT_DIGITS, _RATE_DIGITS = 2, 6
+_WHOLE = T.DecimalType(38, 0)
+
+
+def _unsupported(precision: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("unsupported currency precision: "), precision.cast("string")))
 
 
 def round_by_precision(value: Column, precision: Column,
@@ -26,21 +36,19 @@ def round_by_precision(value: Column, precision: Column,
     """``ROUND(value, precision)`` where ``precision`` is a column.
 
     Spark's ``round`` needs a constant scale, so the expression branches over
-    the precisions a currency can have (0..6 by default).  Decimal ``round``
-    is half-up on the magnitude, i.e. half away from zero for both signs.
-    A null precision gives null; a precision outside ``precisions`` raises
+    the precisions a currency can have (0 to 12).  Decimal ``round`` is
+    half-up on the magnitude, i.e. half away from zero for both signs.  A
+    null precision gives null; a precision outside ``precisions`` raises
     rather than silently returning a wrong amount.  ``value`` is rounded at
     its own scale (no intermediate cast, so no double rounding); the result
-    has type :data:`WORK`.
+    has type :data:`ROUNDED`.
     """
     expr = None
     for p in precisions:
-        branch = F.round(value, p).cast(WORK)
+        branch = F.round(value, p).cast(ROUNDED)
         expr = F.when(precision == p, branch) if expr is None else expr.when(precision == p, branch)
-    return (expr.when(precision.isNull(), F.lit(None).cast(WORK))
-            .otherwise(F.raise_error(F.concat(F.lit("unsupported currency precision: "),
-                                              precision.cast("string")))
-                       .cast(WORK)))
+    return (expr.when(precision.isNull(), F.lit(None).cast(ROUNDED))
+            .otherwise(_unsupported(precision).cast(ROUNDED)))
 
 
 def converted_amount(amount_currency: Column, rate: Column, fallback: Column) -> Column:
@@ -53,6 +61,89 @@ def converted_amount(amount_currency: Column, rate: Column, fallback: Column) ->
     return F.when(rate > 0, amount_currency / rate).otherwise(fallback)
 
 
+def _whole(value: Column, digits: int, kind: T.DecimalType) -> Column:
+    """``value * 10^digits`` as a whole number (``digits`` is its scale)."""
+    return (value * _power(digits)).cast(kind)
+
+
+def _power(digits: int) -> Column:
+    return F.lit(10**digits).cast(T.DecimalType(digits + 1, 0))
+
+
+def _powers(exponent: Column, most: int) -> Column:
+    """10 to a power from the data, 0 to ``most``."""
+    table = F.array(*[F.lit(10**i).cast(T.DecimalType(most + 1, 0)) for i in range(most + 1)])
+    return F.get(table, F.greatest(exponent, F.lit(0)))
+
+
+def _rest(number: Column, by: Column) -> Column:
+    return (number % by).cast(_WHOLE)
+
+
+def _quotient(number: Column, rest: Column, by: Column) -> Column:
+    """``number / by`` without the remainder ``rest``: an exact division."""
+    return ((number - rest).cast(_WHOLE) / by).cast(_WHOLE)
+
+
+def with_converted(df: DataFrame, name: str, amount_currency: Column, rate: Column, balance: Column,
+                   settled: Column, factor: Column, precision: Column) -> DataFrame:
+    """Add ``ROUND((amount_currency / rate - settled) * factor, precision)``
+    as ``name``, exactly: one rounding, half away from zero, of the true
+    quotient.
+
+    With a null or non-positive ``rate``, ``balance`` stands for the quotient.
+    Amounts have 2 decimals and up to 18 integer digits, rates and factors 6
+    and 12.  The quotient has no exact decimal, so everything is counted in
+    whole cents and millionths: with A, S cents and R, K millionths, the value
+    is (A * 10^6 - S * R) * K / (R * 10^8).  It is divided in two steps with
+    remainders, so that no step needs more than 38 digits: ``n`` whole
+    multiples of 10^-8, and ``low`` / R of one more.  Each step is a column of
+    its own, computed once per row.
+
+    The result has type :data:`ROUNDED`; null where an input is null, an
+    error where a number doesn't fit or for a precision outside
+    :data:`PRECISIONS`.
+    """
+    x = {c: f"__{name}_{c}" for c in ("r", "k", "signed", "rest", "prod", "low", "n", "num", "by", "over", "units", "frac")}
+    c = {short: F.col(long) for short, long in x.items()}
+    usable = rate > 0
+    million = T.DecimalType(18, _RATE_DIGITS)
+    r = _whole(F.when(usable, rate).otherwise(F.lit(1)).cast(million), _RATE_DIGITS, _RATE)
+    cents = _whole(F.when(usable, amount_currency).otherwise(balance), _CENT_DIGITS, _CENTS)
+    paid = _whole(settled.cast(T.DecimalType(20, _CENT_DIGITS)), _CENT_DIGITS, _CENTS)
+    places = _CENT_DIGITS + _RATE_DIGITS
+    most = max(PRECISIONS)
+    fine = precision >= places
+    out = df.withColumns({x["r"]: r, x["k"]: _whole(factor.cast(million), _RATE_DIGITS, _RATE)})
+    out = out.withColumn(x["signed"], ((cents * _power(_RATE_DIGITS)).cast(_WHOLE) - (paid * c["r"]).cast(_WHOLE)).cast(_WHOLE))
+    size, factor_size = F.abs(c["signed"]), F.abs(c["k"]).cast(_RATE)
+    out = out.withColumn(x["rest"], _rest(size, c["r"]))
+    out = out.withColumn(x["prod"], (c["rest"].cast(_RATE) * factor_size).cast(_WHOLE))
+    out = out.withColumn(x["low"], _rest(c["prod"], c["r"]))
+    out = out.withColumn(x["n"], ((_quotient(size, c["rest"], c["r"]).cast(_CENTS) * factor_size).cast(_WHOLE)
+                                  + _quotient(c["prod"], c["low"], c["r"])).cast(_WHOLE))
+    # fewer than 8 decimals: n over a power of ten (what is below a multiple
+    # can't tip an even power); else 8 and the digits of low / R
+    more = _powers(precision - places, most)
+    out = out.withColumns({
+        x["num"]: F.when(fine, (c["low"].cast(_RATE) * more).cast(_WHOLE)).otherwise(c["n"]),
+        x["by"]: F.when(fine, c["r"]).otherwise(_powers(F.lit(places) - precision, most).cast(_RATE))})
+    out = out.withColumn(x["over"], _rest(c["num"], c["by"]))
+    whole = _quotient(c["num"], c["over"], c["by"])
+    up = F.when(c["over"] * 2 >= c["by"], F.lit(1)).otherwise(F.lit(0))
+    out = out.withColumn(x["units"], (F.when(fine, (c["n"] * more).cast(_WHOLE) + whole).otherwise(whole) + up).cast(_WHOLE))
+    unit = _powers(precision, most)
+    out = out.withColumn(x["frac"], _rest(c["units"], unit))
+    part = T.DecimalType(37, most)
+    fraction = (c["frac"].cast(T.DecimalType(most, 0)) * _powers(F.lit(most) - precision, most)).cast(T.DecimalType(most, 0))
+    value = (_quotient(c["units"], c["frac"], unit).cast(part)
+             + (fraction * F.lit(Decimal(1).scaleb(-most))).cast(part)).cast(ROUNDED)
+    known = F.when(precision.isNull(), F.lit(None).cast(ROUNDED)).when(
+        precision.between(min(PRECISIONS), most), F.when((c["signed"] < 0) != (c["k"] < 0), -value).otherwise(value)).otherwise(
+        _unsupported(precision).cast(ROUNDED))
+    return out.withColumn(name, known.cast(ROUNDED)).drop(*x.values())
+
+
 def ratio_or_one(numerator: Column, rate: Column) -> Column:
     """``numerator / (rate or 1)`` in floating point.
 

@@ -1,20 +1,13 @@
 """Relational building blocks shared by the reports."""
 
-from ledgerlens.operators.broadcast import (
-    BROADCAST_MAX_ROWS, assert_unique, bounded_count, broadcast_small, checked_broadcast,
-    small_flags,
-)
+from ledgerlens.operators.checks import assert_unique
 from ledgerlens.operators.latest import latest_rate, latest_rate_named, top1_per_key
-from ledgerlens.operators.paging import ordered_slice
+from ledgerlens.operators.paging import ordered_slice, sort_columns
 from ledgerlens.operators.periods import period_join
 from ledgerlens.operators.settlement import partial_residual
-from ledgerlens.operators.trust import (
-    join_trust, partners_with_trust, trust_match, trust_properties,
-)
+from ledgerlens.operators.trust import join_trust, trust_properties
 
 __all__ = [
-    "BROADCAST_MAX_ROWS", "assert_unique", "bounded_count", "broadcast_small",
-    "checked_broadcast", "small_flags",
-    "latest_rate", "latest_rate_named", "top1_per_key", "ordered_slice", "period_join",
-    "partial_residual", "join_trust", "partners_with_trust", "trust_match", "trust_properties",
+    "assert_unique", "latest_rate", "latest_rate_named", "top1_per_key", "ordered_slice",
+    "sort_columns", "period_join", "partial_residual", "join_trust", "trust_properties",
 ]

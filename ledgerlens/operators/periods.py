@@ -5,9 +5,10 @@ lower bound ``date_stop`` (the names are historical; a null bound is open).
 A line joins every period whose range contains its due date: overlapping
 periods give several rows, a date in no period drops the line.
 
-The period table has a handful of rows, so the join is a broadcast nested
-loop join: every line is tested against the broadcast rows in place, with
-no shuffle of the lines.
+The period table is a report parameter of a handful of rows, so the join is
+a broadcast nested loop join: every line is tested against the broadcast
+rows in place, with no shuffle of the lines.  A table of more than
+:data:`MAX_PERIODS` rows is an error, not another kind of join.
 """
 
 from __future__ import annotations
@@ -15,23 +16,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.broadcast import assert_unique, checked_broadcast
+from ledgerlens.operators.checks import assert_unique
 
-# A period table is a report parameter; more rows than this is a mistake.
-MAX_PERIODS = 10_000
+MAX_PERIODS = 1_000
 
 
 def period_join(df: DataFrame, periods: DataFrame, date_col: str = "report_date",
-                known_rows: int | None = None, validate: bool = True) -> DataFrame:
-    """Inner range join of ``df`` with ``periods``; adds ``period_index``."""
+                known_rows: int | None = None) -> DataFrame:
+    """Inner range join of ``df`` with ``periods``; adds ``period_index``.
+
+    ``known_rows``: the size of a table the caller built from Python rows;
+    another one is counted and its ``period_index`` checked for repeats.
+    """
     p = periods.select(
         F.col("date_start").cast("date").alias("__p_upper"),
         F.col("date_stop").cast("date").alias("__p_lower"),
         F.col("period_index"),
     )
-    if validate:
+    rows = known_rows if known_rows is not None else p.limit(MAX_PERIODS + 1).count()
+    if rows > MAX_PERIODS:
+        raise ValueError(f"period table: more than {MAX_PERIODS} rows")
+    if known_rows is None:
         assert_unique(p, ["period_index"], "period table")
-    p = checked_broadcast(p, MAX_PERIODS, known_rows)
+    p = F.broadcast(p)
     d = F.col(date_col)
     cond = ((p["__p_upper"].isNull() | (d <= p["__p_upper"]))
             & (p["__p_lower"].isNull() | (d >= p["__p_lower"])))

@@ -10,7 +10,7 @@ of that key, which makes the integer equi-join equivalent to the string one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import partner_res_id
@@ -34,49 +34,16 @@ def trust_properties(ir_property: DataFrame, model: str = "res.partner",
 
 def join_trust(df: DataFrame, ir_property: DataFrame, partner_col: str = "partner_id",
                company_col: str = "company_id") -> DataFrame:
-    """Left join of the trust rows of (partner, company); several trust rows
-    for one pair give several output rows, none gives null trust columns."""
-    t = trust_properties(ir_property)
-    cond = (F.col(partner_col) == t.trust_partner_id) & (F.col(company_col) == t.trust_company_id)
-    return df.join(t, cond, "left").drop("trust_partner_id", "trust_company_id")
+    """Left join of the trust rows of (partner, company), as private columns
+    ``__trust_id`` and ``__trust_value``; several trust rows for one pair give
+    several output rows, none gives nulls.
 
-
-def partners_with_trust(partners: DataFrame, ir_property: DataFrame,
-                        partner_key: str = "__p_id") -> DataFrame:
-    """Partners joined with their trust rows, keyed by partner only.
-
-    ``partners`` has the key column ``partner_key``.  Each partner gets one
-    row per trust property (``__trust_fallback`` false) and one fallback row
-    with empty trust columns (``__trust_fallback`` true), plus the set of
-    companies that have a trust row for it (a handful of company ids).
-    Joining this on the partner id alone and then applying
-    :func:`trust_match` gives exactly the left join on (partner, company):
-    the lines meet partner and trust data in one join, so a line stream that
-    has to be shuffled for it is shuffled once, not twice.
+    A plain shuffled join on both keys: each side has an exchange of its own,
+    so AQE splits a partner with very many lines, and broadcasts the property
+    side when its real size is small.
     """
-    t = trust_properties(ir_property)
-    companies = t.groupBy("trust_partner_id").agg(
-        F.collect_set("trust_company_id").alias("__trust_companies"))
-    rows = t.select(F.col("trust_partner_id").alias("__tp_id"), "trust_company_id",
-                    "trust_property_id", "trust_value",
-                    F.lit(False).alias("__trust_fallback"))
-    fallback = partners.select(F.col(partner_key).alias("__tp_id"),
-                               F.lit(None).cast(rows.schema["trust_company_id"].dataType)
-                               .alias("trust_company_id"),
-                               F.lit(None).cast(rows.schema["trust_property_id"].dataType)
-                               .alias("trust_property_id"),
-                               F.lit(None).cast("string").alias("trust_value"),
-                               F.lit(True).alias("__trust_fallback"))
-    return (partners
-            .join(rows.unionByName(fallback), F.col(partner_key) == F.col("__tp_id"))
-            .join(companies, F.col(partner_key) == F.col("trust_partner_id"), "left")
-            .drop("__tp_id", "trust_partner_id"))
-
-
-def trust_match(company_col: str = "company_id") -> Column:
-    """Filter after joining :func:`partners_with_trust`: the trust rows of the
-    row's company, or the fallback row when that company has none."""
-    company = F.col(company_col)
-    has_trust = F.coalesce(F.array_contains(F.col("__trust_companies"), company), F.lit(False))
-    return ((~F.col("__trust_fallback") & (F.col("trust_company_id") == company))
-            | (F.col("__trust_fallback") & ~has_trust))
+    t = trust_properties(ir_property).select(
+        F.col("trust_partner_id").alias("__t_partner"), F.col("trust_company_id").alias("__t_company"),
+        F.col("trust_property_id").alias("__trust_id"), F.col("trust_value").alias("__trust_value"))
+    cond = (F.col(partner_col) == F.col("__t_partner")) & (F.col(company_col) == F.col("__t_company"))
+    return df.join(t, cond, "left").drop("__t_partner", "__t_company")

@@ -7,21 +7,22 @@ the other five hold 0.
 
 Plan, in the order the data meets it (lines are the only large input):
 
-1. accounts of the report's kind (non-excluded) filter the lines through a
-   broadcast semi join, and the company currency table is broadcast; both
-   after a size check, neither moves the lines;
+1. accounts of the report's kind (non-excluded) filter the lines by a semi
+   join, and the company currency table joins them;
 2. partials are reduced to one row per line (``partial_residual``) and joined
    on the line id; the "still open" test (company-currency residual rounded
    to the company precision is not 0) is applied right there, so settled
    lines leave before the wider joins;
 3. document headers (with their source sale order and the latest rate of the
    document currency) join on the move id;
-4. account label and journal currency join after the shuffles, so the two
-   shuffles above carry narrow rows; partners and trust rows are broadcast
-   when a bounded count proves them small, and otherwise meet the lines
-   together in a single join on the partner id followed by the company
-   match (one shuffle, never a second one keyed by partner and company);
+4. account label, journal currency, partner and trust rows join;
 5. the period range join runs last, against the broadcast period table.
+
+Tables join without hints: Catalyst and AQE broadcast what is small by its
+statistics or its real size, and split a hot partner, document or line in a
+shuffled join, because both sides of each have an exchange of their own.
+Joined columns carry private names until the last select, so a line table may
+have columns of the same names.
 """
 
 from __future__ import annotations
@@ -31,27 +32,19 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerlens.functions.money import (
-    WORK, converted_amount, ratio_or_one, round_by_precision,
-)
+from ledgerlens.functions.money import ROUNDED, ratio_or_one, round_by_precision, with_converted
 from ledgerlens.functions.text import DEFAULT_TRUST, account_label
-from ledgerlens.operators.broadcast import assert_unique, checked_broadcast, small_flags
+from ledgerlens.operators.checks import assert_unique
 from ledgerlens.operators.latest import latest_rate
+from ledgerlens.operators.paging import ordered_slice
 from ledgerlens.operators.periods import period_join
 from ledgerlens.operators.settlement import partial_residual
-from ledgerlens.operators.trust import partners_with_trust, trust_match, trust_properties
+from ledgerlens.operators.trust import join_trust
 from ledgerlens.sources.inline import currency_table as make_currency_table
 from ledgerlens.sources.inline import period_rows, period_table
 
 PERIODS = 6
-# Decimal shapes used before the rounding step: the residual keeps 12
-# decimals and at most 18 integer digits, the company rate 6 and 6, so the
-# product keeps 13 decimals instead of Spark's default 6.
-RESIDUAL = T.DecimalType(30, 12)
-COMPANY_RATE = T.DecimalType(12, 6)
-
 # Columns the report selects explicitly; every other column of the journal
 # line passes through under its own name, in front of them.
 _EXPLICIT = (
@@ -75,9 +68,9 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
 
     ``currency_table`` is ``(company_id, rate, precision)``, one row per
     company (a company missing from it drops its lines), given as Python
-    rows (validated and broadcast directly) or as a DataFrame (validated and
-    size-checked).  ``periods`` is ``(date_start, date_stop, period_index)``;
-    by default the six 30-day buckets ending at ``date_to``.
+    rows or as a DataFrame (checked for repeated companies).  ``periods`` is
+    ``(date_start, date_stop, period_index)``; by default the six 30-day
+    buckets ending at ``date_to``.
     """
     if currency_table is None:
         raise ValueError("aged_lines needs the company currency table")
@@ -85,37 +78,23 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
     spark = aml.sparkSession
     sign = account_sign(account_type)
 
-    # 1. dimensions folded in without moving the lines
     acc = (tables["account_account"]
            .filter((F.col("internal_type") == account_type)
                    & ~F.coalesce(F.col("exclude_from_aged_reports"), F.lit(False)))
            .select(F.col("id").alias("__acc_id"),
-                   account_label(F.col("code"), F.col("name")).alias("account_name"),
-                   F.col("code").alias("account_code")))
+                   account_label(F.col("code"), F.col("name")).alias("__account_name"),
+                   F.col("code").alias("__account_code")))
     journal = tables["account_journal"].select(
         F.col("id").alias("__jr_id"), F.col("currency_id").alias("__jr_currency_id"))
     if isinstance(currency_table, DataFrame):
-        ct_df, ct_rows = currency_table, None
+        assert_unique(currency_table, ["company_id"], "currency table")
     else:
-        ct_rows = list(currency_table)
-        ct_df = make_currency_table(spark, ct_rows)  # validates on the driver
-    ct = ct_df.select(F.col("company_id").alias("__ct_company_id"),
-                      F.col("rate").alias("__company_rate"),
-                      F.col("precision").alias("__precision"))
-    rates = latest_rate(tables["res_currency_rate"]).select(
-        F.col("currency_id").alias("__rate_currency_id"), F.col("rate").alias("currency_rate"))
+        currency_table = make_currency_table(spark, list(currency_table))  # validates on the driver
+    ct = currency_table.select(F.col("company_id").alias("__ct_company_id"),
+                               F.col("rate").alias("__company_rate"),
+                               F.col("precision").alias("__precision"))
     partners = tables["res_partner"].select(F.col("id").alias("__p_id"),
-                                            F.col("name").alias("partner_name"))
-    trust = trust_properties(tables["ir_property"])
-    candidates = {"acc": acc, "journal": journal, "rates": rates, "partners": partners,
-                  "trust": trust}
-    if ct_rows is None:
-        assert_unique(ct, ["__ct_company_id"], "currency table")
-        candidates["ct"] = ct
-    small = small_flags(candidates)
-    dims = {k: (F.broadcast(v) if small[k] else v) for k, v in candidates.items()}
-    if ct_rows is not None:
-        dims["ct"] = checked_broadcast(ct, known_rows=len(ct_rows))
+                                            F.col("name").alias("__partner_name"))
 
     line_cols = aml.columns
     # Only the filtering joins run before the shuffles (account kind as a
@@ -124,11 +103,10 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
     # shuffled rows stay narrow.
     lines = (aml
              .filter(F.col("partner_id").isNotNull())
-             .join(dims["acc"].select("__acc_id"), F.col("account_id") == F.col("__acc_id"),
-                   "left_semi")
-             .join(dims["ct"], F.col("company_id") == F.col("__ct_company_id")))
+             .join(acc.select("__acc_id"), F.col("account_id") == F.col("__acc_id"), "left_semi")
+             .join(ct, F.col("company_id") == F.col("__ct_company_id")))
 
-    # 2. settlement as of date_to, then the HAVING test
+    # settlement as of date_to, then the HAVING test
     settled = partial_residual(tables["account_partial_reconcile"], date_to).select(
         F.col("line_id").alias("__set_line_id"),
         F.col("debit_amount").alias("__debit"), F.col("credit_amount").alias("__credit"))
@@ -138,77 +116,69 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
     lines = lines.filter(
         round_by_precision(F.col("balance") - debit + credit, F.col("__precision")) != 0)
 
-    # 3. document header, its source order and the latest rate of its currency
-    moves = _move_headers(tables, dims["rates"])
-    lines = lines.join(moves, F.col("move_id") == F.col("__mv_id"))
+    # document header, its source order and the latest rate of its currency
+    lines = lines.join(_move_headers(tables), F.col("move_id") == F.col("__mv_id"))
 
-    # 4. account label, journal currency, trust property (left) and partner
+    # account label, journal currency, partner (inner) and its trust rows
     lines = (lines
-             .join(dims["acc"], F.col("account_id") == F.col("__acc_id"))
-             .join(dims["journal"], F.col("journal_id") == F.col("__jr_id")))
-    # partner (inner) and its trust rows for the line's company (left)
-    if small["partners"] and small["trust"]:
-        lines = (lines
-                 .join(dims["trust"], (F.col("partner_id") == F.col("trust_partner_id"))
-                       & (F.col("company_id") == F.col("trust_company_id")), "left")
-                 .join(dims["partners"], F.col("partner_id") == F.col("__p_id")))
-    else:
-        # too big to broadcast: both meet the lines in one join on the partner
-        # id (one shuffle, not one per key), then the company match
-        lines = (lines.join(partners_with_trust(partners, tables["ir_property"]),
-                            F.col("partner_id") == F.col("__p_id"))
-                 .filter(trust_match("company_id")))
-
-    # 5. period range join
-    report_date = F.coalesce(F.col("date_maturity"), F.col("date"))
-    lines = lines.withColumn("report_date", report_date)
+             .join(acc, F.col("account_id") == F.col("__acc_id"))
+             .join(journal, F.col("journal_id") == F.col("__jr_id"))
+             .join(partners, F.col("partner_id") == F.col("__p_id")))
+    lines = join_trust(lines, tables["ir_property"])
+
+    # period range join
+    lines = lines.withColumn("__report_date", F.coalesce(F.col("date_maturity"), F.col("date")))
+    if "period_index" in line_cols:
+        lines = lines.withColumnRenamed("period_index", "__own_period_index")
     if periods is None:
-        rows = period_rows(date_to)
-        lines = period_join(lines, period_table(spark, date_to), "report_date",
-                            known_rows=len(rows), validate=False)
+        lines = period_join(lines, period_table(spark, date_to), "__report_date",
+                            known_rows=len(period_rows(date_to)))
     else:
-        lines = period_join(lines, periods, "report_date")
-
-    rate = F.col("currency_rate")
-    residual = converted_amount(F.col("amount_currency"), rate, F.col("balance")) - debit + credit
-    amount = F.lit(sign) * round_by_precision(
-        residual.cast(RESIDUAL) * F.col("__company_rate").cast(COMPANY_RATE), F.col("__precision"))
-    amount = amount.cast(WORK)
-    buckets = [F.when(F.col("period_index") == i, amount).otherwise(F.lit(0).cast(WORK))
+        lines = period_join(lines, periods, "__report_date")
+
+    lines = with_converted(lines, "__amount", F.col("amount_currency"), F.col("__currency_rate"), F.col("balance"),
+                           debit - credit, F.col("__company_rate"), F.col("__precision"))
+    amount = (F.lit(sign) * F.col("__amount")).cast(ROUNDED)
+    buckets = [F.when(F.col("period_index") == i, amount).otherwise(F.lit(0).cast(ROUNDED))
                .alias(f"period{i}") for i in range(PERIODS)]
 
     explicit: dict[str, Column] = {
         "amount_currency": F.col("amount_currency"),
         "partner_id": F.col("partner_id"),
-        "partner_name": F.col("partner_name"),
-        "partner_trust": F.coalesce(F.col("trust_value"), F.lit(DEFAULT_TRUST)),
+        "partner_name": F.col("__partner_name"),
+        "partner_trust": F.coalesce(F.col("__trust_value"), F.lit(DEFAULT_TRUST)),
         "report_currency_id": F.coalesce(F.col("currency_id"), F.col("__jr_currency_id")),
         "payment_id": F.col("payment_id"),
-        "report_date": F.col("report_date"),
+        "report_date": F.col("__report_date"),
         "expected_pay_date": F.col("expected_pay_date"),
-        "move_type": F.col("move_type"),
-        "move_name": F.col("move_name"),
-        "move_ref": F.col("move_ref"),
-        "amount_residual": F.col("amount_residual"),
-        "order_no": F.col("order_no"),
-        "currency_rate": rate,
-        "account_name": F.col("account_name"),
-        "account_code": F.col("account_code"),
+        "move_type": F.col("__move_type"),
+        "move_name": F.col("__move_name"),
+        "move_ref": F.col("__move_ref"),
+        "amount_residual": F.col("__amount_residual"),
+        "order_no": F.col("__order_no"),
+        "currency_rate": F.col("__currency_rate"),
+        "account_name": F.col("__account_name"),
+        "account_code": F.col("__account_code"),
     }
-    passthrough = [F.col(c) for c in line_cols if c not in _EXPLICIT]
+    own = {"period_index": "__own_period_index"}
+    replaced = {*_EXPLICIT, *(f"period{i}" for i in range(PERIODS))}
+    passthrough = [F.col(own.get(c, c)).alias(c) for c in line_cols if c not in replaced]
     return lines.select(*passthrough, *[explicit[c].alias(c) for c in _EXPLICIT], *buckets)
 
 
-def _move_headers(tables: Mapping[str, DataFrame], rates: DataFrame) -> DataFrame:
+def _move_headers(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Document headers with the source sale order name and the latest rate
-    of the document currency (``rates``: ``__rate_currency_id, currency_rate``)."""
+    of the document currency, under private names."""
     mv = tables["account_move"].select(
-        F.col("id").alias("__mv_id"), "move_type", F.col("name").alias("move_name"),
-        F.col("ref").alias("move_ref"), "amount_residual",
+        F.col("id").alias("__mv_id"), F.col("move_type").alias("__move_type"),
+        F.col("name").alias("__move_name"), F.col("ref").alias("__move_ref"),
+        F.col("amount_residual").alias("__amount_residual"),
         F.col("currency_id").alias("__mv_currency_id"),
         F.col("x_studio_source_order").alias("__mv_source_order"))
+    rates = latest_rate(tables["res_currency_rate"]).select(
+        F.col("currency_id").alias("__rate_currency_id"), F.col("rate").alias("__currency_rate"))
     orders = tables["sale_order"].select(F.col("id").alias("__so_id"),
-                                         F.col("name").alias("order_no"))
+                                         F.col("name").alias("__order_no"))
     return (mv.join(rates, F.col("__mv_currency_id") == F.col("__rate_currency_id"), "left")
               .join(orders, F.col("__mv_source_order") == F.col("__so_id"), "left")
               .drop("__rate_currency_id", "__so_id", "__mv_currency_id", "__mv_source_order"))
@@ -262,6 +232,36 @@ def group_by_partner(lines: DataFrame, sort_by: Sequence[Column] | None = None)
     return out
 
 
+# Order of the two-level report.
+REPORT_ORDER = ("partner_name ASC NULLS LAST", "partner_id", "level", "report_date ASC NULLS LAST",
+                "id ASC NULLS FIRST")
+
+
+def two_levels(lines: DataFrame, position: str | None = None) -> DataFrame:
+    """Partner rows (``level`` 0) and line rows (``level`` 1) with the same
+    columns, each partner followed by its lines.
+
+    A line row shows its own document and account; its original currency
+    amount is the same ratio as a partner's, of the line's own values.
+    Sorted by partner name (nulls last), partner, level, due date and line;
+    ``position`` names a column with each row's place, from 0.
+    """
+    own = lines.select(
+        F.lit(1).alias("level"), F.col("id"),
+        *[F.col(c) if c != "original_currency_amount"
+          else ratio_or_one(F.col("amount_currency"), F.col("currency_rate")).alias(c) for c in BY_PARTNER_COLUMNS])
+    totals = group_by_partner(lines).select(
+        F.lit(0).alias("level"), F.lit(None).cast(lines.schema["id"].dataType).alias("id"), *BY_PARTNER_COLUMNS)
+    return ordered_slice(totals.unionByName(own), REPORT_ORDER, position=position)
+
+
+def aged_report(tables: Mapping[str, DataFrame], date_to: dt.date | str, account_type: str = "receivable",
+                currency_table: DataFrame | Sequence[tuple] | None = None,
+                periods: DataFrame | None = None, position: str | None = None) -> DataFrame:
+    """The two-level report: :func:`aged_lines` under their partners."""
+    return two_levels(aged_lines(tables, date_to, account_type, currency_table, periods), position)
+
+
 def aged_by_partner(tables: Mapping[str, DataFrame], date_to: dt.date | str,
                     account_type: str = "receivable",
                     currency_table: DataFrame | Sequence[tuple] | None = None,

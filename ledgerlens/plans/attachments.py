@@ -9,8 +9,8 @@
   opens on (the first flagged ``is_main`` in list order, else the first one),
   and whether it was newly chosen (no attachment of the record was flagged).
 
-Records are identified by ``record_cols`` (``res_id`` in the fixture; a
-full deployment would pass ``("res_model", "res_id")``).
+A list belongs to one record, identified by ``record_cols``: model and id
+(``("res_model", "res_id")``), or the id alone in a table of one model.
 """
 
 from __future__ import annotations
@@ -22,42 +22,36 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import PREVIEW_TYPES, classify_mime
 from ledgerlens.operators.latest import top1_per_key
-from ledgerlens.operators.paging import ordered_slice
+from ledgerlens.operators.paging import SortKey, ordered_slice, sort_columns
 
-RECORD_COLS = ("res_id",)
+# Listing order: creation date descending (nulls first), then id.
+NEWEST_FIRST = ("create_date DESC NULLS FIRST", "id DESC")
+# The same list reversed: every key and its null placement.
+OLDEST_FIRST = tuple(SortKey.parse(k).reversed() for k in NEWEST_FIRST)
 
 
-def newest_first() -> list[Column]:
-    """Listing order: creation date descending (nulls first), then id."""
-    return [F.desc_nulls_first("create_date"), F.desc("id")]
-
-
-def oldest_first() -> list[Column]:
-    """The newest-first list reversed: every key and its null placement."""
-    return [F.asc_nulls_last("create_date"), F.asc("id")]
-
-
-def list_order(order: str) -> list[Column]:
+def list_order(order: str) -> tuple[str, ...]:
     if order == "asc":
-        return oldest_first()
+        return OLDEST_FIRST
     if order == "desc":
-        return newest_first()
+        return NEWEST_FIRST
     raise ValueError(f"order must be 'asc' or 'desc', not {order!r}")
 
 
 def attachments_page(attachments: DataFrame, where: Column | None = None,
                      columns: Sequence[str] | None = None, offset: int = 0,
-                     limit: int | None = None,
-                     order: Sequence[Column] | None = None) -> DataFrame:
+                     limit: int | None = None, order: Sequence[str] | None = None,
+                     position: str | None = None) -> DataFrame:
     """Filtered, ordered page of attachments.
 
-    ``order`` defaults to newest first, only when none is given (an
-    explicit order wins).  ``offset`` / ``limit`` select the page.
+    ``order`` (SQL sort keys) defaults to newest first, only when none is
+    given (an explicit order wins).  ``offset`` / ``limit`` select the page;
+    ``position`` names a column with each row's place in the whole list.
     """
     df = attachments if where is None else attachments.filter(where)
-    keys = newest_first() if order is None else list(order)
-    page = ordered_slice(df, keys, offset, limit)
-    return page.select(*columns) if columns else page
+    keys = NEWEST_FIRST if order is None else list(order)
+    page = ordered_slice(df, keys, offset, limit, position)
+    return page.select(*columns, *([position] if position else [])) if columns else page
 
 
 def typed_attachments(attachments: DataFrame,
@@ -71,16 +65,17 @@ def typed_attachments(attachments: DataFrame,
             .filter(F.col("mimetype").isNotNull() & (F.col("type") != "")))
 
 
-def attachments_typed(attachments: DataFrame, types: Sequence[str] = PREVIEW_TYPES,
-                      order: str = "asc",
-                      record_cols: Sequence[str] = RECORD_COLS) -> DataFrame:
-    """Preview lists of all records, each in list order."""
-    return typed_attachments(attachments, types).orderBy(*record_cols, *list_order(order))
+def attachments_typed(attachments: DataFrame, record_cols: Sequence[str],
+                      types: Sequence[str] = PREVIEW_TYPES, order: str = "asc",
+                      position: str | None = None) -> DataFrame:
+    """Preview lists of all records, each in list order; ``position`` names a
+    column with each row's place in the result, from 0."""
+    keys = [*record_cols, *list_order(order)]
+    return ordered_slice(typed_attachments(attachments, types), keys, position=position)
 
 
-def attachments_main(attachments: DataFrame, types: Sequence[str] = PREVIEW_TYPES,
-                     order: str = "asc",
-                     record_cols: Sequence[str] = RECORD_COLS) -> DataFrame:
+def attachments_main(attachments: DataFrame, record_cols: Sequence[str],
+                     types: Sequence[str] = PREVIEW_TYPES, order: str = "asc") -> DataFrame:
     """Main attachment per record, with ``newly_chosen``.
 
     Top-1 per record through ``row_number() = 1``: Spark limits each record
@@ -89,6 +84,6 @@ def attachments_main(attachments: DataFrame, types: Sequence[str] = PREVIEW_TYPE
     """
     flagged = F.coalesce(F.col("is_main"), F.lit(False))
     typed = typed_attachments(attachments, types)
-    main = top1_per_key(typed, list(record_cols), [flagged.desc(), *list_order(order)])
+    main = top1_per_key(typed, list(record_cols), [flagged.desc(), *sort_columns(list_order(order))])
     return main.select(*record_cols, "id", "mimetype", "type", "create_date", "is_main",
                        (~flagged).alias("newly_chosen"))

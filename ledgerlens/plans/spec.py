@@ -1,10 +1,10 @@
 """Report declarations: the four extension points of a report.
 
-A report is declared by what its lines are (the query), which columns it
-shows and in which order, how lines fold into levels (the hierarchy), and
-which parameters restrict it (the domain).  ``ReportSpec`` records exactly
-those, pointing at the plan functions of this package, so a new report is
-one more declaration and a caller can run any report by name:
+A report is declared by what its lines are (the query), how lines fold into
+levels (the hierarchy), which columns each level shows and in which order,
+and which parameters restrict it (the domain).  ``ReportSpec`` records
+exactly those, pointing at the plan functions of this package, so a new
+report is one more declaration and a caller can run any report by name:
 
     run_report("undelivered", tables, level="order_id", company_ids=[1])
 
@@ -19,80 +19,88 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ledgerlens.plans.aged import BY_PARTNER_COLUMNS, aged_lines, group_by_partner
+from ledgerlens.plans.aged import BY_PARTNER_COLUMNS, aged_lines, group_by_partner, two_levels
 from ledgerlens.plans.attachments import attachments_main, attachments_page, attachments_typed
 from ledgerlens.plans.undelivered import (
-    LINE_COLUMNS, undelivered_by_order, undelivered_lines, undelivered_report,
+    LINE_COLUMNS, REPORT_COLUMNS, undelivered_by_order, undelivered_lines, undelivered_report,
 )
 
 
+@dataclass(frozen=True)
+class Level:
+    """How lines fold into a level, what it shows (in order; nothing said:
+    all it has), and the parameters it takes."""
+
+    fold: Callable[..., DataFrame]
+    columns: tuple[str, ...] = ()
+    parameters: tuple[str, ...] = ()
+
+
 @dataclass(frozen=True)
 class ReportSpec:
     """One report: ``lines(tables, **domain)`` builds the line relation with
-    the domain applied; ``columns`` are the displayed columns in order;
-    ``levels`` maps a hierarchy key to the function folding lines into that
-    level (the empty key ``""`` is the full hierarchy, when the report has
-    one); ``domain`` names the parameters ``lines`` accepts."""
+    the domain applied; ``columns`` are the line columns shown, in order;
+    ``levels`` maps a hierarchy key to a :class:`Level` (the empty key is the
+    full hierarchy, when the report has one); ``domain`` names the parameters
+    ``lines`` accepts."""
 
     name: str
     lines: Callable[..., DataFrame]
     columns: tuple[str, ...]
-    levels: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
+    levels: Mapping[str, Level] = field(default_factory=dict)
     domain: tuple[str, ...] = ()
 
 
-def _aged_lines(tables, date_to, account_type="receivable", currency_table=None, periods=None):
-    return aged_lines(tables, date_to, account_type, currency_table, periods)
-
-
-def _undelivered_lines(tables, company_ids=None, partner_ids=None):
-    return undelivered_lines(tables, company_ids, partner_ids)
-
-
 def _attachment_lines(tables, where=None):
     df = tables["ir_attachment"]
     return df if where is None else df.filter(where)
 
 
+_ATTACHMENT = ("id", "res_id", "mimetype", "create_date", "is_main")
+
 REPORTS: dict[str, ReportSpec] = {
     "aged_partner": ReportSpec(
         name="aged_partner",
-        lines=_aged_lines,
-        columns=BY_PARTNER_COLUMNS,
-        levels={"partner_id": group_by_partner},
+        lines=aged_lines,
+        columns=("id", *(c for c in BY_PARTNER_COLUMNS if c != "original_currency_amount")),
+        levels={"partner_id": Level(group_by_partner, BY_PARTNER_COLUMNS, ("sort_by",)),
+                "": Level(two_levels, ("level", "id", *BY_PARTNER_COLUMNS))},
         domain=("date_to", "account_type", "currency_table", "periods"),
     ),
     "undelivered": ReportSpec(
         name="undelivered",
-        lines=_undelivered_lines,
+        lines=undelivered_lines,
         columns=LINE_COLUMNS,
-        levels={"order_id": undelivered_by_order, "": undelivered_report},
-        domain=("company_ids", "partner_ids"),
+        levels={"order_id": Level(undelivered_by_order),
+                "": Level(undelivered_report, REPORT_COLUMNS, ("sort",))},
+        domain=("company_ids", "partner_ids", "dedupe"),
     ),
     "attachments": ReportSpec(
         name="attachments",
         lines=_attachment_lines,
-        columns=("id", "res_id", "mimetype", "create_date", "is_main"),
-        levels={"res_id": attachments_main, "": attachments_typed,
-                "page": attachments_page},
+        columns=_ATTACHMENT,
+        levels={"main": Level(attachments_main, (), ("record_cols", "types", "order")),
+                "": Level(attachments_typed, (*_ATTACHMENT, "type"), ("record_cols", "types", "order")),
+                "page": Level(attachments_page, _ATTACHMENT, ("offset", "limit", "order"))},
         domain=("where",),
     ),
 }
 
 
 def run_report(name: str, tables: Mapping[str, DataFrame], level: str | None = None,
-               **domain) -> DataFrame:
+               **parameters) -> DataFrame:
     """Run a declared report: its lines with the domain applied, optionally
-    folded into one of its levels (see :class:`ReportSpec`)."""
+    folded into one of its levels, with the columns declared for it.
+
+    ``parameters`` are those of the domain and of the level.
+    """
     spec = REPORTS[name]
-    unknown = set(domain) - set(spec.domain)
+    if level is not None and level not in spec.levels:
+        raise KeyError(f"{name}: no level {level!r}; levels: {sorted(spec.levels)}")
+    how = Level(lambda lines: lines, spec.columns) if level is None else spec.levels[level]
+    unknown = set(parameters) - set(spec.domain) - set(how.parameters)
     if unknown:
-        raise TypeError(f"{name}: unknown domain parameter(s) {sorted(unknown)}")
-    lines = spec.lines(tables, **domain)
-    if level is None:
-        return lines
-    try:
-        fold = spec.levels[level]
-    except KeyError:
-        raise KeyError(f"{name}: no level {level!r}; levels: {sorted(spec.levels)}") from None
-    return fold(lines)
+        raise TypeError(f"{name}: unknown parameter(s) {sorted(unknown)}")
+    lines = spec.lines(tables, **{k: v for k, v in parameters.items() if k in spec.domain})
+    out = how.fold(lines, **{k: v for k, v in parameters.items() if k in how.parameters})
+    return out.select(*how.columns) if how.columns else out

@@ -5,13 +5,12 @@ outstanding quantity, its amount converted at the latest rate of the order
 currency, and the customer's names.  Delivered and over-delivered lines are
 listed too (there is no outstanding > 0 test).
 
-Shuffle plan: the order lines are the only large input.  Product, template,
-partner and trust rows are master data, broadcast when a bounded count
-proves them small (when they are not, the trust rows travel with the order
-header), so the one unavoidable shuffle of the lines is the join with their
-orders on ``order_id``.  The per-order roll-up groups on that key (plus per-order
-constants), so it reuses the join's partitioning; the two-level report is
-one grouping-sets aggregation with map-side partial sums.
+Tables join without hints, one form at every size: Catalyst and AQE broadcast
+what is small by its statistics or its real size.  Customers join the order
+headers, trust rows the lines; each shuffled join has an exchange of its own
+on both sides, so AQE splits a hot order, customer or product.  The per-order
+roll-up sums narrow rows on the map side.  The two-level report is the line
+rows and the order rows in one range shuffle, the sort of the report.
 """
 
 from __future__ import annotations
@@ -23,9 +22,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import WORK, converted_amount
 from ledgerlens.functions.text import blank_zero, order_label
-from ledgerlens.operators.broadcast import small_flags
 from ledgerlens.operators.latest import latest_rate_named
-from ledgerlens.operators.trust import partners_with_trust, trust_match, trust_properties
+from ledgerlens.operators.paging import ordered_slice, sort_columns
+from ledgerlens.operators.trust import join_trust
 
 # Fixed fallback currency shown when an order's currency has no usable rate.
 FALLBACK_CURRENCY_NAME = "HKD"
@@ -70,58 +69,31 @@ def undelivered_lines(tables: Mapping[str, DataFrame],
     partners = tables["res_partner"].select(
         F.col("id").alias("__p_id"), F.col("name").alias("partner_name"),
         F.col("display_name").alias("english_name"))
-    currencies = tables["res_currency"]
-
-    def rates_with(cur: DataFrame) -> DataFrame:
-        return latest_rate_named(tables["res_currency_rate"], cur).select(
-            F.col("currency_id").alias("__rate_currency_id"), F.col("rate").alias("__rate"),
-            F.col("currency_name").alias("__rate_name"),
-            F.col("currency_symbol").alias("__rate_symbol"))
-    rates = rates_with(currencies)
+    rates = latest_rate_named(tables["res_currency_rate"], tables["res_currency"]).select(
+        F.col("currency_id").alias("__rate_currency_id"), F.col("rate").alias("__rate"),
+        F.col("currency_name").alias("__rate_name"), F.col("currency_symbol").alias("__rate_symbol"))
     products = (tables["product_product"].select(F.col("id").alias("__prod_id"),
                                                  F.col("product_tmpl_id").alias("__tmpl_ref"))
                 .join(tables["product_template"].select(F.col("id").alias("__tmpl_id"),
                                                         F.col("name").alias("product_code")),
                       F.col("__tmpl_ref") == F.col("__tmpl_id"))
                 .select("__prod_id", "product_code"))
-    trust = trust_properties(tables["ir_property"])
-    candidates = {"partners": partners, "rates": rates, "products": products,
-                  "currencies": currencies, "trust": trust}
     if isinstance(partner_ids, DataFrame):
-        candidates["wanted"] = partner_ids.select(F.col("id").alias("__pf_id"))
-    small = small_flags(candidates)
-    dims = {k: (F.broadcast(v) if small[k] else v) for k, v in candidates.items()}
-    if small["currencies"]:
-        # currency rows join the rate history before the top-1: broadcast them
-        rates = rates_with(dims["currencies"])
-        dims["rates"] = F.broadcast(rates) if small["rates"] else rates
-
-    if isinstance(partner_ids, DataFrame):
-        orders = orders.join(dims["wanted"], F.col("partner_id") == F.col("__pf_id"), "left_semi")
+        wanted = partner_ids.select(F.col("id").alias("__pf_id"))
+        orders = orders.join(wanted, F.col("partner_id") == F.col("__pf_id"), "left_semi")
     elif partner_ids is not None:
         orders = orders.filter(F.col("partner_id").isin(list(partner_ids)))
-    # Trust rows are matched on (partner, line company).  Broadcast when
-    # small; otherwise they travel with the order header and are matched to
-    # each line's company after the one join of the lines with their orders.
-    carry_trust = not (small["partners"] and small["trust"])
-    customer = (partners_with_trust(partners, tables["ir_property"]) if carry_trust
-                else dims["partners"])
     order_info = (orders
-                  .join(customer, F.col("partner_id") == F.col("__p_id"))
-                  .join(dims["rates"], F.col("__so_currency_id") == F.col("__rate_currency_id"),
-                        "left")
+                  .join(partners, F.col("partner_id") == F.col("__p_id"))
+                  .join(rates, F.col("__so_currency_id") == F.col("__rate_currency_id"), "left")
                   .drop("__p_id", "__rate_currency_id"))
 
     lines = (sol
-             .join(dims["products"], F.col("product_id") == F.col("__prod_id"))
+             .join(products, F.col("product_id") == F.col("__prod_id"))
              .join(order_info, F.col("order_id") == F.col("__so_id")))
-    if carry_trust:
-        lines = lines.filter(trust_match("company_id"))
-    else:
-        lines = lines.join(dims["trust"], (F.col("partner_id") == F.col("trust_partner_id"))
-                           & (F.col("company_id") == F.col("trust_company_id")), "left")
+    lines = join_trust(lines, tables["ir_property"])
     if dedupe:
-        lines = lines.dropDuplicates(["id", "__so_id", "partner_id", "trust_property_id"])
+        lines = lines.dropDuplicates(["id", "__so_id", "partner_id", "__trust_id"])
 
     rate = F.col("__rate")
     usable = rate > 0
@@ -190,7 +162,14 @@ def undelivered_by_order(lines: DataFrame) -> DataFrame:
 
 
 
-def undelivered_report(lines: DataFrame, sort: bool = True) -> DataFrame:
+# Columns of the two-level report, in display order, and its order.
+REPORT_COLUMNS = ("level", "order_id", "id", "order_no", "name", "partner_name", "english_name",
+                  "product_code", "quantity", "shipped_quantity", "outstanding_quantity",
+                  "currency_name", "unit_price", "amount_currency", "amount")
+REPORT_ORDER = ("order_no ASC NULLS LAST", "order_id", "level", "id ASC NULLS FIRST")
+
+
+def undelivered_report(lines: DataFrame, sort: bool = True, position: str | None = None) -> DataFrame:
     """Two-level report: an order row (``level`` 0) followed by its line rows
     (``level`` 1); no grand total.
 
@@ -201,43 +180,26 @@ def undelivered_report(lines: DataFrame, sort: bool = True) -> DataFrame:
     empty; the last column (``amount``) is always empty, so the amount shows
     on order rows only.
 
-    Both levels come from one ``GROUPING SETS`` aggregation over the lines,
-    so the join pipeline behind ``lines`` runs once.  The order number and
-    customer names are constant within an order, so they are grouping keys
-    of both sets (their ``max`` is the value itself) and every aggregate is
-    a numeric sum: Spark keeps a hash aggregate with map-side partial sums,
-    which also absorbs a very large order before the shuffle.  The line set
-    is keyed by the line's own values; equal lines (one per trust row of the
-    customer) fold into one group with a count and are expanded back, so the
-    result is deterministic even when tasks are retried.  Sorted by order
-    number (nulls last), order, level, line.
+    Line rows go straight to the sort, copies included (one per trust row of
+    the customer).  Order rows come from an aggregation over the order's
+    constants (order number and customer names) and six numbers, summed on
+    the map side; only their join is run a second time, with the columns they
+    need.  Sorted by order number (nulls last), order, level, line;
+    ``position`` names a column with each row's place in that order, from 0.
     """
-    summed = ("quantity", "shipped_quantity", "outstanding_quantity", "unit_price",
-              "amount_currency", "amount")
     order_keys = ["order_id", "order_no", "partner_name", "english_name"]
-    line_keys = order_keys + ["id", "product_code", "currency_name", *summed]
-    grouped = (lines.groupingSets([order_keys, line_keys], *line_keys)
-               .agg(*[F.sum(c).alias(f"__sum_{c}") for c in summed],
-                    F.count(F.lit(1)).alias("__copies"),
-                    F.grouping("id").alias("__order_level")))
-    is_line = F.col("__order_level") == 0
-
-    def shown(c: str) -> Column:
-        return F.when(is_line, blank_zero(F.col(c))).otherwise(F.col(f"__sum_{c}")).alias(c)
-
-    copies = F.when(is_line, F.col("__copies")).otherwise(F.lit(1)).cast("int")
-    out = grouped.select(
-        F.when(is_line, F.lit(1)).otherwise(F.lit(0)).alias("level"),
-        "order_id", "id", "order_no",
-        F.when(is_line, F.col("order_no")).otherwise(order_label(F.col("order_no"))).alias("name"),
-        "partner_name", "english_name", "product_code",
-        shown("quantity"), shown("shipped_quantity"), shown("outstanding_quantity"),
-        "currency_name", shown("unit_price"), shown("amount_currency"),
-        F.when(is_line, F.lit(None).cast(WORK)).otherwise(F.col("__sum_amount").cast(WORK))
-        .alias("amount"),
-        F.explode(F.array_repeat(F.lit(True), copies)).alias("__copy"),
-    ).drop("__copy")
-    if sort:
-        out = out.orderBy(F.asc_nulls_last("order_no"), "order_id", "level",
-                          F.asc_nulls_first("id"))
-    return out
+    shown = ("quantity", "shipped_quantity", "outstanding_quantity", "unit_price", "amount_currency")
+    line_rows = lines.select(
+        F.lit(1).alias("level"), "order_id", "id", "order_no", F.col("order_no").alias("name"),
+        "partner_name", "english_name", "product_code", "currency_name",
+        *[blank_zero(F.col(c)).alias(c) for c in shown], F.lit(None).cast(WORK).alias("amount"))
+    totals = lines.groupBy(*order_keys).agg(*[F.sum(c).alias(c) for c in _SUMMED])
+    order_rows = totals.select(
+        F.lit(0).alias("level"), "order_id", F.lit(None).cast(lines.schema["id"].dataType).alias("id"), "order_no",
+        order_label(F.col("order_no")).alias("name"), "partner_name", "english_name",
+        F.lit(None).cast("string").alias("product_code"), F.lit(None).cast("string").alias("currency_name"),
+        *shown, F.col("amount").cast(WORK).alias("amount"))
+    out = order_rows.unionByName(line_rows).select(*REPORT_COLUMNS)
+    if position is not None:
+        return ordered_slice(out, REPORT_ORDER, position=position)
+    return out.orderBy(*sort_columns(REPORT_ORDER)) if sort else out

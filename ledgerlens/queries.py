@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.money import round_by_precision
-from ledgerlens.operators.broadcast import checked_broadcast
+from ledgerlens.functions.money import round_by_precision, with_converted
 from ledgerlens.operators.latest import latest_rate, latest_rate_named
 from ledgerlens.operators.periods import period_join
 from ledgerlens.operators.settlement import partial_residual
-from ledgerlens.plans.aged import aged_by_partner, aged_lines
+from ledgerlens.operators.paging import ordered_slice
+from ledgerlens.plans.aged import aged_by_partner, aged_lines, aged_report
 from ledgerlens.plans.attachments import attachments_main, attachments_page, attachments_typed
+from ledgerlens.plans.spec import run_report
 from ledgerlens.plans.undelivered import (
     undelivered_by_order, undelivered_lines, undelivered_report,
 )
@@ -64,8 +65,8 @@ def _ct(spark: SparkSession) -> list[tuple]:
 def q_latest_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest rate of each document's currency (left: no rate -> null)."""
     t = _tables(spark, sf_dir)
-    rates = checked_broadcast(latest_rate(t["res_currency_rate"]).select(
-        F.col("currency_id").alias("r_currency_id"), F.col("rate").alias("currency_rate")))
+    rates = latest_rate(t["res_currency_rate"]).select(
+        F.col("currency_id").alias("r_currency_id"), F.col("rate").alias("currency_rate"))
     mv = t["account_move"]
     out = mv.join(rates, mv.currency_id == rates.r_currency_id, "left").select(
         mv.id.alias("move_id"), mv.currency_id, "currency_rate")
@@ -75,21 +76,32 @@ def q_latest_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_latest_rate_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest rate with currency name and symbol, per sale order."""
     t = _tables(spark, sf_dir)
-    rates = checked_broadcast(latest_rate_named(t["res_currency_rate"], t["res_currency"])
-                              .withColumnRenamed("currency_id", "r_currency_id"))
+    rates = latest_rate_named(t["res_currency_rate"], t["res_currency"]).withColumnRenamed(
+        "currency_id", "r_currency_id")
     so = t["sale_order"]
     out = so.join(rates, so.currency_id == rates.r_currency_id, "left").select(
         so.id.alias("order_id"), so.currency_id, "rate", "currency_name", "currency_symbol")
     return portable(out)
 
 
+def q_latest_rate_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest rate of each currency in a history with a row per order, half
+    of them of one currency, with repeated and missing dates."""
+    o = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    history = o.select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(F.col("o_custkey") % 50).alias("currency_id"),
+        F.when(F.col("o_custkey") % 1000 == 7, None).otherwise(F.col("o_orderdate").cast("date")).alias("name"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("rate"))
+    return portable(latest_rate(history))
+
+
 def q_round_by_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company-precision rounding of a signed eighth of each line's balance
     (ties on both signs at precisions 0, 2 and 3)."""
     t = _tables(spark, sf_dir)
     aml = t["account_move_line"]
-    ct = checked_broadcast(currency_table(spark, CURRENCY_TABLE_ROWS)
-                           .select("company_id", "precision"), known_rows=len(CURRENCY_TABLE_ROWS))
+    ct = currency_table(spark, CURRENCY_TABLE_ROWS).select("company_id", "precision")
     signed = F.when(F.col("id") % 2 == 0, F.col("balance")).otherwise(-F.col("balance"))
     value = (signed * F.lit(Decimal("0.125")).cast(T.DecimalType(18, 6))).cast(T.DecimalType(18, 6))
     out = (aml.join(ct, "company_id")
@@ -104,7 +116,7 @@ def q_period_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     aml = t["account_move_line"].select(
         "id", F.coalesce(F.col("date_maturity"), F.col("date")).alias("report_date"))
     out = period_join(aml, period_table(spark, FIXTURE_DATE_TO), "report_date",
-                      known_rows=len(period_rows(FIXTURE_DATE_TO)), validate=False)
+                      known_rows=len(period_rows(FIXTURE_DATE_TO)))
     return portable(out.select("id", "report_date", "period_index"))
 
 
@@ -128,6 +140,39 @@ def q_aged_by_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(aged_by_partner(t, FIXTURE_DATE_TO, "receivable", _ct(spark)))
 
 
+def q_aged_by_partner_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partners by amount of the newest period, with their place."""
+    rows = aged_by_partner(_tables(spark, sf_dir), FIXTURE_DATE_TO, "receivable", _ct(spark))
+    return portable(ordered_slice(rows, ("period0 DESC", "partner_id"), position="position"))
+
+
+def q_aged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partners, each followed by its open lines."""
+    return portable(aged_report(_tables(spark, sf_dir), FIXTURE_DATE_TO, "receivable", _ct(spark)))
+
+
+def q_aged_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts converted at rates without whole reciprocals, at precisions 0
+    to 11; sign, whole part and twelve decimals of the exact result."""
+    li = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    by_part, by_supplier = F.col("l_partkey") % 6, F.col("l_suppkey") % 4
+    money = "decimal(18,2)"
+    rate = (F.when(by_part == 0, Decimal("0.3")).when(by_part == 1, Decimal("0.7")).when(by_part == 2, Decimal("6.000001"))
+            .when(by_part == 3, Decimal("0.000001")).when(by_part == 4, None).otherwise(0).cast("decimal(18,6)"))
+    factor = (F.when(by_supplier == 0, 1).when(by_supplier == 1, Decimal("1500000.000001"))
+              .when(by_supplier == 2, Decimal("0.333333")).otherwise(Decimal("-2.5")).cast("decimal(18,6)"))
+    key = ((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
+    rows = li.select(key.alias("id"), F.col("l_extendedprice").cast(money).alias("amount"),
+                     (F.col("l_discount") * 1000).cast(money).alias("settled"), rate.alias("rate"), factor.alias("factor"),
+                     (F.col("l_linenumber") + F.col("l_orderkey") % 6 - 1).cast("int").alias("precision"))
+    out = with_converted(rows, "value", F.col("amount"), F.col("rate"), F.col("amount"), F.col("settled"),
+                         F.col("factor"), F.col("precision"))
+    size = F.abs("value").cast("decimal(33,12)")
+    whole = F.floor(size)
+    return out.select("id", "precision", F.signum("value").cast("int").alias("sign"), whole.cast("bigint").alias("whole"),
+                      ((size - whole).cast("decimal(12,12)") * F.lit(10**12)).cast("bigint").alias("decimals"))
+
+
 def q_undelivered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(undelivered_lines(_tables(spark, sf_dir)))
 
@@ -141,6 +186,20 @@ def q_undelivered_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       partner_ids=wanted))
 
 
+def q_undelivered_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line read twice; grouping by the keys leaves each once."""
+    t = _tables(spark, sf_dir)
+    twice = t["sale_order_line"].unionByName(t["sale_order_line"])
+    lines = undelivered_lines(t.with_tables(sale_order_line=twice), dedupe=True)
+    return lines.select("id", "order_id", "partner_id", "company_id")
+
+
+def q_report_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared undelivered report of company 2, both levels, with the
+    columns declared for it."""
+    return portable(run_report("undelivered", _tables(spark, sf_dir), level="", company_ids=[2], sort=False))
+
+
 def q_undelivered_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(undelivered_by_order(undelivered_lines(_tables(spark, sf_dir))))
 
@@ -149,6 +208,12 @@ def q_undelivered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(undelivered_report(undelivered_lines(_tables(spark, sf_dir))))
 
 
+def q_undelivered_report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every row of the two-level report."""
+    rows = undelivered_report(undelivered_lines(_tables(spark, sf_dir)), position="position")
+    return rows.select("level", "order_id", "id", "position")
+
+
 def q_attachments_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page 2 of the default listing (offset 5, limit 10)."""
     a = _tables(spark, sf_dir)["ir_attachment"]
@@ -156,36 +221,54 @@ def q_attachments_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_attachments_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Default listing from row 25 on, no limit (distributed positional slice)."""
+    """Default listing from its middle on, with each row's place."""
+    a = _tables(spark, sf_dir)["ir_attachment"]
+    return portable(attachments_page(a, columns=ATTACHMENT_COLUMNS, offset=a.count() // 2, position="position"))
+
+
+def q_attachments_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter and an explicit order, from row 10 on."""
     a = _tables(spark, sf_dir)["ir_attachment"]
-    return portable(attachments_page(a, columns=ATTACHMENT_COLUMNS, offset=25))
+    where = (F.col("res_id") < 20) & ~F.coalesce(F.col("is_main"), F.lit(False))
+    return portable(attachments_page(a, where, ATTACHMENT_COLUMNS, offset=10,
+                                     order=("mimetype ASC NULLS LAST", "id"), position="position"))
 
 
 def q_attachments_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preview lists, with each row's place."""
     a = _tables(spark, sf_dir)["ir_attachment"]
-    return portable(attachments_typed(a).select(*ATTACHMENT_COLUMNS, "type"))
+    out = attachments_typed(a, ("res_id",), position="position")
+    return portable(out.select(*ATTACHMENT_COLUMNS, "type", "position"))
 
 
 def q_attachments_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _tables(spark, sf_dir)["ir_attachment"]
-    return portable(attachments_main(a))
+    return portable(attachments_main(a, ("res_id",)))
 
 
 QUERIES: dict[str, Query] = {
     "latest_rate": q_latest_rate,
     "latest_rate_named": q_latest_rate_named,
+    "latest_rate_history": q_latest_rate_history,
     "round_by_precision": q_round_by_precision,
     "period_join": q_period_join,
     "partial_residual": q_partial_residual,
     "aged_receivable_lines": q_aged_receivable_lines,
     "aged_payable_lines": q_aged_payable_lines,
     "aged_by_partner": q_aged_by_partner,
+    "aged_by_partner_sorted": q_aged_by_partner_sorted,
+    "aged_report": q_aged_report,
+    "aged_converted": q_aged_converted,
     "undelivered_lines": q_undelivered_lines,
     "undelivered_filtered": q_undelivered_filtered,
     "undelivered_by_order": q_undelivered_by_order,
     "undelivered_report": q_undelivered_report,
+    "undelivered_report_order": q_undelivered_report_order,
+    "undelivered_dedupe": q_undelivered_dedupe,
+    "report_by_name": q_report_by_name,
     "attachments_page": q_attachments_page,
     "attachments_offset": q_attachments_offset,
+    "attachments_where": q_attachments_where,
     "attachments_typed": q_attachments_typed,
     "attachments_main": q_attachments_main,
 }

@@ -2,14 +2,12 @@
 
 On a cluster the session normally exists already (spark-submit / a
 notebook); :func:`get_spark` then only fills settings that are unset.
-Locally (tests, bench) it builds a ``local[N]`` session.
+Without one it builds a session on the master that the caller passes or the
+launcher has configured.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings the reports rely on.  Each one is applied only when the session
@@ -36,18 +34,16 @@ _DEFAULTS = {
 def get_spark(app: str = "ledgerlens", master: str | None = None,
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
-    """Return the active session, or build a local one.
+    """Return the active session, or build one.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or 8]`` when no session is
-    active and no master is configured by the environment.
+    ``master`` is set only when given; otherwise the master of spark-submit
+    or of the Spark configuration holds.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
         ensure_defaults(active)
         return active
     builder = SparkSession.builder.appName(app)
-    if master is None and "SPARK_MASTER" not in os.environ:
-        master = f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     if master is not None:
         builder = builder.master(master)
     builder = (builder.config("spark.ui.enabled", "false")
@@ -57,7 +53,6 @@ def get_spark(app: str = "ledgerlens", master: str | None = None,
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
     ensure_defaults(spark)
     return spark
 
@@ -67,27 +62,3 @@ def ensure_defaults(spark: SparkSession) -> None:
     for key, value in _DEFAULTS.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
-    ensure_checkpoint_dir(spark)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Checkpoint directory of the session.
-
-    A cluster names a shared folder in ``spark.checkpoint.dir``; that one is
-    used as is.  Only a ``local[...]`` session without one (tests, bench)
-    gets a private scratch folder; a cluster session without one is left
-    alone (the reports do not need to checkpoint).
-    """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None)
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    current = sc.getCheckpointDir()
-    if current or not sc.master.startswith("local"):
-        return current
-    local = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-    sc.setCheckpointDir(local)
-    return local

@@ -5,7 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from ledgerlens.plans.aged import aged_by_partner, aged_lines
+from ledgerlens.plans.aged import aged_by_partner, aged_lines, aged_report
 from ledgerlens.sources.fixtures import ACCOUNT_ROWS, CURRENCY_ROWS, JOURNAL_ROWS
 from ledgerlens.sources.inline import PERIOD_TABLE_SCHEMA, period_rows
 from micro import day, line, move, partial, rate, tables, trust
@@ -177,27 +177,85 @@ def dec_(x):
     return Decimal(x)
 
 
-def test_partner_keyed_trust_equals_left_join(spark):
-    from pyspark.sql import functions as F
+def test_line_table_with_the_names_of_joined_columns(spark):
+    """The header's values win; the report is the same as without."""
+    rows = [line(1, balance=70), line(2, partner_id=11, balance=30)]
+    props = [trust(1, 10, 1, "bad")]
+    t = base(spark, rows, moves=[move(1, amount_residual=55)], props=props)
+    plain = t["account_move_line"]
+    clash = plain
+    for name in ("amount_residual", "move_name", "move_type", "account_code", "currency_rate", "account_name", "order_no",
+                 "partner_name", "partner_trust", "report_date", "move_ref", "report_currency_id", "period0",
+                 "trust_value", "rate", "precision", "line_id"):
+        clash = clash.withColumn(name, F.lit("own"))
+    clash = clash.withColumn("period_index", F.lit(99))
+    want = aged_lines(t, D, "receivable", CT)
+    got = aged_lines(t.with_tables(account_move_line=clash), D, "receivable", CT)
+    assert {r["period_index"] for r in got.collect()} == {99} and {r["rate"] for r in got.collect()} == {"own"}
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_amounts_of_quotients_without_an_end(spark):
+    rates = [rate(1, 0, "1995-01-01", "0.7"), rate(2, 1, "1995-01-01", "6.000001"), rate(3, 2, "1995-01-01", "1")]
+    t = base(spark, [line(1, move_id=1, amount_currency=100), line(2, move_id=2, balance=5, amount_currency="0.03"),
+                     line(3, move_id=3, amount_currency=2), line(4, move_id=1, company_id=2, amount_currency=1)],
+             moves=[move(1, currency_id=0), move(2, currency_id=1), move(3, currency_id=2)], rates=rates)
+    got = rows_by_id(aged_lines(t, D, "receivable", [(1, "25000", 2), (2, "1500000", 9)]))
+    assert amount(got[1]) == Decimal("3571428.57")
+    assert amount(got[3]) == Decimal("50000") and amount(got[4]) == Decimal("2142857.142857143")
+    small = rows_by_id(aged_lines(t, D, "receivable", [(1, "1", 2)]))
+    assert amount(small[2]) == 0  # a little less than half a cent
+    exact = rows_by_id(aged_lines(t, D, "receivable", [(1, "1", 10)]))
+    assert amount(exact[2]) == Decimal("0.0049999992")
+
+
+def test_two_level_report(spark):
+    rates = [rate(1, 0, "1995-01-01", "0.5"), rate(2, 1, "1995-01-01", "0")]
+    t = base(spark, [line(1, amount_currency=10, date_maturity="2000-01-20"), line(2, move_id=2, amount_currency=8),
+                     line(3, partner_id=11, amount_currency=6)],
+             moves=[move(1, currency_id=0, amount_residual=3), move(2, currency_id=1, amount_residual=4)], rates=rates)
+    rows = aged_report(t, D, "receivable", CT, position="place").collect()
+    assert [(r["level"], r["partner_name"], r["id"]) for r in rows] == [
+        (0, "A", None), (1, "A", 2), (1, "A", 1), (0, "B", None), (1, "B", 3)]
+    assert [r["place"] for r in rows] == list(range(5))
+    partner, second, first = rows[:3]
+    assert first["original_currency_amount"] == 20.0 and second["original_currency_amount"] == 8.0
+    assert partner["original_currency_amount"] == 18 / 0.5
+    assert partner["amount_residual"] == 7 and first["move_name"] == "INV/1" and partner["move_name"] is None
+    assert str(first["report_date"]) == "2000-01-20" and first["account_name"] is not None
+    assert sum(first[f"period{i}"] for i in range(6)) == 20
+
+
+def test_sorted_partners(spark):
+    t = base(spark, [line(1, balance=5), line(2, partner_id=11, balance=50)])
+    rows = aged_by_partner(t, D, "receivable", CT, sort_by=[F.desc("period1")]).collect()
+    assert [r["partner_name"] for r in rows] == ["B", "A"]
+
+
+def test_period_table_has_a_limit(spark, monkeypatch):
+    import pytest
+
+    from ledgerlens.operators import periods
+    monkeypatch.setattr(periods, "MAX_PERIODS", 3)
+    table = spark.createDataFrame(period_rows(D), PERIOD_TABLE_SCHEMA)
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        aged_lines(base(spark, [line(1)]), D, "receivable", CT, periods=table)
+    twice = spark.createDataFrame([(None, None, 1), (None, None, 1)], PERIOD_TABLE_SCHEMA)
+    with pytest.raises(ValueError, match="unique"):
+        aged_lines(base(spark, [line(1)]), D, "receivable", CT, periods=twice)
+
 
-    from ledgerlens.operators.trust import join_trust, partners_with_trust, trust_match
+def test_trust_join(spark):
+    from ledgerlens.operators.trust import join_trust
     props = [trust(1, 10, 1, "good"), trust(2, 10, 1, "bad"),      # two rows, company 1
              trust(3, 11, 2, "bad"),                                # other company only
              {"id": 4, "name": "trust", "res_id": "res.partner,12", "company_id": None,
               "value_text": "bad"},                                 # null company
              {"id": 5, "name": "other", "res_id": "res.partner,13", "company_id": 1,
               "value_text": "bad"}]                                 # not a trust row
-    t = tables(spark, ir_property=props)
     lines = spark.createDataFrame(
         [(1, 10, 1), (2, 10, 2), (3, 11, 1), (4, 12, 1), (5, 13, 1), (6, 14, 1)],
         "id long, partner_id long, company_id int")
-    partners = spark.range(10, 15).select(F.col("id").alias("__p_id"))
-    want = (join_trust(lines, t["ir_property"])
-            .select("id", "trust_property_id", "trust_value").collect())
-    got = (lines.join(partners_with_trust(partners, t["ir_property"]),
-                      F.col("partner_id") == F.col("__p_id"))
-           .filter(trust_match("company_id"))
-           .select("id", "trust_property_id", "trust_value").collect())
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
-    assert sorted(r.trust_property_id for r in got if r.id == 1) == [1, 2]
-    assert [r.trust_value for r in got if r.id in (2, 3, 4, 5, 6)] == [None] * 5
+    got = join_trust(lines, tables(spark, ir_property=props)["ir_property"]).collect()
+    assert sorted(r["__trust_id"] for r in got if r.id == 1) == [1, 2]
+    assert [r["__trust_value"] for r in got if r.id in (2, 3, 4, 5, 6)] == [None] * 5

@@ -1,6 +1,7 @@
 """Rounding to a precision taken from the data, against Python's decimal."""
 
 from decimal import ROUND_HALF_UP, Decimal
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -8,10 +9,10 @@ from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.money import WORK, ratio_or_one, round_by_precision
+from ledgerlens.functions.money import ROUNDED, ratio_or_one, round_by_precision, with_converted
 
 values = st.integers(-10**13, 10**13).map(lambda n: Decimal(n).scaleb(-8))
-cases = st.lists(st.tuples(values, st.integers(0, 6)), min_size=1, max_size=40)
+cases = st.lists(st.tuples(values, st.integers(0, 12)), min_size=1, max_size=40)
 
 
 @settings(max_examples=8, deadline=None)
@@ -21,13 +22,13 @@ def test_round_by_precision_matches_half_away_from_zero(spark, rows):
     got = [r.r for r in df.select(round_by_precision(F.col("v"), F.col("p")).alias("r")).collect()]
     want = [v.quantize(Decimal(1).scaleb(-p), rounding=ROUND_HALF_UP) for v, p in rows]
     assert got == want
-    assert df.select(round_by_precision(F.col("v"), F.col("p")).alias("r")).schema[0].dataType == WORK
+    assert df.select(round_by_precision(F.col("v"), F.col("p")).alias("r")).schema[0].dataType == ROUNDED
 
 
 def test_round_by_precision_null_and_unsupported(spark):
     df = spark.createDataFrame([(Decimal("1.25"), None)], "v decimal(10,2), p int")
     assert df.select(round_by_precision(F.col("v"), F.col("p"))).first()[0] is None
-    bad = spark.createDataFrame([(Decimal("1.25"), 9)], "v decimal(10,2), p int")
+    bad = spark.createDataFrame([(Decimal("1.25"), 13)], "v decimal(10,2), p int")
     with pytest.raises(PySparkException):
         bad.select(round_by_precision(F.col("v"), F.col("p"))).collect()
 
@@ -38,3 +39,39 @@ def test_ratio_or_one(spark):
                                "a decimal(18,2), r decimal(18,6)")
     got = [x[0] for x in df.select(ratio_or_one(F.col("a"), F.col("r"))).collect()]
     assert got == [20.0, 10.0, 10.0, -5.0]
+
+
+def exact(amount, rate, balance, settled, factor, precision):
+    """The converted amount as a fraction, rounded once, half away from zero."""
+    base = Fraction(amount) / Fraction(rate) if rate is not None and rate > 0 else Fraction(balance)
+    units = (base - Fraction(settled)) * Fraction(factor) * 10**precision
+    whole = (2 * abs(units.numerator) + units.denominator) // (2 * units.denominator)
+    return Decimal(whole if units >= 0 else -whole).scaleb(-precision)
+
+
+money = st.integers(-10**9, 10**9).map(lambda n: Decimal(n).scaleb(-2))
+rates = st.one_of(st.none(), st.sampled_from([Decimal(x) for x in ("0", "-1", "0.3", "0.7", "6.000001", "1", "0.000001")]),
+                  st.integers(1, 10**8).map(lambda n: Decimal(n).scaleb(-6)))
+factors = st.one_of(st.integers(-10**9, 10**9).map(lambda n: Decimal(n).scaleb(-6)),
+                    st.sampled_from([Decimal("1500000"), Decimal("25000"), Decimal("1")]))
+amounts = st.lists(st.tuples(money, rates, money, money, factors, st.integers(0, 12)), min_size=1, max_size=60)
+
+
+@settings(max_examples=10, deadline=None)
+@given(amounts)
+def test_whole_amount_is_exact(spark, rows):
+    df = spark.createDataFrame(rows, "a decimal(18,2), r decimal(18,6), b decimal(18,2), s decimal(38,2), f decimal(18,6), p int")
+    got = with_converted(df, "v", *[F.col(c) for c in "arbsfp"])
+    assert got.columns == [*"arbsfp", "v"] and got.schema["v"].dataType == ROUNDED
+    assert [r.v for r in got.collect()] == [exact(*r) for r in rows]
+
+
+def test_ties_and_nulls_of_the_whole_amount(spark):
+    rows = [("0.05", "1", "0", "0", "0.1", 2), ("-0.05", "1", "0", "0", "0.1", 2), ("1", "8", "0", "0", "1", 2),
+            ("1", "3", "0", "0.33", "1", 8), ("1", "2000000", "0", "0", "0.000001", 12), ("1", None, "7", "2", "1", None)]
+    rows = [tuple(Decimal(x) if isinstance(x, str) else x for x in r) for r in rows]
+    df = spark.createDataFrame(rows, "a decimal(18,2), r decimal(18,6), b decimal(18,2), s decimal(20,2), f decimal(18,6), p int")
+    got = [r.v for r in with_converted(df, "v", *[F.col(c) for c in "arbsfp"]).collect()]
+    assert got == [Decimal("0.01"), Decimal("-0.01"), Decimal("0.13"), Decimal("0.00333333"), Decimal("0.000000000001"), None]
+    with pytest.raises(PySparkException):
+        with_converted(df.withColumn("p", F.lit(13)), "v", *[F.col(c) for c in "arbsfp"]).collect()

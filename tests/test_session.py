@@ -1,9 +1,15 @@
-"""Session defaults fill gaps only; a configured checkpoint folder wins."""
+"""Session defaults fill gaps only, and a submitted master holds."""
 
-from ledgerlens.session import ensure_checkpoint_dir, ensure_defaults
+import os
+import subprocess
+import sys
 
+from ledgerlens.session import ensure_defaults
 
-def test_defaults_do_not_override(spark, tmp_path):
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def test_defaults_do_not_override(spark):
     key = "spark.sql.adaptive.forceOptimizeSkewedJoin"
     prev = spark.conf.get(key)
     spark.conf.set(key, "false")
@@ -15,12 +21,8 @@ def test_defaults_do_not_override(spark, tmp_path):
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
 
 
-def test_checkpoint_dir_configured_or_made_once(spark):
-    # spark.checkpoint.dir is a core setting fixed when the context starts:
-    # when the environment names one it is used as is, otherwise a local
-    # session gets one scratch folder, reused on later calls.
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    first = ensure_checkpoint_dir(spark)
-    if configured:
-        assert first == configured
-    assert first and ensure_checkpoint_dir(spark) == first
+def test_submitted_master_survives():
+    code = "from ledgerlens.session import get_spark; print('MASTER', get_spark().sparkContext.master)"
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--master local[2] pyspark-shell", "PYTHONPATH": ROOT}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert "MASTER local[2]" in out.stdout, out.stderr[-2000:]

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.plans import (
     REPORTS, aged_by_partner, run_report, undelivered_by_order, undelivered_lines,
@@ -27,6 +28,19 @@ def test_declared_reports_match_direct_calls(spark):
         rows(aged_by_partner(t, FIXTURE_DATE_TO, currency_table=CURRENCY_TABLE_ROWS))
     lines = run_report("undelivered", t)
     assert tuple(lines.columns) == REPORTS["undelivered"].columns
+    ct = {"date_to": FIXTURE_DATE_TO, "currency_table": CURRENCY_TABLE_ROWS}
+    shown = run_report("aged_partner", t, **ct)
+    assert tuple(shown.columns) == REPORTS["aged_partner"].columns and "account_code" not in shown.columns
+    both = run_report("aged_partner", t, level="", **ct)
+    assert tuple(both.columns) == REPORTS["aged_partner"].levels[""].columns
+    by_amount = run_report("aged_partner", t, level="partner_id", sort_by=[F.desc("period5")], **ct).collect()
+    assert [r.period5 for r in by_amount] == sorted((r.period5 for r in by_amount), reverse=True)
+    page = run_report("attachments", t, level="page", where=F.col("res_id") == 3, offset=1, limit=2, order=["id"])
+    assert [r.id for r in page.collect()] == [44, 85]
+    images = run_report("attachments", t, level="", record_cols=("res_id",), types=("image",), order="desc")
+    assert {r.type for r in images.collect()} == {"image"} and images.columns[-1] == "type"
+    main = run_report("attachments", t, level="main", record_cols=("res_id",))
+    assert main.count() == 41
     with pytest.raises(TypeError):
         run_report("undelivered", t, account_type="receivable")
     with pytest.raises(KeyError):
