@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.words import U64, mix64
+from ledgerlens.llm.words import U64, map_arrow, mix64
 
 WORDS = 8
 #: Blocks that a filter has at most (64 bytes each: 32 MB).
@@ -56,8 +56,8 @@ def build(keys: DataFrame, column: str, expected: int) -> BlockedBloom:
             ["block"] + [f"w{i}" for i in range(WORDS)])
 
     columns: list[Column] = [F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]
-    rows = (keys.select(F.col(column).cast("long").alias("key")).where("key IS NOT NULL")
-            .mapInArrow(mark, "block long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
+    rows = (map_arrow(keys.select(F.col(column).cast("long").alias("key")).where("key IS NOT NULL"), mark,
+                      "block long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
             .groupBy("block").agg(*columns).collect())  # MAX_BLOCKS rows at most
     words = np.zeros((blocks, WORDS), U64)
     for row in rows:

@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.words import U64, parts_of, shingle_set, utf8
+from ledgerlens.llm.words import U64, map_arrow, parts_of, shingle_set, utf8
 
-#: Shingles of a group that one block holds (8 bytes each).
+#: Shingles of a group that one block holds (8 bytes each), and members.
 BLOCK_SHINGLES = 1 << 20
+BLOCK_MEMBERS = 600
 #: Words of the bit sketch that is compared before whole sets are.
 SKETCH_WORDS = 256
 
@@ -46,25 +47,25 @@ def verified_links(members: DataFrame, sizes: DataFrame, texts: DataFrame, k: in
 
     ``members(pivot, doc)`` from :func:`pivots`, ``sizes(doc, n_shingles)``,
     ``texts(doc, text)``.  A group of more than :data:`BLOCK_SHINGLES`
-    shingles is dealt to blocks by document, and each pair of blocks is a
-    group of its own.  Only the texts of members travel further than the join
+    shingles or :data:`BLOCK_MEMBERS` members is dealt to blocks by document,
+    and each pair of blocks is a group of its own.  Only the texts of members travel further than the join
     on ``doc``.
     """
     n = sizes.groupBy("doc").agg(F.max("n_shingles").alias("n"))
-    weight = members.join(n, "doc").groupBy("pivot").agg(F.sum("n").alias("total"))
-    blocks = weight.select(F.col("pivot").alias("p"),
-                           F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    tasks = (members.join(blocks, F.col("pivot") == F.col("p"))
+    weight = members.join(n, "doc").groupBy("pivot").agg(F.sum("n").alias("total"), F.count("*").alias("m"))
+    large = weight.select(F.col("pivot").alias("p"), F.greatest(
+        F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)), F.ceil(F.col("m") / F.lit(BLOCK_MEMBERS))).cast("int").alias("blocks"))
+    # only large groups are dealt, so this side is short and the members stay where they are
+    tasks = (members.join(large.where("blocks > 1"), F.col("pivot") == F.col("p"), "left")
+             .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
              .withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
              .select("pivot", F.least("block", "other").alias("i"),
                      F.greatest("block", "other").alias("j"), "block", F.col("doc").alias("member")))
-    sets = (texts.join(tasks, F.col("doc") == F.col("member"))
-            .select("pivot", "i", "j", "block", "doc", "text")
-            .mapInArrow(_sets(k), "pivot long, i int, j int, block int, doc long, grams binary"))
-    found = (sets.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "doc")
-             .mapInArrow(_forest(percent), "a long, b long"))
-    return found.distinct()
+    sets = map_arrow(texts.join(tasks, F.col("doc") == F.col("member")).select("pivot", "i", "j", "block", "doc", "text"),
+                     _sets(k), "pivot long, i int, j int, block int, doc long, grams binary")
+    dealt = sets.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "doc")
+    return map_arrow(dealt, _forest(percent), "a long, b long").distinct()
 
 
 def _sets(k: int):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import grouped
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.storage import cut
-from ledgerlens.llm.words import U64, hash_words, mix64, parts_of, shingle_set, shingles, utf8, words_of
+from ledgerlens.llm.words import U64, map_arrow, mix64, parts_of, shingle_set, utf8
 
 _MAX_SIZE = 1 << 33
 
@@ -96,7 +96,7 @@ def shingle_sizes(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()),
                      pa.array(h2, pa.int64())], ["doc", "n_shingles", "h1", "h2"])
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc long, n_shingles long, h1 long, h2 long")
+    return map_arrow(_texts(docs, id_col, text_col), run, "doc long, n_shingles long, h1 long, h2 long")
 
 
 def candidate_keys(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id",
@@ -132,7 +132,7 @@ def candidate_keys(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id"
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))],
                         ["key", "doc"])
-    return _texts(docs, id_col, text_col).mapInArrow(run, "key long, doc long")
+    return map_arrow(_texts(docs, id_col, text_col), run, "key long, doc long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.words import parts_of
+from ledgerlens.llm.words import map_arrow, parts_of
 
 #: Labelled documents per language that the model learns from.
 SAMPLE = 3_000
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                  pa.array([k[2] for k in keys], pa.string()), pa.array(list(out.values()), pa.int64())],
                 ["lang", "n", "entry", "c"])
 
-    counts = (chosen.mapInArrow(count, "lang string, n int, entry string, c long")
+    counts = (map_arrow(chosen, count, "lang string, n int, entry string, c long")
               .groupBy("lang", "n", "entry").agg(F.sum("c").alias("c")))
     totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
     by_count = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "entry")
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
                      pa.array([g[1] for g in got], pa.float64())], [*names, "pred", "prob"])
 
     schema = rows.drop("read").schema.add("pred", "string").add("prob", "double")
-    done = rows.mapInArrow(run, schema)
+    done = map_arrow(rows, run, schema)
     return done.select(*[F.col(n).alias(f.name) for f, n in zip(kept, names, strict=True)],
                        F.col("pred").alias(pred_col), F.col("prob").alias(score_col))
 

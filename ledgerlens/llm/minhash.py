@@ -25,7 +25,7 @@ from ledgerlens.llm import grouped
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.jaccard_join import class_components, shingle_sizes
 from ledgerlens.llm.storage import cut
-from ledgerlens.llm.words import U64, hash_words, mix64, parts_of, shingles, utf8, words_of
+from ledgerlens.llm.words import U64, hash_words, map_arrow, mix64, parts_of, shingles, utf8, words_of
 
 SHINGLE = 5
 PERMUTATIONS = 64
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, n: int = PERMUTATIONS, id_co
                 out = [signature(t, k, a, b).tobytes() for t in utf8(batch, "text")]
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.binary())],
                                                  ["doc", "fingerprint"])
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc long, fingerprint binary")
+    return map_arrow(_texts(docs, id_col, text_col), run, "doc long, fingerprint binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 80, n: int = PERMUTATIONS,
@@ -106,7 +106,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 80, n: int
     empty = bytes(np.full(n, _EMPTY).tobytes())
     marked = fingerprints(docs.where(docs[id_col].isNotNull()), k, n, id_col, text_col).where(
         F.col("fingerprint") != F.lit(empty))
-    members = cut(grouped.pivots(marked.mapInArrow(bands, "key long, doc long")))
+    members = cut(grouped.pivots(map_arrow(marked, bands, "key long, doc long")))
     links = grouped.verified_links(members, named, _texts(docs, id_col, text_col), k, percent)
     return class_components(sizes, connected_components(links))
 
@@ -175,11 +175,10 @@ def edited_fingerprints(docs: DataFrame, k: int = SHINGLE, n: int = PERMUTATIONS
                 ["doc", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
                  "near_next"])
 
-    dealt = rows.mapInArrow(spread, "part int, extra boolean, place long, doc long, packed binary, "
-                                    "mark binary")
-    return (dealt.repartition("part").sortWithinPartitions("part", "extra", F.desc("place"), F.xxhash64("packed"))
-            .mapInArrow(edit, "doc long, n_chars long, edited_sha256 string, fingerprint string, "
-                              "edited_fingerprint string, near_edited double, near_next double"))
+    marked = map_arrow(rows, spread, "part int, extra boolean, place long, doc long, packed binary, mark binary")
+    dealt = marked.repartition("part").sortWithinPartitions("part", "extra", F.desc("place"), F.xxhash64("packed"))
+    return map_arrow(dealt, edit, "doc long, n_chars long, edited_sha256 string, fingerprint string, "
+                                  "edited_fingerprint string, near_edited double, near_next double")
 
 
 def _edited(row: tuple, following: tuple, k: int, a: np.ndarray, b: np.ndarray) -> tuple:
@@ -209,7 +208,7 @@ def _heads(rows: DataFrame, cuts: np.ndarray) -> dict[int, list[int]]:
                 most[p] = max(most.get(p, -2**63), int(place[part == p].max()))
         yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int32()),
                                           pa.array(list(most.values()), pa.int64())], ["part", "top"])
-    found = sorted(tuple(r) for r in rows.select("place").mapInArrow(tops, "part int, top long")
+    found = sorted(tuple(r) for r in map_arrow(rows.select("place"), tops, "part int, top long")
                    .groupBy("part").agg(F.max("top")).collect())
     out: dict[int, list[int]] = {}
     for i, (part, _) in enumerate(found):

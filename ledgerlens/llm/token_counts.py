@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.words import parts_of, utf8
+from ledgerlens.llm.words import map_arrow, parts_of, utf8
 
 #: Pre-tokens in the broadcast table (about 20 bytes each).
 TABLE = 20_000
@@ -107,7 +107,7 @@ def frequent_pre_tokens(docs: DataFrame, text_col: str = "text", table: int = TA
 
     schema = "part int, words array<binary>, counts array<long>"
     texts = docs.select(docs[text_col].alias("text"))
-    parts = texts.mapInArrow(summarise, schema)
+    parts = map_arrow(texts, summarise, schema)
     left = texts.rdd.getNumPartitions()
     while left > 1:  # a tree of merges: no group holds more than FAN_IN summaries
         left = -(-left // FAN_IN)
@@ -162,8 +162,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
                     [batch.column("doc"), pa.array([len(t) for t in texts], pa.int64()),
                      pa.array(n_tokens, pa.int64())], ["doc", "n_bytes", "n_tokens"])
 
-    counted = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).mapInArrow(
-        count, "doc long, n_bytes long, n_tokens long")
+    counted = map_arrow(docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")), count,
+                        "doc long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.bloom import BlockedBloom, build
-from ledgerlens.llm.words import U64
+from ledgerlens.llm.words import U64, map_arrow
 
 #: Verdict of urls that no rule fits: a block list passes what it doesn't list.
 DEFAULT_VERDICT = "allow"
@@ -74,7 +74,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     lengths = sorted(r[0] for r in listed.select("plen").distinct().collect())  # path lengths: a few
     exact = listed.groupBy("rule").agg(F.min("rule_verdict").alias("rule_verdict"))
     sc = pages.sparkSession.sparkContext
-    keys = exact.select("rule").mapInArrow(_keys, "key long")
+    keys = map_arrow(exact.select("rule"), _keys, "key long")
     filter_words = sc.broadcast(build(keys, "key", exact.count()).words)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +98,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
                  pa.array(kept, pa.list_(pa.string()))], ["id", "host", "path", "hits"])
 
     id_type = dict(pages.select(F.col(id_col)).dtypes)[id_col]
-    probed = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url")).mapInArrow(
-        probe, f"id {id_type}, host string, path string, hits array<string>")
+    probed = map_arrow(pages.select(pages[id_col].alias("id"), pages[url_col].alias("url")), probe,
+                       f"id {id_type}, host string, path string, hits array<string>")
     # one row per possible hit; equal pages are counted at their first one, so
     # that the grouping below needs no row number
     spread = probed.selectExpr("id", "host", "path", "posexplode_outer(hits) AS (pos, hit)")

@@ -14,7 +14,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = "4m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARK_DEFAULT = "67108864b"
 U64 = np.uint64
 _MUL = U64(0x9E3779B97F4A7C15)
 _MIX1 = U64(0xBF58476D1CE4E5B9)
@@ -67,15 +73,17 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
                     else pa.binary()).to_pylist()
 
 
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
-    """``mapInArrow`` function from a function on one batch."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
-                    yield out
-    return run
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+              schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most :data:`BATCH_BYTES`.
+
+    Spark's default of 64 MB is too much for executors of a few GB, which hold
+    several batches outside the heap; a session with another value keeps it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == _SPARK_DEFAULT:
+        conf.set(_BATCH_CONF, BATCH_BYTES)
+    return df.mapInArrow(fn, schema)
 
 
 def parts_of(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -83,10 +83,10 @@ def test_near_duplicates_equal_brute_force(spark, sf):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
+@pytest.mark.parametrize("block", [600, 7])
 def test_near_copies_of_one_base(spark, block, monkeypatch):
     """A group of copies edited here and there, in one block and in many."""
-    monkeypatch.setattr(grouped, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(grouped, "BLOCK_MEMBERS", block)
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
     texts = {}
