@@ -37,6 +37,8 @@ UNDETERMINED = "und"
 #: Words whose scores a task keeps.
 CACHE = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
+#: Marks of a word's ends; alone they say nothing.
+_ENDS = ("<", ">")
 
 
 def words(text: str) -> list[str]:
@@ -76,7 +78,7 @@ class Model:
         while i < len(marked):
             for n in range(min(LONGEST, len(marked) - i), 0, -1):
                 found = self.tables[n].get(marked[i:i + n])
-                if found is not None:
+                if found is not None and marked[i:i + n] not in _ENDS:
                     total = total + found
                     n_found += 1
                     break
