@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.bitmaps import Lookup, build, pack
 from ledgerlens.llm.storage import cut
-from ledgerlens.llm.words import U64, mix64, parts_of, utf8
+from ledgerlens.llm.words import U64, map_arrow, mix64, parts_of, utf8
 
 _WHITE = b" \t\n\r\x0b\x0c"
-#: Probes that one slice of a shard gets.
-SLICE_PROBES = 50_000
+#: Probes that one slice of a shard gets at least; twice the mean if that is more.
+SLICE_PROBES = 1_000
 _NO_ID = 2**63 - 1
 
 
@@ -62,7 +62,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])),
                      pa.array(owner, pa.int64())], ["h1", "h2", "doc"])
-    return docs.mapInArrow(run, "h1 long, h2 long, doc long")
+    return map_arrow(docs, run, "h1 long, h2 long, doc long")
 
 
 def line_index(lines: DataFrame, shards: int) -> DataFrame:
@@ -87,10 +87,9 @@ def line_index(lines: DataFrame, shards: int) -> DataFrame:
         if rows:
             yield _arrays(shard, rows)
 
-    return (repeated.select("shard", "h1", "h2", "owner", "n").repartition("shard")
-            .sortWithinPartitions("shard")
-            .mapInArrow(arrays, "shard int, bits binary, sizes array<int>, prints binary, owners binary, "
-                                "counts binary, probes long"))
+    dealt = repeated.select("shard", "h1", "h2", "owner", "n").repartition("shard").sortWithinPartitions("shard")
+    return map_arrow(dealt, arrays, "shard int, bits binary, sizes array<int>, prints binary, owners binary, "
+                                    "counts binary, probes long")
 
 
 def _arrays(shard: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -116,9 +115,11 @@ def dropped_lines(docs: DataFrame, min_chars: int, shards: int | None = None) ->
     if shards is None:
         shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     index = cut(line_index(lines, shards))
-    slices = [1] * shards  # a number per shard, whatever the number of lines
-    for shard, total in index.select("shard", "probes").collect():
-        slices[shard] = max(1, -(-total // SLICE_PROBES))
+    # as many slices as keep a shard near the usual one: a number per shard,
+    # whatever the number of lines
+    found = {r["shard"]: r["probes"] for r in index.select("shard", "probes").collect()}
+    usual = max(SLICE_PROBES, 2 * sum(found.values()) // shards)
+    slices = [max(1, -(-found.get(s, 0) // usual)) for s in range(shards)]
     n = F.lit(slices)[F.col("shard")]
     shard = F.pmod("h1", F.lit(shards)).cast("int")
     probes = (lines.withColumn("shard", shard)
@@ -130,8 +131,8 @@ def dropped_lines(docs: DataFrame, min_chars: int, shards: int | None = None) ->
               .select("shard", "slice", F.lit(0).alias("kind"), *[F.lit(None).cast("long").alias(c)
                                                                  for c in ("h1", "h2", "doc")],
                       "bits", "sizes", "prints", "owners"))
-    met = (arrays.unionByName(probes).repartition("shard", "slice")
-           .sortWithinPartitions("shard", "slice", "kind").mapInArrow(_probe, "doc long, h1 long"))
+    dealt = arrays.unionByName(probes).repartition("shard", "slice").sortWithinPartitions("shard", "slice", "kind")
+    met = map_arrow(dealt, _probe, "doc long, h1 long")
     return met.groupBy("doc").agg(F.collect_list("h1").alias("fallen"))
 
 
@@ -201,7 +202,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, shards: int | None = None,
                      pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())],
                     ["doc", "n_lines", "n_dropped", "kept", "kept_sha256"])
 
-    return joined.mapInArrow(keep, "doc long, n_lines long, n_dropped long, kept string, kept_sha256 string")
+    return map_arrow(joined, keep, "doc long, n_lines long, n_dropped long, kept string, kept_sha256 string")
 
 
 def _signed(x: int) -> int:

@@ -43,7 +43,7 @@ def test_equals_brute_force(spark, sf, odd, empty):
     assert result(empty) == []
 
 
-@pytest.mark.parametrize("probes", [3, 50_000])
+@pytest.mark.parametrize("probes", [1, 1000])
 def test_frequent_line_in_many_slices(spark, probes, monkeypatch):
     monkeypatch.setattr(module, "SLICE_PROBES", probes)
     rows = [(i, f"A common line here\nown line number {i}\n  a COMMON line here\r\nshort") for i in range(40, 0, -1)]
