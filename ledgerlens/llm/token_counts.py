@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.words import map_arrow, parts_of, utf8
 
 #: Pre-tokens in the broadcast table (about 20 bytes each).
-TABLE = 20_000
+TABLE = 8_000
 #: Counters a task holds before it drops the rarer half.
 SUMMARY = 100_000
-#: Pre-tokens a worker caches; when full, it starts again.
-CACHE = 300_000
+#: Pre-tokens a worker caches (about 150 bytes each); when full, it starts again.
+CACHE = 1_000_000
 #: Summaries that are merged at once.
 FAN_IN = 32
 
@@ -97,7 +97,7 @@ def frequent_pre_tokens(docs: DataFrame, text_col: str = "text", table: int = TA
         top = [(w, n) for w, n in seen.most_common(table) if len(w) <= 64]
         yield _summary(TaskContext.get().partitionId(), top)
 
-    def merge(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         seen: Counter = Counter()
         for words, counts in zip(frame["words"], frame["counts"], strict=True):
             for w, n in zip(words, counts, strict=True):

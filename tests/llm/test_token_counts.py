@@ -3,7 +3,6 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 from ledgerlens.llm.token_counts import _by_pre_token, counter, drops_white_space, token_counts  # noqa: E402
-from llm.conftest import ODD_TEXTS  # noqa: E402
 
 NAMES = ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"]
 
