@@ -3,7 +3,10 @@ each of its eight 64-bit words."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +46,6 @@ def build(keys: DataFrame, column: str, expected: int) -> BlockedBloom:
     blocks = max(1, min(MAX_BLOCKS, -(-expected // KEYS_PER_BLOCK)))
 
     def mark(batches):
-        import pyarrow as pa
         own: dict[int, np.ndarray] = {}
         for batch in batches:
             block, bits = places(np.asarray(batch.column(0)).view(U64), blocks)
@@ -56,10 +58,24 @@ def build(keys: DataFrame, column: str, expected: int) -> BlockedBloom:
             ["block"] + [f"w{i}" for i in range(WORDS)])
 
     columns: list[Column] = [F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]
-    rows = (map_arrow(keys.select(F.col(column).cast("long").alias("key")).where("key IS NOT NULL"), mark,
+    found = (map_arrow(keys.select(F.col(column).cast("long").alias("key")).where("key IS NOT NULL"), mark,
                       "block long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
-            .groupBy("block").agg(*columns).collect())  # MAX_BLOCKS rows at most
+             .groupBy("block").agg(*columns).toArrow())  # MAX_BLOCKS rows at most
     words = np.zeros((blocks, WORDS), U64)
-    for row in rows:
-        words[row[0]] = np.array(row[1:], np.int64).view(U64)
+    at = found.column("block").to_numpy()
+    for i in range(WORDS):
+        words[at, i] = found.column(f"w{i}").to_numpy().view(U64)
     return BlockedBloom(words)
+
+
+def only_listed(rows: DataFrame, column: str, listed: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose long ``column`` is among ``listed``'s keys, and a few
+    others (a join that follows drops them); rows with a null are left out."""
+    words = rows.sparkSession.sparkContext.broadcast(build(listed, key, listed.count()).words)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = BlockedBloom(words.value)
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.hits(batch.column(column).to_numpy().view(U64))))
+
+    return map_arrow(rows.where(F.col(column).isNotNull()), keep, rows.schema)

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import bloom
+from ledgerlens.llm.storage import cut
 from ledgerlens.llm.words import U64, map_arrow, parts_of, shingle_set, utf8
 
 #: Shingles of a group that one block holds (8 bytes each), and members.
 BLOCK_SHINGLES = 1 << 20
-BLOCK_MEMBERS = 600
+BLOCK_MEMBERS = 250
 #: Words of the bit sketch that is compared before whole sets are.
 SKETCH_WORDS = 256
 
@@ -48,57 +50,43 @@ def verified_links(members: DataFrame, sizes: DataFrame, texts: DataFrame, k: in
     ``members(pivot, doc)`` from :func:`pivots`, ``sizes(doc, n_shingles)``,
     ``texts(doc, text)``.  A group of more than :data:`BLOCK_SHINGLES`
     shingles or :data:`BLOCK_MEMBERS` members is dealt to blocks by document,
-    and each pair of blocks is a group of its own.  Only the texts of members travel further than the join
-    on ``doc``.
+    and each pair of blocks is a group of its own.  A Bloom filter of the
+    members keeps the texts of other documents from being shuffled.
     """
     n = sizes.groupBy("doc").agg(F.max("n_shingles").alias("n"))
     weight = members.join(n, "doc").groupBy("pivot").agg(F.sum("n").alias("total"), F.count("*").alias("m"))
     large = weight.select(F.col("pivot").alias("p"), F.greatest(
         F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)), F.ceil(F.col("m") / F.lit(BLOCK_MEMBERS))).cast("int").alias("blocks"))
-    # only large groups are dealt, so this side is short and the members stay where they are
-    tasks = (members.join(large.where("blocks > 1"), F.col("pivot") == F.col("p"), "left")
+    # only large groups are dealt, so this side is short; being a table of its
+    # own, it leaves Spark free to split the members of a hot pivot
+    tasks = (members.join(cut(large.where("blocks > 1")), F.col("pivot") == F.col("p"), "left")
              .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
              .withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
              .select("pivot", F.least("block", "other").alias("i"),
                      F.greatest("block", "other").alias("j"), "block", F.col("doc").alias("member")))
-    sets = map_arrow(texts.join(tasks, F.col("doc") == F.col("member")).select("pivot", "i", "j", "block", "doc", "text"),
-                     _sets(k), "pivot long, i int, j int, block int, doc long, grams binary")
-    dealt = sets.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "doc")
-    return map_arrow(dealt, _forest(percent), "a long, b long").distinct()
+    wanted = members.select("doc").distinct()
+    few = bloom.only_listed(texts, "doc", wanted, "doc")
+    dealt = (few.join(tasks, F.col("doc") == F.col("member")).select("pivot", "i", "j", "block", "doc", "text")
+             .repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "doc"))
+    return map_arrow(dealt, _forest(k, percent), "a long, b long").distinct()
 
 
-def _sets(k: int):
-    """Replace ``text`` by its shingle set; a text repeats for each of its groups."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, grams = None, b""
-        for whole in batches:
-            for batch in parts_of(whole, "text"):
-                out = []
-                for text in utf8(batch, "text"):
-                    if text != last:
-                        last, grams = text, shingle_set(text, k).tobytes()
-                    out.append(grams)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(i) for i in range(5)] + [pa.array(out, pa.binary())],
-                    ["pivot", "i", "j", "block", "doc", "grams"])
-    return run
-
-
-def _forest(percent: int):
+def _forest(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, docs, blocks, grams = None, [], [], []
         a: list[int] = []
         b: list[int] = []
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for pivot, i, j, block, doc, data in zip(*cols, strict=True):
-                if (pivot, i, j) != key:
-                    _links(key, docs, blocks, grams, percent, a, b)
-                    key, docs, blocks, grams = (pivot, i, j), [], [], []
-                docs.append(doc)
-                blocks.append(block)
-                grams.append(np.frombuffer(data, U64))
+        for whole in batches:
+            for batch in parts_of(whole, "text"):
+                cols = [batch.column(i).to_pylist() for i in range(5)]
+                for pivot, i, j, block, doc, text in zip(*cols, utf8(batch, "text"), strict=True):
+                    if (pivot, i, j) != key:
+                        _links(key, docs, blocks, grams, percent, a, b)
+                        key, docs, blocks, grams = (pivot, i, j), [], [], []
+                    docs.append(doc)
+                    blocks.append(block)
+                    grams.append(shingle_set(text, k))
             if len(a) > 10_000:
                 yield _pairs(a, b)
                 a.clear()
