@@ -6,7 +6,7 @@ takes the longest n-gram the model knows that starts there, falling back to
 shorter ones.  The sums give a probability per language.
 
 The model is fitted on a bounded sample of labelled documents: for each
-language the ``sample`` ones with the smallest hashes of their ids.  It keeps
+language about ``sample`` of them, those whose ids hash lowest.  It keeps
 the ``max_words`` and ``max_grams`` most frequent entries of each language, so
 what is broadcast has a bound too.  Every document is predicted from its whole
 text.
@@ -24,18 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.storage import cut
 from ledgerlens.llm.words import map_arrow, parts_of
 
 #: Labelled documents per language that the model learns from.
-SAMPLE = 3_000
+SAMPLE = 2_000
 MAX_WORDS = 20_000
 MAX_GRAMS = 20_000
 LONGEST = 5
 #: Rare entries say little; they are left to the n-grams.
 LEAST_COUNT = 2
 UNDETERMINED = "und"
-#: Words whose scores a task keeps.
-CACHE = 200_000
+#: Words whose scores a task keeps (about 200 bytes each).
+CACHE = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Marks of a word's ends; alone they say nothing.
 _ENDS = ("<", ">")
@@ -53,56 +54,96 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language; ``tables[0]`` has words, ``tables[n]`` the
+    """Log frequencies: ``scores`` has a column for each language and a row for
+    each entry; ``tables[0]`` gives the rows of words, ``tables[n]`` those of
     character n-grams."""
 
     languages: list[str]
-    tables: list[dict[str, np.ndarray]]
+    tables: list[dict[str, int]]
+    scores: np.ndarray
 
     def packed(self) -> tuple:
-        """Compact form for the broadcast: entries and a matrix for each table."""
-        return self.languages, [("\n".join(t), np.array(list(t.values()), np.float32)) for t in self.tables]
+        """Compact form for the broadcast: the rows' names in order."""
+        return self.languages, ["\n".join(t) for t in self.tables], self.scores
 
     @staticmethod
     def unpacked(data: tuple) -> Model:
-        languages, tables = data
-        return Model(languages, [dict(zip(names.split("\n"), rows, strict=True)) if len(rows) else {}
-                                 for names, rows in tables])
-
-    def word_score(self, word: str) -> np.ndarray:
+        languages, names, scores = data
+        tables, start = [], 0
+        for text in names:
+            entries = text.split("\n") if text else []
+            tables.append(dict(zip(entries, range(start, start + len(entries)), strict=True)))
+            start += len(entries)
+        return Model(languages, tables, scores)
+
+    def rows_of(self, word: str) -> list[int]:
+        """Rows that score a word: its own, or those of its n-grams; none if
+        the model knows nothing of it."""
         known = self.tables[0].get(word)
         if known is not None:
-            return known
-        marked = f"<{word}>"
-        total, i, n_found = np.zeros(len(self.languages)), 0, 0
-        while i < len(marked):
+            return [known]
+        marked, found = f"<{word}>", []
+        for i in range(len(marked)):
             for n in range(min(LONGEST, len(marked) - i), 0, -1):
-                found = self.tables[n].get(marked[i:i + n])
-                if found is not None and marked[i:i + n] not in _ENDS:
-                    total = total + found
-                    n_found += 1
+                gram = marked[i:i + n]
+                row = self.tables[n].get(gram)
+                if row is not None:
+                    if gram not in _ENDS:
+                        found.append(row)
                     break
-            i += 1
-        return total / n_found if n_found else total
-
-    def predict(self, text: str | None, cache: dict[str, int], scores: list[np.ndarray]) -> tuple[str, float]:
-        """Language and its probability; undetermined (0) without letters."""
-        found = [w for w in words(text or "") if any(map(str.isalpha, w))]
-        if not found or not self.languages:
+        return found
+
+
+class Predictor:
+    """A model with the scores of the words met so far."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.blank = len(model.scores)
+        self.rows = np.concatenate([model.scores, np.zeros((1, len(model.languages)), np.float32)])
+        self.known: dict[str, int] = {}
+        self.scores = np.empty((1024, len(model.languages)), np.float32)
+
+    def word_scores(self, new: list[str]) -> np.ndarray:
+        """Scores of words: the mean of the rows that each is scored by."""
+        starts, rows = [], []
+        for w in new:
+            starts.append(len(rows))
+            rows.extend(self.model.rows_of(w) or (self.blank,))
+        count = np.diff(starts, append=len(rows))
+        return np.add.reduceat(self.rows[rows], starts, axis=0) / count[:, None]
+
+    def learn(self, met: set[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = list(met.difference(self.known))
+        for i in range(0, len(new), 10_000):
+            part = new[i:i + 10_000]
+            first = len(self.known)
+            while first + len(part) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
+            self.scores[first:first + len(part)] = self.word_scores(part)
+            self.known.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and its probability of each text; undetermined (0)
+        without letters."""
+        found = [words(t or "") for t in texts]
+        if self.model.languages:
+            self.learn(set().union(*found))
+        return [self._judge(f) for f in found]
+
+    def _judge(self, found: list[str]) -> tuple[str, float]:
+        languages = self.model.languages
+        if not languages or not any(any(map(str.isalpha, w)) for w in found):
             return UNDETERMINED, 0.0
-        if len(cache) > CACHE:
-            cache.clear()
-            scores.clear()
-        for w in set(found).difference(cache):
-            cache[w] = len(scores)
-            scores.append(self.word_score(w))
-        counts = Counter(map(cache.__getitem__, found))
-        total = np.array(list(counts.values())) @ np.array([scores[i] for i in counts])
+        rows = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        total = self.scores[rows].sum(axis=0, dtype=np.float64)
         # words of a text are not independent: the evidence counts as its square root
-        total = total / np.sqrt(len(found))
+        total /= np.sqrt(len(found))
         weight = np.exp(total - total.max())
         best = int(np.argmax(weight))
-        return self.languages[best], float(weight[best] / weight.sum())
+        return languages[best], float(weight[best] / weight.sum())
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -112,12 +153,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.select(F.xxhash64(docs[id_col]).alias("place"), docs[text_col].alias("text"),
                        docs[lang_col].alias("lang")).where(
         docs[id_col].isNotNull() & docs[text_col].isNotNull() & docs[lang_col].isNotNull())
-    by_lang = Window.partitionBy("lang").orderBy("place")
-    limits = {r["lang"]: r["last"] for r in rows.select("lang", "place").withColumn(
-        "nth", F.row_number().over(by_lang)).where(F.col("nth") <= sample).groupBy("lang").agg(
-        F.max("place").alias("last")).collect()}  # one row per language
+    # about ``sample`` of a language's rows have a hash below its limit
+    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one per language
+    limits = {lang: min(2**63 - 1, 2**64 * sample // n - 2**63) for lang, n in held.items()}
     if not limits:
-        return Model([], [{} for _ in range(LONGEST + 1)])
+        return Model([], [{} for _ in range(LONGEST + 1)], np.empty((0, 0), np.float32))
     last = F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv])
     chosen = rows.where(F.col("place") <= last[F.col("lang")]).select("lang", "text")
 
@@ -139,32 +179,36 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                  pa.array([k[2] for k in keys], pa.string()), pa.array(list(out.values()), pa.int64())],
                 ["lang", "n", "entry", "c"])
 
-    counts = (map_arrow(chosen, count, "lang string, n int, entry string, c long")
-              .groupBy("lang", "n", "entry").agg(F.sum("c").alias("c")))
+    counts = cut(map_arrow(chosen, count, "lang string, n int, entry string, c long")
+                 .groupBy("lang", "n", "entry").agg(F.sum("c").alias("c")))
     totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
     by_count = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "entry")
     top = (counts.where((F.col("c") >= LEAST_COUNT) | (F.col("n") == 1))
            .withColumn("nth", F.row_number().over(by_count))
            .where(F.col("nth") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams)))
-    return _model(sorted(limits), top.select("lang", "n", "entry", "c").collect(), totals.collect())
+    return _model(sorted(limits), top.select("lang", "n", "entry", "c").orderBy("n", "entry").toArrow(), totals.collect())
 
 
-def _model(languages: list[str], top: list, totals: list) -> Model:
+def _model(languages: list[str], top: pa.Table, totals: list) -> Model:
     """Log frequencies with half a count for entries a language doesn't have."""
     at = {lang: i for i, lang in enumerate(languages)}
     size = np.ones((LONGEST + 1, len(languages)))
     for r in totals:
         size[r["n"], at[r["lang"]]] = r["total"] + 0.5 * r["kinds"]
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    for r in top:
-        table = tables[r["n"]]
-        if r["entry"] not in table:
-            table[r["entry"]] = np.full(len(languages), 0.5)
-        table[r["entry"]][at[r["lang"]]] = r["c"]
-    for n, table in enumerate(tables):
-        for entry, found in table.items():
-            table[entry] = np.log(found / size[n])
-    return Model(languages, tables)
+    tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    n = top.column("n").to_numpy()
+    place = np.empty(top.num_rows, np.int64)
+    last, row = None, -1
+    for i, entry in enumerate(top.column("entry").to_pylist()):  # sorted by n and entry
+        if (n[i], entry) != last:
+            last, row = (n[i], entry), row + 1
+            tables[n[i]][entry] = row
+        place[i] = row
+    found = np.full((row + 1, len(languages)), 0.5)
+    column = np.array([at[x] for x in top.column("lang").to_pylist()], np.int64)
+    found[place, column] = top.column("c").to_numpy()
+    of_row = np.repeat(np.arange(LONGEST + 1), [len(t) for t in tables])
+    return Model(languages, tables, np.log(found / size[of_row]).astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred",
@@ -183,11 +227,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
                        docs[text_col].alias("read"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model.unpacked(shared.value)
-        cache, scores = {}, []
+        judge = Predictor(Model.unpacked(shared.value))
         for whole in batches:
-            for batch in parts_of(whole, "read"):
-                got = [known.predict(t, cache, scores) for t in batch.column("read").to_pylist()]
+            for batch in parts_of(whole, "read", 2 << 20):
+                got = judge(batch.column("read").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(i) for i in range(len(kept))], pa.array([g[0] for g in got], pa.string()),
                      pa.array([g[1] for g in got], pa.float64())], [*names, "pred", "prob"])

@@ -3,7 +3,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.language_id import Model, fit, held_out, predict
+from ledgerlens.llm.language_id import Model, Predictor, fit, held_out, predict
 from llm.conftest import ODD_TEXTS
 
 
@@ -25,12 +25,23 @@ def test_held_out_accuracy(judged):
 
 def test_unseen_words_fall_back_to_shorter_grams(judged):
     model, _ = judged
+    judge = Predictor(model)
     assert "zzthtionly" not in model.tables[0]
-    assert model.languages[model.word_score("zzthtionly").argmax()] == "en"
-    assert model.languages[model.word_score("ungschkeit").argmax()] == "de"
-    assert not model.word_score("漢字").any()
+    english, german, foreign = judge.word_scores(["zzthtionly", "ungschkeit", "漢字"])
+    assert model.languages[english.argmax()] == "en" and model.languages[german.argmax()] == "de"
+    assert not foreign.any()
     known = next(iter(model.tables[0]))
-    assert (model.word_score(known) == model.tables[0][known]).all()
+    assert (judge.word_scores([known])[0] == model.scores[model.tables[0][known]]).all()
+
+
+def test_full_cache_changes_nothing(judged, monkeypatch):
+    model, rows = judged
+    monkeypatch.setattr("ledgerlens.llm.language_id.CACHE", 50)
+    texts = [r["text"] for r in rows[:60]]
+    one_by_one = Predictor(model)
+    got = [one_by_one([t])[0] for t in texts]
+    assert [g[0] for g in got] == [r["lang_pred"] for r in rows[:60]]
+    assert [g[1] for g in got] == pytest.approx([r["score"] for r in rows[:60]])
 
 
 def test_odd_rows(judged, odd, empty):
@@ -60,7 +71,7 @@ def test_without_labels(spark, odd):
 
 def test_sample_is_bounded(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    small, whole = fit(docs, sample=2), fit(docs)
+    small, whole = fit(docs, sample=5), fit(docs)
     assert small.languages == whole.languages
     assert len(small.tables[0]) < len(whole.tables[0])
     few = fit(docs, max_words=5, max_grams=7)
@@ -71,11 +82,11 @@ def test_label_is_no_input(spark, sf, judged):
     model, rows = judged
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None))
     again = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict(docs, model).collect()}
-    assert again == {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows}
+    assert again == {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows}  # to the last bit
 
 
 def test_model_survives_packing(judged):
     model, _ = judged
     again = Model.unpacked(model.packed())
     assert again.languages == model.languages
-    assert [list(t) for t in again.tables] == [list(t) for t in model.tables]
+    assert again.tables == model.tables and (again.scores == model.scores).all()
