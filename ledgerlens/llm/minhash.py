@@ -31,6 +31,11 @@ SHINGLE = 5
 PERMUTATIONS = 64
 BAND = 4
 _EMPTY = np.uint32(0xFFFFFFFF)
+#: Ranges of ids that texts are dealt to at most.
+MAX_RANGES = 1 << 16
+#: What is sent to a range: its documents, heads of others, and near ids.
+_SPREAD = {"part": pa.int32(), "extra": pa.bool_(), "place": pa.int64(), "doc": pa.int64(), "packed": pa.binary(),
+           "mark": pa.binary(), "near": pa.int64()}
 #: Shingles that are permuted together (bounds the work space of long texts).
 _STEP = 1024
 
@@ -112,15 +117,17 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 80, n: int
 
 
 def edited_fingerprints(docs: DataFrame, k: int = SHINGLE, n: int = PERMUTATIONS,
-                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                        id_col: str = "doc_id", text_col: str = "text", near: DataFrame | None = None) -> DataFrame:
     """Fingerprints of all texts and of an edited form of each.
 
     The next document is the one after it by descending id, the first after
     the last; the edited text has the last half of the code points (rounded
     down) replaced by as many first ones of the next text, or all it has.
     Returns ``doc, n_chars, edited_sha256, fingerprint, edited_fingerprint``
-    (lowercase hex), ``near_edited, near_next`` (share of equal entries), one
-    row per row of ``docs``.  Null texts are empty.  Rows without id come
+    (lowercase hex), ``near_edited, near_next`` (share of equal entries) and
+    ``near_id``, one row per row of ``docs``.  ``near_id`` is what
+    ``near(doc, component)``, a result of :func:`near_duplicates`, says of the
+    id (null without it, and for rows without id).  Null texts are empty.  Rows without id come
     last; rows with the same id are ordered by a hash of their text.  A single
     row is its own next one.
 
@@ -130,7 +137,7 @@ def edited_fingerprints(docs: DataFrame, k: int = SHINGLE, n: int = PERMUTATIONS
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"),
                        F.coalesce(docs[id_col].cast("long"), F.lit(-2**63)).alias("place"))
-    n_ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_ranges = min(MAX_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = _cut_points(rows, n_ranges)
     heads = _heads(rows, cuts)
 
@@ -139,7 +146,7 @@ def edited_fingerprints(docs: DataFrame, k: int = SHINGLE, n: int = PERMUTATIONS
         squeeze = zstandard.ZstdCompressor(level=3)
         for whole in batches:
             for batch in parts_of(whole, "text"):
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[] for _ in _SPREAD]
                 for doc, place, text in zip(batch.column("doc").to_pylist(),
                                             batch.column("place").to_pylist(), utf8(batch, "text"),
                                             strict=True):
@@ -148,52 +155,67 @@ def edited_fingerprints(docs: DataFrame, k: int = SHINGLE, n: int = PERMUTATIONS
                     packed = squeeze.compress(text)
                     here = int(np.searchsorted(cuts, place, "right"))
                     for where, extra in [(here, False), *((w, True) for w in heads.get(place, ()))]:
-                        for column, value in zip(out, (where, extra, place, doc, packed, mark),
-                                                 strict=True):
+                        for column, value in zip(out, (where, extra, place, doc, packed, mark, None), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(),
-                                                          pa.binary(), pa.binary()), strict=True)],
-                    ["part", "extra", "place", "doc", "packed", "mark"])
+                    [pa.array(c, t) for c, t in zip(out, _SPREAD.values(), strict=True)], list(_SPREAD))
+
+    def place_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            part = np.searchsorted(cuts, place, "right")
+            blank = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()), pa.array(np.zeros(len(part), bool)), batch.column("place"), *blank,
+                 batch.column("near")], list(_SPREAD))
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations(n)
         unpack = zstandard.ZstdDecompressor()
-        before = None
+        before, component = None, (None, None)
         for batch in batches:
             out: list[tuple] = []
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for part, extra, _, doc, packed, mark in zip(*cols, strict=True):
-                row = (part, extra, doc, unpack.decompress(packed).decode(), mark)
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            for part, extra, place, doc, packed, mark, near_id in zip(*cols, strict=True):
+                if packed is None:  # what is near the documents of this place
+                    component = (place, near_id)
+                    continue
+                row = (part, extra, doc, unpack.decompress(packed).decode(), mark,
+                       component[1] if component[0] == place else None)
                 if before is not None and before[0] == part and not before[1]:
                     out.append(_edited(before, row, k, a, b))
                 before = row
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], t) for i, t in enumerate(
                     (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(),
-                     pa.float64()))],
+                     pa.float64(), pa.int64()))],
                 ["doc", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-                 "near_next"])
-
-    marked = map_arrow(rows, spread, "part int, extra boolean, place long, doc long, packed binary, mark binary")
-    dealt = marked.repartition("part").sortWithinPartitions("part", "extra", F.desc("place"), F.xxhash64("packed"))
+                 "near_next", "near_id"])
+
+    schema = "part int, extra boolean, place long, doc long, packed binary, mark binary, near long"
+    marked = map_arrow(rows, spread, schema)
+    if near is not None:
+        of_id = near.where("doc IS NOT NULL").groupBy(F.col("doc").alias("place")).agg(F.min("component").alias("near"))
+        marked = marked.unionByName(map_arrow(of_id.select("place", "near"), place_near, schema))
+    dealt = marked.repartition("part").sortWithinPartitions(
+        "part", "extra", F.desc("place"), F.asc_nulls_last("near"), F.xxhash64("packed"))
     return map_arrow(dealt, edit, "doc long, n_chars long, edited_sha256 string, fingerprint string, "
-                                  "edited_fingerprint string, near_edited double, near_next double")
+                                  "edited_fingerprint string, near_edited double, near_next double, near_id long")
 
 
 def _edited(row: tuple, following: tuple, k: int, a: np.ndarray, b: np.ndarray) -> tuple:
-    _, _, doc, text, mark = row
+    _, _, doc, text, mark, near_id = row
     half = len(text) // 2
     edited = (text[:len(text) - half] + following[3][:half]).encode()
     edited_mark = signature(edited, k, a, b).tobytes()
     return (doc, len(text), hashlib.sha256(edited).hexdigest(), mark.hex(), edited_mark.hex(),
-            likeness(mark, edited_mark), likeness(mark, following[4]))
+            likeness(mark, edited_mark), likeness(mark, following[4]), near_id)
 
 
 def _cut_points(rows: DataFrame, parts: int) -> np.ndarray:
     """Ids that divide the rows into about equal ranges (few per task)."""
     found = rows.select(F.percentile_approx(
-        "place", [i / parts for i in range(1, parts)], 20 * parts).alias("cuts")).first()["cuts"]
+        "place", [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("cuts")).first()["cuts"]
     return np.unique(np.array(found or [], np.int64))
 
 

@@ -79,11 +79,21 @@ def test_ranges_do_not_matter(spark, sf):
 def test_near_duplicates_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute_components({r["doc_id"]: r["text"] for r in docs.collect()}, 5, 80)
-    got = {r["doc"]: (r["n_shingles"], r["component"]) for r in minhash.near_duplicates(docs).collect()}
+    near = minhash.near_duplicates(docs)
+    got = {r["doc"]: (r["n_shingles"], r["component"]) for r in near.collect()}
     assert got == want
+    rows = minhash.edited_fingerprints(docs, near=near).collect()
+    assert {r["doc"]: r["near_id"] for r in rows} == {i: c for i, (_, c) in want.items()} and len(rows) == len(want)
+
+
+def test_near_ids_of_odd_rows(odd):
+    rows = minhash.edited_fingerprints(odd, near=minhash.near_duplicates(odd)).collect()
+    assert len(rows) == len(ODD_TEXTS) and {r["near_id"] for r in rows if r["doc"] is None} == {None}
+    assert {r["doc"]: r["near_id"] for r in rows if r["doc"]} == {
+        1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7, 9: 1, 10: 10, 11: 11, 12: 1}
 
 
-@pytest.mark.parametrize("block", [600, 7])
+@pytest.mark.parametrize("block", [250, 7])
 def test_near_copies_of_one_base(spark, block, monkeypatch):
     """A group of copies edited here and there, in one block and in many."""
     monkeypatch.setattr(grouped, "BLOCK_MEMBERS", block)
