@@ -7,11 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one bucket should have.
-BUCKET_ROWS = 20_000
 
-
-def buckets_for(rows: Column, bucket_rows: int = BUCKET_ROWS) -> Column:
+def buckets_for(rows: Column, bucket_rows: int) -> Column:
     """Number of buckets for a group of ``rows`` rows, one at least."""
     return F.greatest(F.ceil(rows / F.lit(bucket_rows)), F.lit(1)).cast("long")
 

@@ -2,27 +2,38 @@
 
 Documents that share a link key (here: equal texts) are linked.  Every
 document starts in a shard by rank, so that all shards are even.  In each
-round, a Spark aggregation counts the members of every link in every shard
+round, a Spark aggregation counts the members of every link in every shard,
 and a join tells each linked document the shard where most of its neighbours
 are; it moves there if the round's quota lets it.  Quotas come from the free
-places of the shards and from opposite wishes, which swap; so no shard ever
-holds more than its capacity, and a group larger than a shard fills several.
-Documents without links then take the places that are left, which makes the
-row counts of the shards differ by one at most.
+places of the shards, with some more than the capacity while documents move,
+and from opposite wishes, which swap; a group larger than a shard fills
+several.  At the end, shards above their capacity hand the surplus, link by
+link, to shards with room, and documents without links take the places that
+are left, which makes the row counts of the shards differ by one at most.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.ranks import BUCKET_ROWS, add_rank, dealt
+from ledgerlens.llm.ranks import add_rank, dealt
 from ledgerlens.llm.storage import cut
 
 ROUNDS = 16
 #: Steps in which a wish can be granted in part.
 STEPS = 256
+#: How far shards may be above their capacity between rounds.
+SLACK = 0.25
+
+
+def _buckets(rows: int) -> int:
+    """Buckets to rank rows in: as many as each has rows, so that neither the
+    rows of a bucket nor the buckets are many for one task."""
+    return max(1, math.isqrt(rows))
 
 
 def capacities(rows: int, shards: int) -> np.ndarray:
@@ -62,10 +73,7 @@ def propagate(linked: DataFrame, capacity: np.ndarray, rounds: int = ROUNDS) ->
     shards = len(capacity)
     state, idle = cut(linked), 0
     for turn in range(rounds):
-        load = np.zeros(shards, np.int64)
-        for shard, n in state.groupBy("shard").count().collect():  # a number per shard
-            load[shard] = n
-        room = capacity - load
+        room = capacity - _loads(state, shards)
         tally = state.groupBy("link", "shard").agg(F.count("*").alias("n"))
         # the shard with most members, a hash settling ties; every other turn
         # only among shards with room
@@ -97,6 +105,39 @@ def propagate(linked: DataFrame, capacity: np.ndarray, rounds: int = ROUNDS) ->
     return state
 
 
+def _loads(rows: DataFrame, shards: int) -> np.ndarray:
+    load = np.zeros(shards, np.int64)
+    for shard, n in rows.groupBy("shard").count().collect():  # a number per shard
+        load[shard] = n
+    return load
+
+
+def _trim(placed: DataFrame, capacity: np.ndarray, order: list[Column]) -> DataFrame:
+    """Move what shards hold above ``capacity`` to shards with room.
+
+    Rows are ranked by link, so that a surplus is whole groups but for one,
+    and those go to a shard together.
+    """
+    load = _loads(placed, len(capacity))
+    if (load <= capacity).all():
+        return placed
+    placed = cut(placed)
+    by_link = [F.xxhash64("link"), F.col("link"), *order]
+
+    def bucket(rows: int) -> Column:  # of links; a large one is in several
+        n = _buckets(rows)
+        part = F.pmod(F.col("spread"), F.greatest(F.lit(1), F.expr(f"members div {n}")))
+        return dealt(F.xxhash64("link", part), F.lit(n))
+
+    ranked = cut(add_rank(placed, "rank", ["shard"], by_link, bucket(int(load.max()))))
+    over = F.col("rank") >= F.lit(capacity.tolist())[F.col("shard")]
+    ends = np.cumsum(np.maximum(capacity - load, 0))
+    out = add_rank(ranked.where(over).drop("rank").withColumn("one", F.lit(0)), "rank", ["one"], by_link,
+                   bucket(int(np.maximum(load - capacity, 0).sum())))
+    to = F.size(F.filter(F.lit(ends.tolist()), lambda e: e <= F.col("rank"))).cast("int")
+    return cut(ranked.where(~over).drop("rank").unionByName(out.withColumn("shard", to).drop("rank", "one")))
+
+
 def balanced_shards(rows: DataFrame, link: Column, order: list[Column], shards: int = 16,
                     rounds: int = ROUNDS) -> DataFrame:
     """``rows`` with ``shard`` (0 .. shards - 1) and ``slot`` (0, 1, ... in each
@@ -105,39 +146,39 @@ def balanced_shards(rows: DataFrame, link: Column, order: list[Column], shards:
 
     Null links and links of a single row are no links.  ``order`` makes the
     result repeatable; rows equal in it and in ``link`` may swap places.  Own
-    columns called ``link``, ``spread``, ``shard`` or ``slot`` are an error.
+    columns called ``link``, ``spread``, ``members``, ``shard`` or ``slot`` are
+    an error.
     An empty table gives an empty result.
     """
-    taken = {"link", "spread", "shard", "slot"} & set(rows.columns)
+    taken = {"link", "spread", "members", "shard", "slot"} & set(rows.columns)
     if taken:
         raise ValueError(f"columns {sorted(taken)} would be overwritten")
-    # a salted count per link: rows of links of two rows or more are linked
     base = rows.withColumn("link", link).withColumn("spread", F.xxhash64(*order))
-    shared = (base.where("link IS NOT NULL").groupBy(F.col("link").alias("s_link")).agg(F.count("*").alias("members"))
-              .where("members > 1").select("s_link"))
+    # a table of its own, so that Spark is free to split a hot link in the join
+    shared = cut(base.where("link IS NOT NULL").groupBy(F.col("link").alias("s_link")).agg(F.count("*").alias("members"))
+                 .where("members > 1"))
     marked = cut(base.join(shared, F.col("link") == F.col("s_link"), "left"))
-    free = marked.where("s_link IS NULL").drop("s_link")
+    free = marked.where("s_link IS NULL").drop("s_link", "members")
     linked = marked.where("s_link IS NOT NULL").drop("s_link")
     n_linked, n = marked.agg(F.count("s_link"), F.count("*")).first()
     capacity = capacities(n, shards)
 
     start = add_rank(linked.withColumn("one", F.lit(0)), "rank", ["one"], order,
-                     dealt(F.col("spread"), F.lit(max(1, n_linked // BUCKET_ROWS))))
-    placed = propagate(start.withColumn("shard", (F.col("rank") % shards).cast("int")).drop("rank", "one"),
-                       capacity, rounds)
-    load = np.zeros(shards, np.int64)
-    for shard, rows_in in placed.groupBy("shard").count().collect():
-        load[shard] = rows_in
+                     dealt(F.col("spread"), F.lit(_buckets(n_linked))))
+    loose = capacity + np.ceil(SLACK * capacity).astype(np.int64)
+    placed = propagate(start.withColumn("shard", (F.col("rank") % shards).cast("int")).drop("rank", "one"), loose, rounds)
+    placed = _trim(placed, capacity, order)
+    load = _loads(placed, shards)
     placed = add_rank(placed, "slot", ["shard"], order,
-                      dealt(F.col("spread"), F.lit(max(1, int(load.max()) // BUCKET_ROWS))))
+                      dealt(F.col("spread"), F.lit(_buckets(int(load.max())))))
     ends = np.cumsum(capacity - load)
     ranked = add_rank(free.withColumn("one", F.lit(0)), "rank", ["one"], order,
-                      dealt(F.col("spread"), F.lit(max(1, (n - n_linked) // BUCKET_ROWS)))).drop("one")
+                      dealt(F.col("spread"), F.lit(_buckets(n - n_linked)))).drop("one")
     shard = F.size(F.filter(F.lit(ends.tolist()), lambda e: e <= F.col("rank")))
     starts = F.lit((load - np.concatenate([[0], ends[:-1]])).tolist())
     filled = (ranked.withColumn("shard", shard.cast("int"))
               .withColumn("slot", F.col("rank") + starts[F.col("shard")]).drop("rank"))
-    return placed.unionByName(filled).drop("link", "spread")
+    return placed.drop("members").unionByName(filled).drop("link", "spread")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
