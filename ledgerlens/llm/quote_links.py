@@ -79,36 +79,43 @@ def reply_ordered(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
         F.min(F.when(F.col("source").isNotNull(), F.struct("level", "passage", "source"))).alias("first"))
     quotes = by_message.select(F.col("conv_id").alias("q_conv"), F.col("r").alias("q_r"), "n_passages", "n_linked",
                                "max_level", F.col("first.source").alias("source"))
-    linked = ranked.join(quotes, F.col("conv_id").eqNullSafe(F.col("q_conv")) & (F.col("r") == F.col("q_r")), "left")
+    # texts stay behind: the tree is found on ranks alone
+    ranks = ranked.select("conv_id", "turn", "r")
+    linked = ranks.join(quotes, F.col("conv_id").eqNullSafe(F.col("q_conv")) & (F.col("r") == F.col("q_r")), "left")
     linked = (linked.withColumn("parent", F.coalesce("source", F.when(F.col("r") > 0, F.col("r") - 1)))
               .withColumn("starts", F.when((F.col("r") == 0) | (F.col("parent") != F.col("r") - 1), F.col("r")))
               .drop("q_conv", "q_r", "source"))
     chained = cut(_chains(linked))
     placed = _branch_places(chained)
     with_place = chained.join(placed, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("chain") == F.col("b_chain")))
-    turns = ranked.select(F.col("conv_id").alias("t_conv"), F.col("r").alias("t_r"), F.col("turn").alias("reply_to"))
-    out = with_place.join(turns, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("parent") == F.col("t_r")), "left")
-    return out.select("conv_id", "turn", "role", own_text(F.col("text")).alias("content"), "reply_to",
-                      (F.col("first_place") + F.col("r") - F.col("chain")).alias("position"), "depth",
-                      *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_passages", "n_linked", "max_level")])
+    turns = ranks.select(F.col("conv_id").alias("t_conv"), F.col("r").alias("t_r"), F.col("turn").alias("reply_to"))
+    placed = with_place.join(turns, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("parent") == F.col("t_r")), "left").select(
+        F.col("conv_id").alias("p_conv"), F.col("r").alias("p_r"), "reply_to",
+        (F.col("first_place") + F.col("r") - F.col("chain")).alias("position"), "depth",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_passages", "n_linked", "max_level")])
+    out = ranked.join(placed, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("r") == F.col("p_r")))
+    return out.select("conv_id", "turn", "role", own_text(F.col("text")).alias("content"), "reply_to", "position",
+                      "depth", "n_passages", "n_linked", "max_level")
 
 
 def _sources(ranked: DataFrame) -> DataFrame:
     """``(conv_id, r, passage, level, source)``: quoted passages, numbered by
     their first line, and the message each of them comes from (null: none)."""
-    lines = (ranked.select("conv_id", "r", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
-             .select("conv_id", "r", "line_no", quote_level(F.col("line")).alias("level"),
-                     normalised(F.col("line")).alias("norm")))
+    def lines(rows: DataFrame) -> DataFrame:
+        each = rows.select("conv_id", "r", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
+        return each.select("conv_id", "r", "line_no", quote_level(F.col("line")).alias("level"),
+                           normalised(F.col("line")).alias("norm"))
+
     in_message = Window.partitionBy("conv_id", "r").orderBy("line_no")
-    quoted = (lines.where("level > 0")
+    quoted = (lines(ranked.where(F.col("text").contains(">"))).where("level > 0")
               .withColumn("new", (F.lag("line_no").over(in_message).isNull()
                                   | (F.lag("line_no").over(in_message) != F.col("line_no") - 1)
                                   | (F.lag("level").over(in_message) != F.col("level"))).cast("int"))
               .withColumn("passage", F.sum("new").over(in_message.rowsBetween(Window.unboundedPreceding, 0))))
     quoted = cut(quoted.drop("new"))
-    own = lines.where("level = 0 AND norm != ''").join(
-        quoted.select(F.col("conv_id").alias("q_conv")).distinct(),
-        F.col("conv_id").eqNullSafe(F.col("q_conv")), "left_semi")
+    with_quotes = quoted.select(F.col("conv_id").alias("q_conv")).distinct()
+    own = lines(ranked.join(with_quotes, F.col("conv_id").eqNullSafe(F.col("q_conv")), "left_semi")).where(
+        "level = 0 AND norm != ''")
     both = own.select("conv_id", "r", F.lit(None).cast("long").alias("passage"), "level", "norm").distinct().unionByName(
         quoted.where("norm != ''").select("conv_id", "r", "passage", "level", "norm"))
     # the latest earlier message with the line: two hashes of it meet in a window
