@@ -40,7 +40,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 def _stars(pairs: DataFrame, keep: str | None) -> DataFrame:
     """Point neighbours ``v`` of each ``u`` (only those ``keep`` says) at the
     smallest of them and ``u``; without ``keep``, ``u`` itself too."""
-    least = pairs.groupBy(F.col("u").alias("m_u")).agg(F.min("v").alias("m"))
+    # a table of its own, so that Spark is free to split a hub in the join
+    least = cut(pairs.groupBy(F.col("u").alias("m_u")).agg(F.min("v").alias("m")))
     joined = pairs.join(least, F.col("u") == F.col("m_u")).withColumn("m", F.least("u", "m"))
     out = (joined.where(keep) if keep else joined).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if keep is None:
