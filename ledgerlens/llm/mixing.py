@@ -25,7 +25,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Words that the dynamic programme settles.
 LAST_WORDS = 1 << 14
-ROW_GROUP = 5_000
+#: Rows of one length that one task ranks.
+ROW_GROUP = 500
 
 
 def word_count(text: Column) -> Column:
@@ -34,37 +35,43 @@ def word_count(text: Column) -> Column:
 
 def fit_budget(lengths: list[int], counts: list[int], budget: int, last: int = LAST_WORDS) -> list[int]:
     """How many documents of each length to take, at most ``counts``, so that
-    their words come as near to ``budget`` as found without going above."""
+    their words come as near to ``budget`` as found; for a budget of up to
+    ``last`` words, as near as any choice does."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if not total or budget <= 0:
         return [0] * len(lengths)
     if budget >= total:
         return list(counts)
-    # every length's share, rounded down; then long documents until the dynamic
-    # programme can settle the rest
-    took = [c * budget // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
-    left = budget - sum(n * k for n, k in zip(lengths, took, strict=True))
+    took, left = [0] * len(lengths), budget
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    for i in order:
-        if left <= last:
-            break
-        if lengths[i]:
-            more = min(counts[i] - took[i], (left - last) // lengths[i] + 1, left // lengths[i])
-            took[i] += more
-            left -= more * lengths[i]
+    if budget > last:
+        # every length's share, rounded down; then long documents until the
+        # dynamic programme can settle the rest
+        took = [c * budget // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
+        left -= sum(n * k for n, k in zip(lengths, took, strict=True))
+        for i in order:
+            if left <= last:
+                break
+            if lengths[i]:
+                more = min(counts[i] - took[i], (left - last) // lengths[i] + 1, left // lengths[i])
+                took[i] += more
+                left -= more * lengths[i]
     for i, more in _knapsack(lengths, [c - k for c, k in zip(counts, took, strict=True)], left, order).items():
         took[i] += more
     return took
 
 
 def _knapsack(lengths: list[int], free: list[int], budget: int, order: list[int]) -> dict[int, int]:
-    """Bounded knapsack over 0 .. budget words: sums that can be reached, as
-    the bits of a number, one step for each power of two of a length."""
-    full = (1 << (budget + 1)) - 1
+    """Bounded knapsack: the sum nearest to ``budget`` (the lower one of two).
+
+    The sums that can be reached, up to twice the budget, are the bits of a
+    number; each step adds a power of two of a length.
+    """
+    full = (1 << (2 * budget + 1)) - 1
     reach, steps = 1, []
     for i in order:
         n = lengths[i]
-        left = min(free[i], budget // n) if n else 0
+        left = min(free[i], 2 * budget // n) if n else 0
         power = 1
         while left > 0:
             take = min(power, left)
@@ -76,7 +83,11 @@ def _knapsack(lengths: list[int], free: list[int], budget: int, order: list[int]
             power *= 2
         if reach >> budget & 1:
             break
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    above = reach >> budget
+    at = below
+    if above and budget - below > (gap := (above & -above).bit_length() - 1):
+        at = budget + gap
     took: dict[int, int] = {}
     for i, take, before in reversed(steps):
         if not before >> at & 1:
