@@ -1,4 +1,4 @@
-"""Compare every registered query with its DuckDB twin at one scale.
+"""Compare every registered query that has a DuckDB twin with it at one scale.
 
     python tests/run_oracle.py /root/testdata/sf0.1 [query ...]
 """
@@ -22,11 +22,12 @@ def main() -> None:
     spark = get_spark(shuffle_partitions=16)
     con = duck(sf)
     ok = True
-    for name, fn in E.queries().items():
+    queries = E.queries()
+    for name, sql in E.oracle_sql().items():
         if only and name not in only:
             continue
         t0 = time.time()
-        r = compare(fn(spark, sf), con, E.oracle_sql()[name])
+        r = compare(queries[name](spark, sf), con, sql)
         good = r["columns_match"] and r["values_match"] and r["spark_rows"] == r["oracle_rows"]
         ok &= good
         print(f"{'OK ' if good else 'BAD'} {name:24s} rows={r['spark_rows']:>8} {time.time() - t0:6.1f}s",
