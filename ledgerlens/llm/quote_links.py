@@ -4,14 +4,16 @@ Lines that start with ``>`` marks quote an earlier message; the number of
 marks is the nesting level.  A passage is a run of lines of one level.  Each
 of its lines, normalised (marks off, white space collapsed, lower-cased), is
 hashed and joined to the own lines of earlier messages of the conversation;
-the message with most of the passage's lines is its source.  A message
-replies to the source of its first passage of the lowest level that has one,
+the message with most of the passage's lines is its source, the latest of
+several.  A message replies to the source of its first passage of the lowest level that has one,
 else to the message before it.  Replies form a tree, and conversations come
 out in reply order with the quotes taken out.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from ledgerlens.llm.storage import cut
 _MARKS = r"^((?:[ \t]{0,3}>)+)[ \t]?"
 #: Messages of a conversation that one task orders.
 BLOCK = 4096
+#: Messages with a line that are listed for every passage that quotes it; the
+#: votes of commoner lines are counted once for each set of them.
+COMMON = 32
 #: Rounds of path doubling: enough for branches 2^40 deep.
 MAX_DOUBLINGS = 40
 
@@ -116,23 +121,76 @@ def _sources(ranked: DataFrame) -> DataFrame:
     with_quotes = quoted.select(F.col("conv_id").alias("q_conv")).distinct()
     own = lines(ranked.join(with_quotes, F.col("conv_id").eqNullSafe(F.col("q_conv")), "left_semi")).where(
         "level = 0 AND norm != ''")
-    both = own.select("conv_id", "r", F.lit(None).cast("long").alias("passage"), "level", "norm").distinct().unionByName(
-        quoted.where("norm != ''").select("conv_id", "r", "passage", "level", "norm"))
-    # the latest earlier message with the line: two hashes of it meet in a window
-    same_line = (Window.partitionBy("conv_id", "h1", "h2").orderBy("r")
-                 .rangeBetween(Window.unboundedPreceding, -1))
-    met = (both.withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit("line"), "norm")).drop("norm")
-           .withColumn("source", F.max(F.when(F.col("passage").isNull(), F.col("r"))).over(same_line))
-           .where("passage IS NOT NULL AND source IS NOT NULL"))
-    votes = met.groupBy("conv_id", "r", "passage", "source").agg(F.count("*").alias("n"))
-    best = votes.groupBy(F.col("conv_id").alias("v_conv"), F.col("r").alias("v_r"), F.col("passage").alias("v_passage")).agg(
-        F.max(F.struct("n", "source")).alias("best"))
+    h1, h2 = F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("line"), "norm").alias("h2")
+    wanted = cut(quoted.where("norm != ''").groupBy("conv_id", "r", "passage", h1, h2).agg(F.count("*").alias("w")))
+    asked = wanted.select(*_as("k", "conv_id", "h1", "h2")).distinct()
+    own = own.select("conv_id", "r", h1, h2).distinct().join(asked, _same("k", "conv_id", "h1", "h2"), "left_semi")
+    own = cut(own)
+    common = cut(own.groupBy(*_as("c", "conv_id", "h1", "h2")).agg(F.count("*").alias("n_with")).where(
+        f"n_with > {COMMON}").drop("n_with"))
+    in_common = _same("c", "conv_id", "h1", "h2")
+    best = _of_rare(wanted.join(common, in_common, "left_anti"), own.join(common, in_common, "left_anti"),
+                    wanted.join(common, in_common, "left_semi"), own.join(common, in_common, "left_semi"))
+    best = best.unionByName(_of_common(wanted.join(common, in_common, "left_semi"),
+                                       own.join(common, in_common, "left_semi")))
+    best = best.groupBy(*_as("v", "conv_id", "r", "passage")).agg(F.max("best").alias("best"))
     found = quoted.groupBy("conv_id", "r", "passage").agg(F.min("level").alias("level"))
-    return found.join(best, F.col("conv_id").eqNullSafe(F.col("v_conv")) & (F.col("r") == F.col("v_r"))
-                      & (F.col("passage") == F.col("v_passage")), "left").select(
+    return found.join(best, _same("v", "conv_id", "r", "passage"), "left").select(
         "conv_id", "r", "passage", "level", F.col("best.source").alias("source"))
 
 
+def _as(prefix: str, *names: str) -> list[Column]:
+    return [F.col(n).alias(f"{prefix}_{n}") for n in names]
+
+
+def _same(prefix: str, *names: str) -> Column:
+    """Equal keys; only ``conv_id`` may be null."""
+    return reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"{prefix}_{n}")) if n == "conv_id"
+                                   else F.col(n) == F.col(f"{prefix}_{n}") for n in names])
+
+
+def _of_rare(wanted: DataFrame, own: DataFrame, wanted_common: DataFrame, own_common: DataFrame) -> DataFrame:
+    """``(conv_id, r, passage, best)``: votes of every earlier message that has
+    a rare line of the passage; its common lines are looked up."""
+    met = wanted.join(own.select(*_as("o", "conv_id", "h1", "h2"), F.col("r").alias("source")),
+                      _same("o", "conv_id", "h1", "h2") & (F.col("source") < F.col("r")))
+    votes = cut(met.groupBy("conv_id", "r", "passage", "source").agg(F.sum("w").alias("w")))
+    also = votes.drop("w").join(wanted_common.select(*_as("a", "conv_id", "r", "passage"), "h1", "h2", "w"),
+                                _same("a", "conv_id", "r", "passage"))
+    also = also.join(own_common.select(*_as("o", "conv_id", "h1", "h2"), F.col("r").alias("o_r")),
+                     _same("o", "conv_id", "h1", "h2") & (F.col("source") == F.col("o_r")), "left_semi")
+    votes = votes.unionByName(also.select(*votes.columns)).groupBy(*votes.columns[:-1]).agg(F.sum("w").alias("n"))
+    return votes.groupBy("conv_id", "r", "passage").agg(F.max(F.struct("n", "source")).alias("best"))
+
+
+def _of_common(wanted: DataFrame, own: DataFrame) -> DataFrame:
+    """``(conv_id, r, passage, best)`` by the common lines alone.
+
+    Passages with the same common lines are one set; each message's votes for
+    a set are counted once, and a passage takes the most before it.  Blocks of
+    :data:`BLOCK` ranks are scanned apart.
+    """
+    passages = cut(wanted.groupBy("conv_id", "r", "passage").agg(
+        F.array_sort(F.collect_list(F.struct("h1", "h2", "w"))).alias("lines"))
+        .withColumn("s1", F.xxhash64("lines")).withColumn("s2", F.xxhash64(F.lit("set"), "lines")))
+    sets = passages.groupBy("conv_id", "s1", "s2").agg(F.first("lines").alias("lines")).select(
+        "conv_id", "s1", "s2", F.inline("lines"))
+    votes = (sets.join(own.select(*_as("o", "conv_id", "h1", "h2"), "r"), _same("o", "conv_id", "h1", "h2"))
+             .groupBy("conv_id", "s1", "s2", "r").agg(F.sum("w").alias("n")))
+    rows = cut(votes.select("conv_id", "s1", "s2", "r", F.lit(None).cast("long").alias("passage"),
+                            F.struct("n", F.col("r").alias("source")).alias("vote"))
+               .unionByName(passages.select("conv_id", "s1", "s2", "r", "passage"), allowMissingColumns=True)
+               .withColumn("blk", F.expr(f"r div {BLOCK}")))
+    key = ["conv_id", "s1", "s2", "blk"]
+    tops = rows.groupBy(*key).agg(F.max("vote").alias("top"))
+    earlier = Window.partitionBy(*key[:-1]).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*_as("t", *key), F.max("top").over(earlier).alias("carried"))
+    inside = Window.partitionBy(*key).orderBy("r").rangeBetween(Window.unboundedPreceding, -1)
+    scanned = rows.withColumn("seen", F.max("vote").over(inside)).where("passage IS NOT NULL")
+    return scanned.join(tops, _same("t", *key)).select(
+        "conv_id", "r", "passage", F.greatest("seen", "carried").alias("best")).where("best IS NOT NULL")
+
+
 def _chains(linked: DataFrame) -> DataFrame:
     """Add ``chain``: rank of the message that a run of direct replies starts
     with; blocks of :data:`BLOCK` ranks are scanned apart."""

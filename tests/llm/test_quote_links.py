@@ -135,3 +135,43 @@ def test_conversations_table(spark, sf):
         conversations.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"]))
     got = run(spark, conversations)
     assert {c: brute(m) for c, m in conversations.items()} == got
+
+
+def most_lines(messages):
+    """Turn of the source of every message's first passage (None: none), with
+    the votes of all earlier messages."""
+    own = [{norm(x) for x in lines_of(t) if level(x) == 0 and norm(x)} for _, _, t in messages]
+    out = []
+    for r, (_, _, text) in enumerate(messages):
+        quoted = [norm(x) for x in lines_of(text) if level(x)]
+        votes = [(sum(q in own[e] for q in quoted), e) for e in range(r)]
+        out.append(max(votes)[1] if votes and max(votes)[0] else None)
+    return out
+
+
+def test_whole_passage_beats_later_lines(spark):
+    messages = [(0, "u", "Hi\nthe plan is X\nregards"), (1, "a", "ok"), (2, "u", "Hi\nsomething else\nregards"),
+                (3, "a", "> Hi\n> the plan is X\n> regards\nyes")]
+    got = run(spark, {1: messages})[1]
+    assert [(row[0], row[3], row[5]) for row in got] == [(0, None, 0), (1, 0, 0), (2, 1, 0), (3, 0, 1)]
+
+
+@pytest.mark.parametrize("common", [0, 2, 32])
+@pytest.mark.parametrize("block", [4096, 3])
+def test_every_earlier_message_votes(spark, common, block, monkeypatch):
+    monkeypatch.setattr(quote_links, "COMMON", common)
+    monkeypatch.setattr(quote_links, "BLOCK", block)
+    rng = random.Random(3)
+    conversations = {}
+    for c in [*range(6), None]:
+        texts = []
+        for i in range(24):
+            body = rng.sample(["hi", "regards", "thanks", "code", *(f"line {n}" for n in range(10))], rng.randrange(1, 6))
+            quoted = ["> " + x for x in rng.choice(texts) if x[0] != ">" and rng.random() < 0.9] if texts and i % 3 else []
+            texts.append(quoted + body)
+        conversations[c] = [(i, "u", "\n".join(t)) for i, t in enumerate(texts)]
+    got = run(spark, conversations)
+    for c, messages in conversations.items():
+        want = most_lines(messages)
+        want = [(i, s if s is not None else i - 1 if i else None) for i, s in enumerate(want)]
+        assert sorted((row[0], row[3]) for row in got[c]) == want, c
