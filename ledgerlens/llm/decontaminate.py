@@ -10,6 +10,7 @@ and can be cut out.
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,13 +88,31 @@ def scan(docs: DataFrame, items: DataFrame, keys: list[str], size: int = SIZE, t
         listed = part if listed is None else listed.unionByName(part)
     if listed is None:
         listed = found.select("len", F.lit(None).cast("long").alias("key"), "gram", "items")
-    if sum(lengths.values()) <= max_broadcast:
-        listed = F.broadcast(listed)
-    met = at.join(listed, F.col("w_key") == F.col("key"), "left").where((F.col("start") < 0) | (
+    if sum(lengths.values()) > max_broadcast:
+        return _scan_shuffled(docs, at, listed, keys, text_col)
+    met = at.join(F.broadcast(listed), F.col("w_key") == F.col("key"), "left").where((F.col("start") < 0) | (
         (F.col("w_len") == F.col("len")) & (F.slice("words", F.col("start") + 1, F.col("w_len")) == F.col("gram"))))
     return met.select(*keys, "start", "len", "items", F.size("words").cast("long").alias("n_words"))
 
 
+def _scan_shuffled(docs: DataFrame, at: DataFrame, listed: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """:func:`scan` by a shuffle of the windows: they travel as hashes without
+    their text, and a text meets the few that hit to verify them."""
+    met = at.where("start >= 0").select(*keys, "start", "w_len", "w_key").join(
+        listed, (F.col("w_key") == F.col("key")) & (F.col("w_len") == F.col("len")))
+    hits = met.groupBy(*[F.col(k).alias(f"hit_{k}") for k in keys]).agg(
+        F.collect_set(F.struct("start", "len", "gram", "items")).alias("hits"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"hit_{k}")) for k in keys])
+    texts = docs.select(*[docs[k].alias(k) for k in keys], docs[text_col].alias("scanned"))
+    rows = texts.join(hits, same, "left").select(*keys, "hits", word_list(F.col("scanned")).alias("words"))
+    found = F.expr("""transform(filter(hits, x -> x.start + x.len <= size(words) AND slice(words, x.start + 1, x.len) = x.gram),
+                      x -> struct(x.start, x.len, x.items))""")
+    text_itself = F.expr("array(struct(-1 AS start, CAST(NULL AS int) AS len, CAST(NULL AS array<string>) AS items))")
+    return rows.select(*keys, F.size("words").cast("long").alias("n_words"), F.inline(
+        F.when(F.col("hits").isNull(), text_itself).otherwise(F.concat(text_itself, found)))).select(
+        *keys, "start", "len", "items", "n_words")
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc_id",
                   text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
                   max_broadcast: int = MAX_BROADCAST) -> DataFrame:

@@ -78,3 +78,24 @@ def test_spans_are_cut_out(spark):
     assert got == sorted([("1", "'x  y a b'"), ("2", "'nothing here'"), ("3", "None"), ("1", "''"), ("None", "'z '")])
     lead = spark.createDataFrame([(1, "  a b c!a b c--d e")], "doc_id long, text string")
     assert [r["text"] for r in without_spans(lead, items).collect()] == ["   e"]
+
+
+def test_shuffled_windows_travel_without_words(spark, odd):
+    """No join of windows carries a text's words; results are the broadcast form's."""
+    items = spark.createDataFrame(
+        [(1, "lazy, DOG"), (None, "two three"), (5, "...!"), (7, "é É ß x Ünïcode"), (9, "word " * 20)], "item_id long, text string")
+    judged = contamination(odd, items, max_broadcast=0)
+
+    def nodes(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from nodes(node.children().apply(i))
+
+    joins = [n for n in nodes(judged._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
+    sides = [{side.output().apply(i).name() for i in range(side.output().size())}
+             for n in joins for side in (n.left(), n.right())]
+    assert any("start" in names for names in sides) and not any({"start", "words"} <= names for names in sides)
+    assert run(odd, items, max_broadcast=0) == brute(ODD_TEXTS, pairs(items, "item_id"))
+    short = odd.where("doc_id IS NULL OR doc_id != 10")
+    spans = [sorted(map(repr, without_spans(short, items, **more).collect())) for more in ({}, {"max_broadcast": 0})]
+    assert spans[0] == spans[1]
