@@ -29,6 +29,16 @@ BLOCK_MEMBERS = 250
 SKETCH_WORDS = 256
 
 
+def one_of_each(sizes: DataFrame) -> DataFrame:
+    """``(doc)`` of ``sizes(doc, n_shingles, h1, h2)``: the smallest id of
+    every set, and ids that have several sets, which tie these together."""
+    firsts = sizes.groupBy("h1", "h2").agg(F.min("doc").alias("doc")).select("doc")
+    several = sizes.groupBy("doc").agg(*[f(h).alias(f"{n}_{h}") for h in ("h1", "h2")
+                                         for n, f in (("min", F.min), ("max", F.max))])
+    several = several.where("min_h1 != max_h1 OR min_h2 != max_h2").select("doc")
+    return firsts.unionByName(several).distinct()
+
+
 def pivots(keys: DataFrame) -> DataFrame:
     """``keys(key, doc)`` -> distinct ``(pivot, doc)``, the pivot's own row
     included, for keys of two documents or more.

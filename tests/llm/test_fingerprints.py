@@ -108,3 +108,22 @@ def test_near_copies_of_one_base(spark, block, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc"]: (r["n_shingles"], r["component"]) for r in minhash.near_duplicates(docs).collect()}
     assert got == brute_components(texts, 5, 80)
+
+
+def test_exact_copies_are_not_compared(spark, monkeypatch):
+    """Copies, a near copy and an id with two texts: one of each set takes part."""
+    seen = []
+    verified = grouped.verified_links
+
+    def spy(members, *rest):
+        seen.extend(tuple(r) for r in members.collect())
+        return verified(members, *rest)
+
+    monkeypatch.setattr(grouped, "verified_links", spy)
+    words = [f"w{i}" for i in range(80)]
+    texts = {i: " ".join(words) for i in range(10, 70)} | {5: " ".join([*words, "more"]), 80: "some other text"}
+    rows = [*texts.items(), (90, " ".join(words)), (90, "some other text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc"], r["n_shingles"]): r["component"] for r in minhash.near_duplicates(docs).collect()}
+    assert {doc for _, doc in seen} == {5, 10, 80, 90}
+    assert got == {**{(i, 76): 5 for i in [*range(10, 70), 90]}, (5, 77): 5, (80, 1): 5, (90, 1): 5}
