@@ -1,13 +1,14 @@
 """Training-data operators.
 
-Ten operators for corpus preparation, each a function from DataFrames plus
+Thirteen operators for corpus preparation, each a function from DataFrames plus
 parameters to a DataFrame (see each module's docstring for the defined
 result on nulls, empty texts, repeated rows and clashing column names):
 
 ``minhash`` (document fingerprints), ``token_counts``, ``line_dedup``,
 ``url_filter``, ``sharding``, ``mixing``, ``jaccard_join``, ``language_id``,
-``decontaminate`` and ``quote_links``.  Shared parts: ``words`` (splitting
-and hashing), ``grouped`` (exact resolution of candidate groups),
+``decontaminate``, ``quote_links``, ``collocations``, ``merkle`` (dataset
+manifests) and ``token_files``.  Shared parts: ``words`` (splitting and
+hashing), ``simple8b`` (packed words), ``workers`` (state of a worker), ``grouped`` (exact resolution of candidate groups),
 ``components``, ``ranks`` (distributed row numbers) and ``storage``
 (checkpoints in the shared folder).
 """

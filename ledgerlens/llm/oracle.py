@@ -3,7 +3,8 @@
 Not here, and tested against brute force instead: fingerprints (their hash
 functions), token counts (the tokenizer), sharding and mixing (choices that
 SQL would have to repeat step by step), language identification (a fitted
-model), quotation linking (a tree walk) and the pipeline.
+model), quotation linking (a tree walk), token files (the tokenizer) and the
+pipeline.
 """
 
 from __future__ import annotations
@@ -92,7 +93,92 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, w[i:i + m - 1] AS g
+  FROM (SELECT lang, w, unnest([1, 2, 3]) AS m FROM words) x, LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i)
+), f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.m, c.g, c.f AS a, k, l.f AS l, r.f AS r,
+         ((1000000 * c.f::HUGEINT * c.f) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m >= 2 AND f >= 10) c
+  JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:]
+), scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, m, g, max(f) AS f
+  FROM (SELECT lang, 2 AS m, unnest([g[1:2], g[2:3]]) AS g, f FROM f WHERE m = 3 AND f >= 10) GROUP BY ALL
+), kept AS (
+  SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.g = s.g
+  WHERE coalesce(100 * i.f < 50 * s.a, true)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f})::VARCHAR || ':' || {f}, '-')" for f in fields) + ")"
+
+
+MERKLE = rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+           lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), named AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc FROM documents, crc_table
+), leaves AS (
+  SELECT doc_id, lang, {_leaf("text")} AS leaf,
+         CASE WHEN crc % 3 = 0 THEN {_leaf(_LOWER.format("text"))} END AS tampered,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS m
+  FROM named
+), low AS (
+  SELECT grp, 0 AS level, pos AS idx, m, leaf AS node FROM leaves
+  UNION ALL
+  SELECT grp, level + 1, idx // 8, (m + 7) // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM low WHERE m > 1
+  GROUP BY grp, level, m, idx // 8
+), tops AS (SELECT grp, level AS height, node AS subroot FROM low WHERE m = 1),
+high AS (
+  SELECT 0 AS level, grp AS idx, (SELECT count(*) FROM tops) AS m, subroot AS node FROM tops
+  UNION ALL
+  SELECT level + 1, idx // 8, (m + 7) // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM high WHERE m > 1
+  GROUP BY level, m, idx // 8
+), ways AS (
+  SELECT l.grp, l.level, l.idx, string_agg(s.node, '' ORDER BY s.idx) FILTER (s.idx < l.idx) AS lft,
+         string_agg(s.node, '' ORDER BY s.idx) FILTER (s.idx > l.idx) AS rgt
+  FROM low l JOIN low s ON s.grp = l.grp AND s.level = l.level AND s.idx // 8 = l.idx // 8 WHERE l.m > 1 GROUP BY ALL
+  UNION ALL
+  SELECT t.grp, t.height + h.level, t.grp // (8 ** h.level)::BIGINT, string_agg(s.node, '' ORDER BY s.idx) FILTER (s.idx < h.idx),
+         string_agg(s.node, '' ORDER BY s.idx) FILTER (s.idx > h.idx)
+  FROM tops t JOIN high h ON h.idx = t.grp // (8 ** h.level)::BIGINT AND h.m > 1
+  JOIN high s ON s.level = h.level AND s.idx // 8 = h.idx // 8 GROUP BY ALL
+), steps AS (
+  SELECT d.grp, d.pos, w.level, coalesce(lft, '') AS lft, coalesce(rgt, '') AS rgt
+  FROM leaves d JOIN tops t USING (grp) JOIN ways w ON w.grp = d.grp
+       AND w.idx = CASE WHEN w.level < t.height THEN d.pos // (8 ** w.level)::BIGINT ELSE d.grp // (8 ** (w.level - t.height))::BIGINT END
+), fold AS (
+  SELECT grp, pos, 0 AS level, coalesce(tampered, leaf) AS node FROM leaves
+  UNION ALL
+  SELECT f.grp, f.pos, f.level + 1, sha256(s.lft || f.node || s.rgt) FROM fold f JOIN steps s USING (grp, pos, level)
+), proofs AS (
+  SELECT grp, pos, sha256(string_agg(lft || rgt, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY grp, pos
+), ends AS (SELECT grp, pos, arg_max(node, level) AS folded_root FROM fold GROUP BY grp, pos),
+root AS (SELECT arg_max(node, level) AS root FROM high)
+SELECT d.doc_id, d.leaf, t.subroot, r.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, e.folded_root,
+       e.folded_root = r.root AS verified
+FROM leaves d JOIN tops t USING (grp) JOIN ends e USING (grp, pos) LEFT JOIN proofs p USING (grp, pos), root r
+"""
+
 LLM_ORACLE: dict[str, str] = {
     "op3_line_dedup": LINE_DEDUP, "op4_url_filter": URL_FILTER, "op7_jaccard_join": JACCARD_JOIN,
-    "op9_decontaminate": DECONTAMINATE,
+    "op9_decontaminate": DECONTAMINATE, "op11_collocations": COLLOCATIONS, "op12_merkle": MERKLE,
 }

@@ -1,20 +1,22 @@
 """Registered queries of the training-data operators.
 
 Each applies its operator with production parameters to its whole table and
-returns one row per row of it.
+returns one row per row of it (the phrases: each language's first 2,000).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    decontaminate, jaccard_join, language_id, line_dedup, minhash, mixing, quote_links, sharding, token_counts,
-    url_filter,
+    collocations, decontaminate, jaccard_join, language_id, line_dedup, merkle, minhash, mixing, quote_links, sharding,
+    token_counts, token_files, url_filter,
 )
+from ledgerlens.llm.storage import checkpoint_dir
 
 #: Tokenizer file of the token counts.
 TOKENIZER = "word_bpe_49k.json"
@@ -97,7 +99,32 @@ def op10_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_links.reply_ordered(_table(spark, sf_dir, "conversations"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 phrases of two or three words."""
+    return collocations.best_phrases(collocations.candidates(_table(spark, sf_dir, "documents")))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and recomputed root of every document; a third of the texts
+    are lower-cased behind the manifest's back."""
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 3 == 0
+    out = merkle.document_manifest(docs, tampered)
+    return out.select(F.col("doc").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, written to files of packed words and read back."""
+    import public_tokenizers
+    folder = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), folder)
+    out = token_files.read(spark, folder)
+    return out.select(F.col("doc").alias("doc_id"), "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+                      F.crc32("ids").alias("ids_crc32"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash, op2_token_counts, op3_line_dedup, op4_url_filter, op5_sharding, op6_mixing,
-                            op7_jaccard_join, op8_language_id, op9_decontaminate, op10_quote_links)
+                            op7_jaccard_join, op8_language_id, op9_decontaminate, op10_quote_links, op11_collocations,
+                            op12_merkle, op13_token_files)
 }

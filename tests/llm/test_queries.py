@@ -23,6 +23,9 @@ FIRST_COLUMNS = {
     "op7_jaccard_join": ["doc_id", "n_shingles", "component_id"],
     "op8_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op9_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op11_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+    "op12_merkle": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op13_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
 

@@ -1,0 +1,122 @@
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+P = pytest.importorskip("public_tokenizers")
+
+import ledgerlens.llm.token_files as module  # noqa: E402
+from ledgerlens.llm import simple8b  # noqa: E402
+from ledgerlens.llm.queries import LLM_QUERIES  # noqa: E402
+from ledgerlens.llm.token_files import encoder, read, read_range, write  # noqa: E402
+
+NAMES = ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"]
+WIDE = st.integers(0, 64).flatmap(lambda b: st.integers(0, 2**b - 1))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 50_000), WIDE), max_size=400), st.integers(1, 90),
+       st.integers(0, 400), st.integers(0, 400))
+def test_round_trip_of_any_numbers(numbers, block, start, stop):
+    a = np.array(numbers, np.uint64)
+    packed = simple8b.pack(a, block)
+    assert simple8b.size_of(packed) == len(a) and simple8b.unpack(packed).tolist() == numbers
+    assert simple8b.unpack(packed, start, stop).tolist() == numbers[start:stop]
+
+
+def test_words_are_as_full_as_the_next_numbers_allow():
+    """Against a plain greedy packer, word by word."""
+    rng = np.random.default_rng(0)
+    a = (rng.integers(0, 2**62, 5000, dtype=np.uint64) >> rng.integers(0, 62, 5000, dtype=np.uint64))
+    selectors, i = [], 0
+    while i < len(a):
+        left = min(len(a), (i // 1024 + 1) * 1024) - i
+        for s, count in enumerate(simple8b.COUNTS, 1):
+            if count <= left and all(int(x) < 1 << (60 // count) for x in a[i:i + count]):
+                break
+        else:
+            s, count = 0, 1
+        selectors.append(s)
+        i += count
+    packed = simple8b.pack(a)
+    n, n_words, n_escapes = np.frombuffer(packed, "<u8", 3, 8).tolist()
+    words = np.frombuffer(packed, "<u8", n_words, 32 + 16 * (-(-n // 1024) + 1))
+    assert (words >> np.uint64(60)).tolist() == selectors and n_escapes == selectors.count(0) > 0
+
+
+def test_blocks_at_once_do_not_matter(monkeypatch):
+    a = np.arange(100_000, dtype=np.uint64) % 977
+    want = simple8b.pack(a, 64)
+    monkeypatch.setattr(simple8b, "_BLOCKS", 3)
+    assert simple8b.pack(a, 64) == want
+
+
+def test_other_bytes_are_an_error():
+    packed = simple8b.pack(np.arange(10))
+    with pytest.raises(ValueError):
+        simple8b.unpack(b"X" + packed[1:])
+
+
+def ordered(docs):
+    return sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+
+
+def stored(spark, folder):
+    return sorted((r["start"], r["doc"], np.frombuffer(r["ids"], "<u4").tolist()) for r in read(spark, folder).collect())
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_equals_the_library(spark, sf, odd, name, tmp_path, monkeypatch):
+    monkeypatch.setattr(module, "SEGMENT", 5000)
+    encode = encoder(P.path(name))
+    for i, docs in enumerate((spark.read.parquet(f"{sf}/documents.parquet").repartition(3), odd)):
+        folder = str(tmp_path / f"{i}")
+        write(docs, P.path(name), folder)
+        got = stored(spark, folder)
+        assert [g[1] for g in got] == [d for d, _ in ordered(docs)]
+        assert sorted((g[1] is None, g[1] or 0, g[2]) for g in got) == sorted(
+            (d is None, d or 0, [*encode([t])[0], 1]) for d, t in ordered(docs))
+        ends = np.cumsum([len(g[2]) for g in got])
+        assert [g[0] for g in got] == [0, *ends[:-1]]
+        if i == 0:
+            flat = [x for g in got for x in g[2]]
+            for a, b in ((0, 3), (4990, 5010), (len(flat) - 2, len(flat) + 9), (0, len(flat)), (7, 7)):
+                rows = sorted(read_range(spark, folder, a, b).collect())
+                assert [x for r in rows for x in np.frombuffer(r["ids"], "<u4")] == flat[a:b]
+                assert not rows or rows[0]["start"] == a
+
+
+def test_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    encode, start, want = encoder(P.path(NAMES[0])), 0, []
+    for doc, text in ordered(docs):
+        ids = [*encode([text])[0], 1]
+        want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, LLM_QUERIES["op13_token_files"](spark, sf).collect())) == want
+
+
+def test_one_id_for_all_rows(spark, tmp_path):
+    """Rows of one id and equal rows are spread over ranges, and all kept."""
+    docs = spark.createDataFrame([(7, f"text {i % 50}") for i in range(2000)], "doc_id long, text string")
+    write(docs, P.path(NAMES[0]), str(tmp_path / "x"))
+    assert read(spark, str(tmp_path / "x")).count() == 2000
+    parts = spark.read.parquet(str(tmp_path / "x"))
+    assert parts.selectExpr("sum(size(docs))").first()[0] == 2000
+
+
+def test_cache_does_not_matter(monkeypatch):
+    encode = encoder(P.path(NAMES[0]))
+    texts = [b"a b c", b"", b"A" * 500 + b" a", "é\n̈ a".encode(), b"c b a"]
+    want = list(module.encode_texts(texts, encode, None))
+    monkeypatch.setattr(module, "CACHE", 2)
+    cache = {}
+    assert list(module.encode_texts(texts, encode, cache)) == want and b"A" * 500 not in cache
+
+
+def test_empty(spark, empty, tmp_path):
+    write(empty, P.path(NAMES[0]), str(tmp_path / "x"))
+    assert read(spark, str(tmp_path / "x")).count() == 0
+    assert read_range(spark, str(tmp_path / "x"), 0, 5).count() == 0
