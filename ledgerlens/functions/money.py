@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,15 @@ WORK = T.DecimalType(28, 6)
 # all of them: 26 integer digits, 12 decimals.  Values beyond 26 digits raise.
 PRECISIONS = range(0, 13)
 ROUNDED = T.DecimalType(38, 12)
-# Whole-number arithmetic: cents, and millionths of a rate.
-_CENTS, _RATE = T.DecimalType(20, 0), T.DecimalType(18, 0)
-_CENT_DIGITS, _RATE_DIGITS = 2, 6
+# Whole-number arithmetic: a decimal of whole numbers, the integer digits that
+# amounts and rates may have, a size that a bigint surely holds (tested in
+# floating point), and the limb a factor is split by.
 _WHOLE = T.DecimalType(38, 0)
+_AMOUNT_DIGITS, _RATE_DIGITS = 18, 12
+_LONG_SIZE = 4e18
+_LIMB = 10**6
+# Decimals that a number may be cut to where its other digits are zeros.
+_KEPT = (0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15)
 
 
 def _unsupported(precision: Column) -> Column:
@@ -61,19 +67,74 @@ def converted_amount(amount_currency: Column, rate: Column, fallback: Column) ->
     return F.when(rate > 0, amount_currency / rate).otherwise(fallback)
 
 
-def _whole(value: Column, digits: int, kind: T.DecimalType) -> Column:
-    """``value * 10^digits`` as a whole number (``digits`` is its scale)."""
-    return (value * _power(digits)).cast(kind)
+def scale_of(df: DataFrame, value: Column) -> int:
+    """Decimals of an exact number's type; an error for a floating-point one."""
+    kind = df.select(value.alias("value")).schema[0].dataType
+    if isinstance(kind, T.DecimalType):
+        return kind.scale
+    if isinstance(kind, (T.IntegralType, T.NullType)):
+        return 0
+    raise TypeError(f"amounts and rates must be decimals or whole numbers, not {kind.simpleString()}")
 
 
 def _power(digits: int) -> Column:
     return F.lit(10**digits).cast(T.DecimalType(digits + 1, 0))
 
 
-def _powers(exponent: Column, most: int) -> Column:
-    """10 to a power from the data, 0 to ``most``."""
-    table = F.array(*[F.lit(10**i).cast(T.DecimalType(most + 1, 0)) for i in range(most + 1)])
-    return F.get(table, F.greatest(exponent, F.lit(0)))
+def _powers(exponent: Column) -> Column:
+    """10 to a power from the data, 0 to 37, as a decimal."""
+    return F.get(F.array(*[F.lit(Decimal(10**i)).cast(_WHOLE) for i in range(38)]), F.greatest(exponent, F.lit(0)))
+
+
+def _long_powers(exponent: Column) -> Column:
+    """10 to a power from the data, 0 to 18, as a bigint."""
+    return F.get(F.array(*[F.lit(10**i).cast("bigint") for i in range(19)]), F.greatest(exponent, F.lit(0)))
+
+
+def _sizes(exponent: Column) -> Column:
+    """10 to a power from the data, 0 to 40, in floating point."""
+    return F.get(F.array(*[F.lit(float(10**i)) for i in range(41)]), F.greatest(exponent, F.lit(0)))
+
+
+def _div(number: Column, by: Column) -> Column:
+    """Whole quotient of two bigints, by cutting off the remainder."""
+    return F.call_function("div", number, by)
+
+
+def _whole(value: Column, digits: int, scale: int) -> Column:
+    """``value * 10^scale`` as a whole number, for a decimal of that scale with
+    ``digits`` integer digits.
+
+    By nine decimals at a time: a product that Spark cuts at 38 digits then
+    loses decimals that are zeros already.
+    """
+    while scale:
+        step = min(scale, 9)
+        digits, scale = min(digits + step, 38), scale - step
+        value = (value * _power(step)).cast(T.DecimalType(min(digits + scale, 38), scale))
+    return value.cast(_WHOLE)
+
+
+def _digits_of(value: Column, digits: int, scale: int) -> tuple[Column, Column]:
+    """A decimal as ``(whole number, decimals)``: of a type with many decimals,
+    only as many as the value has (6, 12 or all)."""
+    number, decimals = _whole(value, digits, scale), F.lit(scale)
+    if scale > 9:
+        for fewer in (12, 6):
+            if fewer < scale:
+                same = F.round(value, fewer) == value
+                number = F.when(same, _whole(value.cast(T.DecimalType(digits + fewer, fewer)), digits, fewer)).otherwise(number)
+                decimals = F.when(same, F.lit(fewer)).otherwise(decimals)
+    return number, decimals
+
+
+def _zeros(number: Column, decimals: Column, scale: int) -> Column:
+    """Decimals at the end of a bigint that are zeros and can be cut off."""
+    out = F.lit(0)
+    for kept in reversed([k for k in _KEPT if k < scale]):
+        cut = decimals - kept
+        out = F.when((cut > 0) & (number % _long_powers(cut) == 0), cut).otherwise(out)
+    return out
 
 
 def _rest(number: Column, by: Column) -> Column:
@@ -92,56 +153,121 @@ def with_converted(df: DataFrame, name: str, amount_currency: Column, rate: Colu
     quotient.
 
     With a null or non-positive ``rate``, ``balance`` stands for the quotient.
-    Amounts have 2 decimals and up to 18 integer digits, rates and factors 6
-    and 12.  The quotient has no exact decimal, so everything is counted in
-    whole cents and millionths: with A, S cents and R, K millionths, the value
-    is (A * 10^6 - S * R) * K / (R * 10^8).  It is divided in two steps with
-    remainders, so that no step needs more than 38 digits: ``n`` whole
-    multiples of 10^-8, and ``low`` / R of one more.  Each step is a column of
-    its own, computed once per row.
-
-    The result has type :data:`ROUNDED`; null where an input is null, an
-    error where a number doesn't fit or for a precision outside
+    All inputs are decimals or whole numbers, taken at the decimals of their
+    types: amounts with up to 18 integer digits, rates and factors with 12.
+
+    Everything is counted in whole numbers: with amounts A, S of ``m``
+    decimals, a rate R of ``i`` and a factor K of ``j``, the value is
+    (A * 10^i - S * R) * K / (R * 10^(m + j)), divided step by step with
+    remainders.  Zeros at the end of a number are cut off first, so the sizes
+    follow the data, not the types.  Where a row's numbers fit, the steps run
+    on bigints, with the factor in two limbs; the sizes are tested beforehand,
+    and only the other rows take the same steps on 38-digit decimals.  Each
+    step is a column of its own, computed once per row.
+
+    The result has type :data:`ROUNDED`; null where an input is null, an error
+    where a number doesn't fit 38 digits or for a precision outside
     :data:`PRECISIONS`.
     """
-    x = {c: f"__{name}_{c}" for c in ("r", "k", "signed", "rest", "prod", "low", "n", "num", "by", "over", "units", "frac")}
-    c = {short: F.col(long) for short, long in x.items()}
+    made: list[str] = []
+
+    def put(frame: DataFrame, **columns: Column) -> DataFrame:
+        made.extend(f"__{name}_{c}" for c in columns)
+        return frame.withColumns({f"__{name}_{c}": v for c, v in columns.items()})
+
+    def c(short: str) -> Column:
+        return F.col(f"__{name}_{short}")
+
     usable = rate > 0
-    million = T.DecimalType(18, _RATE_DIGITS)
-    r = _whole(F.when(usable, rate).otherwise(F.lit(1)).cast(million), _RATE_DIGITS, _RATE)
-    cents = _whole(F.when(usable, amount_currency).otherwise(balance), _CENT_DIGITS, _CENTS)
-    paid = _whole(settled.cast(T.DecimalType(20, _CENT_DIGITS)), _CENT_DIGITS, _CENTS)
-    places = _CENT_DIGITS + _RATE_DIGITS
+    given = {"a": (F.when(usable, amount_currency).otherwise(balance),
+                   max(scale_of(df, amount_currency), scale_of(df, balance)), _AMOUNT_DIGITS),
+             "s": (settled, scale_of(df, settled), _AMOUNT_DIGITS),
+             "r": (F.when(usable, rate).otherwise(F.lit(1)), scale_of(df, rate), _RATE_DIGITS),
+             "k": (factor, scale_of(df, factor), _RATE_DIGITS)}
+    out = put(df, **{f"{x}v": v.cast(T.DecimalType(digits + scale, scale)) for x, (v, scale, digits) in given.items()})
+    whole = {x: _digits_of(c(f"{x}v"), digits, scale) for x, (_, scale, digits) in given.items()}
+    out = put(out, **{f"{x}w": w for x, (w, _) in whole.items()}, **{f"{x}t": t for x, (_, t) in whole.items()})
+    out = put(out, **{f"{x}u": c(f"{x}w").try_cast("bigint") for x in given})
+    out = put(out, **{f"{x}z": F.coalesce(_zeros(c(f"{x}u"), c(f"{x}t"), given[x][1]), F.lit(0)) for x in given})
+    # bigint and decimals of each number without its zeros
+    out = put(out, **{f"{x}l": _div(c(f"{x}u"), _long_powers(c(f"{x}z"))) for x in given},
+              **{f"{x}d": c(f"{x}t") - c(f"{x}z") for x in given})
+    out = put(out, m=F.greatest(c("ad"), c("sd")))
+    out = put(out, up_a=c("m") - c("ad") + c("rd"), up_s=c("m") - c("sd"), places=c("m") + c("kd"))
+    out = put(out, more=F.greatest(precision - c("places"), F.lit(0)), less=F.greatest(c("places") - precision, F.lit(0)))
+    out = _bigint_steps(out, put, c)
+    out = _decimal_steps(out, put, c, precision)
+    out = put(out, neg=F.when(c("fast"), (c("n1") < 0) != (c("kl") < 0)).otherwise((c("w_signed") < 0) != (c("kw") < 0)))
+    unit = F.get(F.array(*[F.lit(Decimal(1).scaleb(-i)).cast(T.DecimalType(13, 12)) for i in PRECISIONS]), precision)
+    size = F.when(c("fast"), (c("u").cast(T.DecimalType(19, 0)) * unit).cast(ROUNDED)).otherwise(c("w_value"))
+    out = put(out, size=F.when(precision.between(min(PRECISIONS), max(PRECISIONS)), size))
+    given_all = reduce(Column.__and__, [c(f"{x}v").isNotNull() for x in given])
+    lost = F.raise_error(F.lit("converted amount: a number has more than 38 digits")).cast(ROUNDED)
+    value = (F.when(precision.isNull() | ~given_all, F.lit(None).cast(ROUNDED))
+             .when(~precision.between(min(PRECISIONS), max(PRECISIONS)), _unsupported(precision).cast(ROUNDED))
+             .when(c("size").isNull(), lost).when(c("neg"), -c("size")).otherwise(c("size")))
+    return out.withColumn(name, value.cast(ROUNDED)).drop(*made)
+
+
+def _bigint_steps(out: DataFrame, put, c) -> DataFrame:
+    """``fast``: the row's numbers fit bigints all the way; ``u``: then, the
+    size of the result in units of its last digit."""
+    rate, factor = c("rl").cast("double"), F.abs(c("kl").cast("double"))
+    top = (F.abs(c("al").cast("double")) * _sizes(c("up_a"))
+           + F.abs(c("sl").cast("double")) * _sizes(c("up_s")) * rate)
+    result = (top / rate + 2) * (factor + 1)
+    fits = ((top < _LONG_SIZE) & (result * _sizes(c("more")) < _LONG_SIZE) & (rate * (factor / _LIMB + 2) < _LONG_SIZE)
+            & (rate * _LIMB < _LONG_SIZE) & (rate * _sizes(c("more")) < _LONG_SIZE)
+            & (F.greatest(c("up_a"), c("up_s"), c("less"), c("more")) <= 18))
+    out = put(out, fast=F.coalesce(fits, F.lit(False)))
+    n1 = c("al") * _long_powers(c("up_a")) - c("sl") * _long_powers(c("up_s")) * c("rl")
+    out = put(out, n1=F.when(c("fast"), n1))
+    out = put(out, n=F.abs(c("n1")), k=F.abs(c("kl")))
+    out = put(out, q=_div(c("n"), c("rl")), rest=c("n") % c("rl"), k_high=_div(c("k"), F.lit(_LIMB)), k_low=c("k") % _LIMB)
+    high = c("rest") * c("k_high")  # the remainder times the factor, limb by limb
+    out = put(out, high_q=_div(high, c("rl")), low=(high % c("rl")) * _LIMB + c("rest") * c("k_low"))
+    out = put(out, all=c("q") * c("k") + c("high_q") * _LIMB + _div(c("low"), c("rl")), part=c("low") % c("rl"))
+    unit = _long_powers(c("less"))
+    out = put(out, units=F.when(c("less") > 0, _div(c("all"), unit)).otherwise(
+                  c("all") * _long_powers(c("more")) + _div(c("part") * _long_powers(c("more")), c("rl"))),
+              over=F.when(c("less") > 0, c("all") % unit).otherwise((c("part") * _long_powers(c("more"))) % c("rl")),
+              by=F.when(c("less") > 0, unit).otherwise(c("rl")))
+    return put(out, u=c("units") + F.when(c("over") >= c("by") - c("over"), F.lit(1)).otherwise(F.lit(0)))
+
+
+def _decimal_steps(out: DataFrame, put, c, precision: Column) -> DataFrame:
+    """``w_value``: the size of the result of the other rows, on decimals."""
+    wide = ~c("fast")
+
+    def number(x: str) -> Column:
+        return F.when(wide, F.when(c(f"{x}u").isNull(), c(f"{x}w")).otherwise(c(f"{x}l").cast(_WHOLE)))
+
+    out = put(out, w_a=number("a"), w_s=number("s"), w_r=number("r"), w_k=F.abs(number("k")))
+    signed = (c("w_a") * _powers(c("up_a"))).cast(_WHOLE) - ((c("w_s") * _powers(c("up_s"))).cast(_WHOLE) * c("w_r")).cast(_WHOLE)
+    out = put(out, w_signed=signed.cast(_WHOLE))
+    out = put(out, w_rest=_rest(F.abs(c("w_signed")), c("w_r")))
+    out = put(out, w_prod=(c("w_rest") * c("w_k")).cast(_WHOLE))
+    out = put(out, w_low=_rest(c("w_prod"), c("w_r")))
+    out = put(out, w_n=((_quotient(F.abs(c("w_signed")), c("w_rest"), c("w_r")) * c("w_k")).cast(_WHOLE)
+                        + _quotient(c("w_prod"), c("w_low"), c("w_r"))).cast(_WHOLE))
+    # fewer decimals than the numbers have: n over a power of ten (what is
+    # below a multiple can't tip an even power); else more digits of low / R
+    fine = c("less") == 0
+    more = _powers(c("more"))
+    out = put(out, w_num=F.when(fine, (c("w_low") * more).cast(_WHOLE)).otherwise(c("w_n")),
+              w_by=F.when(wide, F.when(fine, c("w_r")).otherwise(_powers(c("less")))))
+    out = put(out, w_over=_rest(c("w_num"), c("w_by")))
+    units = _quotient(c("w_num"), c("w_over"), c("w_by"))
+    up = F.when(c("w_over") >= (c("w_by") - c("w_over")), F.lit(1)).otherwise(F.lit(0))
+    out = put(out, w_units=(F.when(fine, (c("w_n") * more).cast(_WHOLE) + units).otherwise(units) + up).cast(_WHOLE))
+    unit = F.when(wide, _powers(precision))
+    out = put(out, w_frac=_rest(c("w_units"), unit))
     most = max(PRECISIONS)
-    fine = precision >= places
-    out = df.withColumns({x["r"]: r, x["k"]: _whole(factor.cast(million), _RATE_DIGITS, _RATE)})
-    out = out.withColumn(x["signed"], ((cents * _power(_RATE_DIGITS)).cast(_WHOLE) - (paid * c["r"]).cast(_WHOLE)).cast(_WHOLE))
-    size, factor_size = F.abs(c["signed"]), F.abs(c["k"]).cast(_RATE)
-    out = out.withColumn(x["rest"], _rest(size, c["r"]))
-    out = out.withColumn(x["prod"], (c["rest"].cast(_RATE) * factor_size).cast(_WHOLE))
-    out = out.withColumn(x["low"], _rest(c["prod"], c["r"]))
-    out = out.withColumn(x["n"], ((_quotient(size, c["rest"], c["r"]).cast(_CENTS) * factor_size).cast(_WHOLE)
-                                  + _quotient(c["prod"], c["low"], c["r"])).cast(_WHOLE))
-    # fewer than 8 decimals: n over a power of ten (what is below a multiple
-    # can't tip an even power); else 8 and the digits of low / R
-    more = _powers(precision - places, most)
-    out = out.withColumns({
-        x["num"]: F.when(fine, (c["low"].cast(_RATE) * more).cast(_WHOLE)).otherwise(c["n"]),
-        x["by"]: F.when(fine, c["r"]).otherwise(_powers(F.lit(places) - precision, most).cast(_RATE))})
-    out = out.withColumn(x["over"], _rest(c["num"], c["by"]))
-    whole = _quotient(c["num"], c["over"], c["by"])
-    up = F.when(c["over"] * 2 >= c["by"], F.lit(1)).otherwise(F.lit(0))
-    out = out.withColumn(x["units"], (F.when(fine, (c["n"] * more).cast(_WHOLE) + whole).otherwise(whole) + up).cast(_WHOLE))
-    unit = _powers(precision, most)
-    out = out.withColumn(x["frac"], _rest(c["units"], unit))
     part = T.DecimalType(37, most)
-    fraction = (c["frac"].cast(T.DecimalType(most, 0)) * _powers(F.lit(most) - precision, most)).cast(T.DecimalType(most, 0))
-    value = (_quotient(c["units"], c["frac"], unit).cast(part)
-             + (fraction * F.lit(Decimal(1).scaleb(-most))).cast(part)).cast(ROUNDED)
-    known = F.when(precision.isNull(), F.lit(None).cast(ROUNDED)).when(
-        precision.between(min(PRECISIONS), most), F.when((c["signed"] < 0) != (c["k"] < 0), -value).otherwise(value)).otherwise(
-        _unsupported(precision).cast(ROUNDED))
-    return out.withColumn(name, known.cast(ROUNDED)).drop(*x.values())
+    fraction = (c("w_frac").cast(T.DecimalType(most, 0)) * _powers(F.lit(most) - precision).cast(
+        T.DecimalType(most + 1, 0))).cast(T.DecimalType(most, 0))
+    return put(out, w_value=(_quotient(c("w_units"), c("w_frac"), unit).cast(part)
+                             + (fraction * F.lit(Decimal(1).scaleb(-most))).cast(part)).cast(ROUNDED))
 
 
 def ratio_or_one(numerator: Column, rate: Column) -> Column:

@@ -4,12 +4,10 @@ An order is a list of SQL sort keys (``"create_date DESC NULLS FIRST"``).
 
 * With a limit and a page near the top, Spark's ``TakeOrderedAndProject``
   keeps a bounded heap per task.
-* Otherwise rows get their position in the whole order.  Cut points - the
-  sort keys of some rows, literals once chosen - divide the order into
-  buckets, and a row's bucket follows from its own sort keys and the cut
-  points alone, whatever task meets it.  The buckets' row counts give each
-  bucket its first position, rows are numbered inside their bucket, and
-  buckets outside the page are filtered out before that.
+* Otherwise the list is kept in its order (:class:`Pages`): one range shuffle,
+  written to the checkpoint folder.  The row counts of its parts, a number
+  each, are the page index: a row's position is its part's first position and
+  its place in the part.  Any number of pages are read from the kept list.
 
 Both give the same rows.  The order must be total (end it with a unique
 column) for the page to be well defined.
@@ -17,50 +15,57 @@ column) for the page to be well defined.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Deepest row of a page that per-task heaps are kept for.
-HEAP_ROWS = 100_000
-#: Rows looked at for each cut point.
-SAMPLE_PER_BUCKET = 32
-_KEY = re.compile(r"^(.*?)(?:\s+(ASC|DESC))?(?:\s+NULLS\s+(FIRST|LAST))?$", re.IGNORECASE | re.DOTALL)
-
-
-@dataclass(frozen=True)
-class SortKey:
-    """One sort key: an SQL expression, its direction and where nulls go."""
-
-    expression: str
-    descending: bool
-    nulls_first: bool
-
-    @staticmethod
-    def parse(text: str) -> SortKey:
-        """``expression [ASC | DESC] [NULLS FIRST | NULLS LAST]``; nulls are
-        first in ascending and last in descending order unless said."""
-        expression, direction, nulls = _KEY.match(text.strip()).groups()
-        descending = (direction or "").upper() == "DESC"
-        return SortKey(expression, descending, nulls.upper() == "FIRST" if nulls else not descending)
-
-    @property
-    def column(self) -> Column:
-        value = F.expr(self.expression)
-        if self.descending:
-            return value.desc_nulls_first() if self.nulls_first else value.desc_nulls_last()
-        return value.asc_nulls_first() if self.nulls_first else value.asc_nulls_last()
-
-    def reversed(self) -> str:
-        """The key of the same list read from its end."""
-        return f"{self.expression} {'ASC' if self.descending else 'DESC'} NULLS {'LAST' if self.nulls_first else 'FIRST'}"
-
-
-def sort_columns(order: Sequence[str]) -> list[Column]:
-    return [SortKey.parse(k).column for k in order]
+from ledgerlens.operators.ranges import SortKey, sort_columns
+from ledgerlens.session import checkpoint_folder
+
+__all__ = ["HEAP_ROWS", "Pages", "SortKey", "ordered_slice", "sort_columns"]
+
+#: Deepest row of a page that per-task heaps are kept for: a task sends so
+#: many rows at most to the one that merges them.
+HEAP_ROWS = 1_000
+# ``monotonically_increasing_id``: the part above, the place in it below.
+_PART_BITS = 33
+
+
+class Pages:
+    """A list kept in its order, and the index of its parts.
+
+    The rows are computed once; pages and positions come from the kept files.
+    Without ``order``, ``df`` is in order already (its partitions follow each
+    other).
+    """
+
+    def __init__(self, df: DataFrame, order: Sequence[str] | None = None):
+        checkpoint_folder(df.sparkSession)
+        if order is not None:
+            columns = sort_columns(order)
+            df = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+        self._columns = df.columns
+        self._rows = df.checkpoint().withColumn("__pg_id", F.monotonically_increasing_id())
+        part = F.shiftright("__pg_id", _PART_BITS)
+        counts = dict(self._rows.groupBy(part.alias("part")).count().collect())  # a number per part
+        self._firsts = []
+        self.rows = 0
+        for i in range(max(counts, default=-1) + 1):
+            self._firsts.append(self.rows)
+            self.rows += counts.get(i, 0)
+
+    def page(self, offset: int = 0, limit: int | None = None, position: str | None = None) -> DataFrame:
+        """Rows ``offset .. offset+limit-1`` in order; ``position`` names a
+        column with each row's place in the whole list, from 0."""
+        last = self.rows if limit is None else min(offset + limit, self.rows)
+        name = position or "__pg_position"
+        part, place = F.shiftright("__pg_id", _PART_BITS), F.col("__pg_id").bitwiseAND((1 << _PART_BITS) - 1)
+        firsts = F.array(*[F.lit(n).cast("bigint") for n in self._firsts or [0]])
+        rows = self._rows.withColumn(name, (F.get(firsts, part.cast("int")) + place).cast("bigint"))
+        if offset > 0 or last < self.rows:
+            rows = rows.where((F.col(name) >= offset) & (F.col(name) < last))
+        return rows.select(*self._columns, *([position] if position else []))
 
 
 def ordered_slice(df: DataFrame, order: Sequence[str], offset: int = 0, limit: int | None = None,
@@ -70,66 +75,8 @@ def ordered_slice(df: DataFrame, order: Sequence[str], offset: int = 0, limit: i
     from 0."""
     if offset < 0 or (limit is not None and limit < 0):
         raise ValueError("offset and limit must be non-negative")
-    keys = [SortKey.parse(k) for k in order]
-    columns = [k.column for k in keys]
     if position is None and limit is not None and offset + limit <= heap_rows:
-        return df.orderBy(*columns).offset(offset).limit(limit)
+        return df.orderBy(*sort_columns(order)).offset(offset).limit(limit)
     if position is None and offset == 0 and limit is None:
-        return df.orderBy(*columns)
-    name = position or "__pg_position"
-    page = _positions(df, keys, name, offset, limit)
-    return page.orderBy(*columns) if position else page.orderBy(*columns).drop(name)
-
-
-def _positions(df: DataFrame, keys: list[SortKey], name: str, offset: int, limit: int | None) -> DataFrame:
-    last = None if limit is None else offset + limit
-    buckets = 1 << max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    bucket = _bucket(keys, _cut_points(df, keys, buckets), buckets)
-    first, start = [0] * buckets, 0
-    counts = dict(df.groupBy(bucket.alias("b")).count().collect())  # a row per bucket
-    for b in range(buckets):
-        first[b], start = start, start + counts.get(b, 0)
-    wanted = [b for b in range(buckets) if first[b] + counts.get(b, 0) > offset and (last is None or first[b] < last)]
-    if not wanted:
-        return df.withColumn(name, F.lit(0).cast("long")).where(F.lit(False))
-    inside = Window.partitionBy("__pg_bucket").orderBy(*[k.column for k in keys])
-    place = F.row_number().over(inside) - 1 + F.lit(first)[F.col("__pg_bucket")]
-    rows = (df.withColumn("__pg_bucket", bucket).where(F.col("__pg_bucket").between(wanted[0], wanted[-1]))
-            .withColumn(name, place.cast("long")).drop("__pg_bucket").where(F.col(name) >= offset))
-    return rows if last is None else rows.where(F.col(name) < last)
-
-
-def _cut_points(df: DataFrame, keys: list[SortKey], buckets: int) -> list[tuple]:
-    """``buckets - 1`` rows of sort keys, ascending in the order: evenly spaced
-    ones of the rows whose keys hash lowest (a bounded heap per task)."""
-    names = [f"k{i}" for i in range(len(keys))]
-    values = df.select(*[F.expr(k.expression).alias(n) for k, n in zip(keys, names, strict=True)])
-    sample = values.orderBy(F.xxhash64(*names)).limit(SAMPLE_PER_BUCKET * buckets)
-    found = sample.orderBy(*[SortKey(n, k.descending, k.nulls_first).column for k, n in zip(keys, names, strict=True)]).collect()
-    return [tuple(found[len(found) * i // buckets]) for i in range(1, buckets)] if found else []
-
-
-def _bucket(keys: list[SortKey], cuts: list[tuple], buckets: int) -> Column:
-    """Number of cut points that a row doesn't come before, by binary search."""
-    if not cuts:
-        return F.lit(0)
-    table = F.array(*[F.struct(*[F.lit(v).alias(f"c{i}") for i, v in enumerate(cut)]) for cut in cuts])
-    steps = F.lit([buckets >> (i + 1) for i in range(buckets.bit_length() - 1)])
-
-    def search(low: Column, step: Column) -> Column:
-        return F.when(_before(keys, F.get(table, low + step - 1)), low).otherwise(low + step)
-
-    return F.aggregate(steps, F.lit(0), search)
-
-
-def _before(keys: list[SortKey], cut: Column) -> Column:
-    """Whether a row comes before the cut point; equal keys do not."""
-    out = F.lit(False)
-    for i, key in reversed(list(enumerate(keys))):
-        mine, other = F.expr(key.expression), cut.getField(f"c{i}")
-        smaller = (mine > other) if key.descending else (mine < other)
-        by_value = F.when(mine.eqNullSafe(other), out).otherwise(smaller)
-        nulls = F.when(mine.isNull() & other.isNotNull(), F.lit(key.nulls_first)).when(
-            mine.isNotNull() & other.isNull(), F.lit(not key.nulls_first))
-        out = nulls.otherwise(by_value)
-    return out
+        return df.orderBy(*sort_columns(order))
+    return Pages(df, order).page(offset, limit, position)

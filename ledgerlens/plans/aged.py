@@ -32,13 +32,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerlens.functions.money import ROUNDED, ratio_or_one, round_by_precision, with_converted
+from ledgerlens.functions.money import (
+    ROUNDED, ratio_or_one, round_by_precision, scale_of, with_converted,
+)
 from ledgerlens.functions.text import DEFAULT_TRUST, account_label
 from ledgerlens.operators.checks import assert_unique
 from ledgerlens.operators.latest import latest_rate
-from ledgerlens.operators.paging import ordered_slice
+from ledgerlens.operators.paging import Pages, SortKey
 from ledgerlens.operators.periods import period_join
+from ledgerlens.operators.rollup import GroupLevel, Rollup, group_rows, hierarchy
 from ledgerlens.operators.settlement import partial_residual
 from ledgerlens.operators.trust import join_trust
 from ledgerlens.sources.inline import currency_table as make_currency_table
@@ -113,8 +117,12 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
     lines = lines.join(settled, F.col("id") == F.col("__set_line_id"), "left")
     debit = F.coalesce(F.col("__debit"), F.lit(0))
     credit = F.coalesce(F.col("__credit"), F.lit(0))
+    # a type that keeps all decimals of both sides of a difference
+    scale = max(scale_of(lines, F.col("balance")), scale_of(lines, debit))
+    kept = T.DecimalType(36, scale)
+    paid = (debit.cast(kept) - credit.cast(kept)).cast(kept)
     lines = lines.filter(
-        round_by_precision(F.col("balance") - debit + credit, F.col("__precision")) != 0)
+        round_by_precision((F.col("balance").cast(kept) - paid).cast(kept), F.col("__precision")) != 0)
 
     # document header, its source order and the latest rate of its currency
     lines = lines.join(_move_headers(tables), F.col("move_id") == F.col("__mv_id"))
@@ -137,7 +145,7 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
         lines = period_join(lines, periods, "__report_date")
 
     lines = with_converted(lines, "__amount", F.col("amount_currency"), F.col("__currency_rate"), F.col("balance"),
-                           debit - credit, F.col("__company_rate"), F.col("__precision"))
+                           paid, F.col("__company_rate"), F.col("__precision"))
     amount = (F.lit(sign) * F.col("__amount")).cast(ROUNDED)
     buckets = [F.when(F.col("period_index") == i, amount).otherwise(F.lit(0).cast(ROUNDED))
                .alias(f"period{i}") for i in range(PERIODS)]
@@ -192,67 +200,54 @@ BY_PARTNER_COLUMNS = (
 )
 
 
-def group_by_partner(lines: DataFrame, sort_by: Sequence[Column] | None = None) -> DataFrame:
-    """Roll aged lines up per partner.
+# How lines fold into partners: ``max`` for the order number and the rate, as
+# the report declares, sums for the other numbers (``amount_residual`` is a
+# document-header value repeated on each of its lines, so it is counted once per
+# line, as the report does); due date, document and account have no operator.
+AGED_ROLLUP = Rollup(
+    levels=(GroupLevel(("partner_id",), ("partner_name ASC NULLS LAST", "partner_id"), ("partner_name",)),),
+    operators={"order_no": "max", "currency_rate": "max", "amount_residual": "sum", "amount_currency": "sum",
+               **{f"period{i}": "sum" for i in range(PERIODS)}},
+    line_order=("report_date ASC NULLS LAST", "id ASC NULLS FIRST"))
+
+
+def group_by_partner(lines: DataFrame, sort_by: Sequence[Column | str] | None = None,
+                     position: str | None = None) -> DataFrame:
+    """Roll aged lines up per partner, by :data:`AGED_ROLLUP`.
 
-    Per-column operators: ``max`` for the order number and the rate, ``sum``
-    for amounts (``amount_residual`` is a document-header value repeated on
-    each of its lines, so it is counted once per line, as the report does).
-    Columns with no operator (due date, move name, account) are empty at
-    this level.  ``original_currency_amount`` is the ratio of the group's
-    aggregates: sum of ``amount_currency`` over the group's max rate (rate
-    null or 0 -> 1).
+    Columns with no operator (due date, move name, account) are empty at this
+    level.  ``original_currency_amount`` is the ratio of the group's aggregates:
+    sum of ``amount_currency`` over the group's max rate (rate null or 0 -> 1).
+
+    ``sort_by`` takes sort columns or SQL sort keys over the result's columns,
+    the computed one included.  With SQL keys, ``position`` names a column with
+    each row's place in that order, from 0.
     """
-    # Two phases: sums per (partner, order number) by hash aggregation (the
-    # partner name is a per-partner constant, so it is a key), then per
-    # partner.  Only the second phase takes a string max, over one row per
-    # partner and order instead of one per line.
-    sums = [F.sum("amount_residual").alias("amount_residual"),
-            F.sum("amount_currency").alias("amount_currency"),
-            *[F.sum(f"period{i}").alias(f"period{i}") for i in range(PERIODS)]]
-    per_order = lines.groupBy("partner_id", "partner_name", "order_no").agg(
-        *sums, F.max("currency_rate").alias("currency_rate"))
-    g = per_order.groupBy("partner_id", "partner_name").agg(
-        *sums, F.max("currency_rate").alias("currency_rate"),
-        F.max("order_no").alias("order_no"))
-    out = g.select(
-        "partner_id", "partner_name", "amount_residual",
-        F.lit(None).cast("date").alias("report_date"),
-        F.lit(None).cast("string").alias("move_name"),
-        "currency_rate",
-        ratio_or_one(F.col("amount_currency"), F.col("currency_rate"))
-        .alias("original_currency_amount"),
-        F.lit(None).cast("string").alias("account_name"),
-        "order_no",
-        *[f"period{i}" for i in range(PERIODS)],
-        "amount_currency",
-    )
+    empty = {"report_date": "date", "move_name": "string", "account_name": "string"}
+    cells = {**{c: F.lit(None).cast(kind) for c, kind in empty.items()},
+             "original_currency_amount": ratio_or_one(F.col("amount_currency"), F.col("currency_rate"))}
+    out = group_rows(lines, AGED_ROLLUP).select(*[cells.get(c, F.col(c)).alias(c) for c in BY_PARTNER_COLUMNS])
+    if position is not None:
+        return Pages(out, [str(k) for k in sort_by or ("partner_id",)]).page(position=position)
     if sort_by:
-        out = out.orderBy(*sort_by)
+        out = out.orderBy(*[SortKey.parse(k).column if isinstance(k, str) else k for k in sort_by])
     return out
 
 
-# Order of the two-level report.
-REPORT_ORDER = ("partner_name ASC NULLS LAST", "partner_id", "level", "report_date ASC NULLS LAST",
-                "id ASC NULLS FIRST")
-
-
 def two_levels(lines: DataFrame, position: str | None = None) -> DataFrame:
     """Partner rows (``level`` 0) and line rows (``level`` 1) with the same
     columns, each partner followed by its lines.
 
     A line row shows its own document and account; its original currency
     amount is the same ratio as a partner's, of the line's own values.
-    Sorted by partner name (nulls last), partner, level, due date and line;
-    ``position`` names a column with each row's place, from 0.
+    Both levels come from one run of the lines (:func:`hierarchy`).  Sorted by
+    partner name (nulls last), partner, level, due date and line; ``position``
+    names a column with each row's place, from 0.
     """
-    own = lines.select(
-        F.lit(1).alias("level"), F.col("id"),
-        *[F.col(c) if c != "original_currency_amount"
-          else ratio_or_one(F.col("amount_currency"), F.col("currency_rate")).alias(c) for c in BY_PARTNER_COLUMNS])
-    totals = group_by_partner(lines).select(
-        F.lit(0).alias("level"), F.lit(None).cast(lines.schema["id"].dataType).alias("id"), *BY_PARTNER_COLUMNS)
-    return ordered_slice(totals.unionByName(own), REPORT_ORDER, position=position)
+    both = hierarchy(lines, AGED_ROLLUP, ["id", *[c for c in BY_PARTNER_COLUMNS if c != "original_currency_amount"]])
+    ratio = ratio_or_one(F.col("amount_currency"), F.col("currency_rate")).alias("original_currency_amount")
+    out = both.select("level", "id", *[ratio if c == "original_currency_amount" else F.col(c) for c in BY_PARTNER_COLUMNS])
+    return Pages(out).page(position=position) if position is not None else out
 
 
 def aged_report(tables: Mapping[str, DataFrame], date_to: dt.date | str, account_type: str = "receivable",
@@ -266,7 +261,7 @@ def aged_by_partner(tables: Mapping[str, DataFrame], date_to: dt.date | str,
                     account_type: str = "receivable",
                     currency_table: DataFrame | Sequence[tuple] | None = None,
                     periods: DataFrame | None = None,
-                    sort_by: Sequence[Column] | None = None) -> DataFrame:
+                    sort_by: Sequence[Column | str] | None = None, position: str | None = None) -> DataFrame:
     """:func:`aged_lines` rolled up per partner (:func:`group_by_partner`)."""
     return group_by_partner(
-        aged_lines(tables, date_to, account_type, currency_table, periods), sort_by)
+        aged_lines(tables, date_to, account_type, currency_table, periods), sort_by, position)

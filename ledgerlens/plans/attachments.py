@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.domain import Domain, domain_filter
 from ledgerlens.functions.text import PREVIEW_TYPES, classify_mime
 from ledgerlens.operators.latest import top1_per_key
 from ledgerlens.operators.paging import SortKey, ordered_slice, sort_columns
@@ -38,17 +39,26 @@ def list_order(order: str) -> tuple[str, ...]:
     raise ValueError(f"order must be 'asc' or 'desc', not {order!r}")
 
 
-def attachments_page(attachments: DataFrame, where: Column | None = None,
+def attachments_where(attachments: DataFrame, where: Column | Domain | None) -> DataFrame:
+    """The attachments that a column expression or a search domain (a list in
+    prefix notation, :mod:`ledgerlens.functions.domain`) holds for."""
+    if where is None:
+        return attachments
+    return attachments.filter(where if isinstance(where, Column) else domain_filter(attachments, where))
+
+
+def attachments_page(attachments: DataFrame, where: Column | Domain | None = None,
                      columns: Sequence[str] | None = None, offset: int = 0,
                      limit: int | None = None, order: Sequence[str] | None = None,
                      position: str | None = None) -> DataFrame:
     """Filtered, ordered page of attachments.
 
+    ``where`` is a column expression or a search domain.
     ``order`` (SQL sort keys) defaults to newest first, only when none is
     given (an explicit order wins).  ``offset`` / ``limit`` select the page;
     ``position`` names a column with each row's place in the whole list.
     """
-    df = attachments if where is None else attachments.filter(where)
+    df = attachments_where(attachments, where)
     keys = NEWEST_FIRST if order is None else list(order)
     page = ordered_slice(df, keys, offset, limit, position)
     return page.select(*columns, *([position] if position else [])) if columns else page

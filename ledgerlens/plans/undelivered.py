@@ -8,9 +8,10 @@ listed too (there is no outstanding > 0 test).
 Tables join without hints, one form at every size: Catalyst and AQE broadcast
 what is small by its statistics or its real size.  Customers join the order
 headers, trust rows the lines; each shuffled join has an exchange of its own
-on both sides, so AQE splits a hot order, customer or product.  The per-order
-roll-up sums narrow rows on the map side.  The two-level report is the line
-rows and the order rows in one range shuffle, the sort of the report.
+on both sides, so AQE splits a hot order, customer or product.  The roll-up to
+orders is declared (``UNDELIVERED_ROLLUP``); alone it sums narrow rows on the
+map side, and the two-level report deals the lines into ranges of its order once
+and emits the order rows there.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.domain import Domain, domain_filter
 from ledgerlens.functions.money import WORK, converted_amount
 from ledgerlens.functions.text import blank_zero, order_label
 from ledgerlens.operators.latest import latest_rate_named
-from ledgerlens.operators.paging import ordered_slice, sort_columns
+from ledgerlens.operators.paging import Pages
+from ledgerlens.operators.rollup import GroupLevel, Rollup, group_rows, hierarchy
 from ledgerlens.operators.trust import join_trust
 
 # Fixed fallback currency shown when an order's currency has no usable rate.
@@ -45,12 +48,15 @@ LINE_COLUMNS = (
 def undelivered_lines(tables: Mapping[str, DataFrame],
                       company_ids: Iterable[int] | None = None,
                       partner_ids: Iterable[int] | DataFrame | None = None,
-                      dedupe: bool = False) -> DataFrame:
+                      dedupe: bool = False, where: Domain | None = None) -> DataFrame:
     """Sale order lines with quantities, converted amount and customer.
 
     ``company_ids`` / ``partner_ids`` restrict the report (the report's
     domain); a partner DataFrame (column ``id``) is applied as a semi join,
-    for lists too long to inline.
+    for lists too long to inline.  ``where`` is a search domain over the
+    report's columns (a list in prefix notation,
+    :mod:`ledgerlens.functions.domain`); Catalyst moves its parts to the tables
+    they are about.
 
     The source query groups by the line's primary key and the joined ids
     without aggregating; with primary keys unique (which that query itself
@@ -136,37 +142,32 @@ def undelivered_lines(tables: Mapping[str, DataFrame],
         "partner_name": F.col("partner_name"),
         "english_name": F.col("english_name"),
     }
-    return lines.select(*[cols[c].alias(c) for c in LINE_COLUMNS])
+    out = lines.select(*[cols[c].alias(c) for c in LINE_COLUMNS])
+    return out if where is None else out.filter(domain_filter(out, where))
 
 
-# Numeric columns summed at order level (no operator of their own).
-_SUMMED = ("quantity", "shipped_quantity", "outstanding_quantity", "unit_price",
-           "amount_currency", "amount")
+# How lines fold into orders: the operators that the report declares for its
+# columns (text without an operator is empty in an order row).  Order number and
+# customer names come from the order header, so an order has each of them once.
+UNDELIVERED_ROLLUP = Rollup(
+    levels=(GroupLevel(("order_id",), ("order_no ASC NULLS LAST", "order_id"), ("order_no", "partner_name", "english_name")),),
+    operators={"order_no": "max", "partner_name": "max", "english_name": "max",
+               "quantity": "sum", "shipped_quantity": "sum", "outstanding_quantity": "sum", "unit_price": "sum",
+               "amount_currency": "sum", "amount": "sum", "currency_rate": "sum", "line_count": "rows"},
+    line_order=("id ASC NULLS FIRST",))
 
 
 def undelivered_by_order(lines: DataFrame) -> DataFrame:
-    """One row per order: ``max`` of order number and customer names, sums
-    of the numeric columns (including the rate, which has no operator of its
-    own); text columns without an operator are left out.
-
-    Order number and customer names come from the order header, so they are
-    constant within an order and their ``max`` is the value itself: they are
-    grouping keys next to ``order_id``.  Every aggregate is then numeric,
-    which keeps Spark's hash aggregate with map-side partial sums.
-    """
-    return lines.groupBy("order_id", "order_no", "partner_name", "english_name").agg(
-        *[F.sum(c).alias(c) for c in _SUMMED],
-        F.sum("currency_rate").alias("currency_rate"),
-        F.count(F.lit(1)).alias("line_count"),
-    )
-
+    """One row per order, by :data:`UNDELIVERED_ROLLUP`: order number and
+    customer names, sums of the numeric columns (including the rate, which has
+    no operator of its own) and the number of lines."""
+    return group_rows(lines, UNDELIVERED_ROLLUP)
 
 
-# Columns of the two-level report, in display order, and its order.
+# Columns of the two-level report, in display order.
 REPORT_COLUMNS = ("level", "order_id", "id", "order_no", "name", "partner_name", "english_name",
                   "product_code", "quantity", "shipped_quantity", "outstanding_quantity",
                   "currency_name", "unit_price", "amount_currency", "amount")
-REPORT_ORDER = ("order_no ASC NULLS LAST", "order_id", "level", "id ASC NULLS FIRST")
 
 
 def undelivered_report(lines: DataFrame, sort: bool = True, position: str | None = None) -> DataFrame:
@@ -180,26 +181,19 @@ def undelivered_report(lines: DataFrame, sort: bool = True, position: str | None
     empty; the last column (``amount``) is always empty, so the amount shows
     on order rows only.
 
-    Line rows go straight to the sort, copies included (one per trust row of
-    the customer).  Order rows come from an aggregation over the order's
-    constants (order number and customer names) and six numbers, summed on
-    the map side; only their join is run a second time, with the columns they
-    need.  Sorted by order number (nulls last), order, level, line;
-    ``position`` names a column with each row's place in that order, from 0.
+    Both levels come from one run of the lines (:func:`hierarchy`), copies
+    included (one per trust row of the customer).  Sorted by order number
+    (nulls last), order, level, line; ``position`` names a column with each
+    row's place in that order, from 0.
     """
-    order_keys = ["order_id", "order_no", "partner_name", "english_name"]
     shown = ("quantity", "shipped_quantity", "outstanding_quantity", "unit_price", "amount_currency")
-    line_rows = lines.select(
-        F.lit(1).alias("level"), "order_id", "id", "order_no", F.col("order_no").alias("name"),
-        "partner_name", "english_name", "product_code", "currency_name",
-        *[blank_zero(F.col(c)).alias(c) for c in shown], F.lit(None).cast(WORK).alias("amount"))
-    totals = lines.groupBy(*order_keys).agg(*[F.sum(c).alias(c) for c in _SUMMED])
-    order_rows = totals.select(
-        F.lit(0).alias("level"), "order_id", F.lit(None).cast(lines.schema["id"].dataType).alias("id"), "order_no",
-        order_label(F.col("order_no")).alias("name"), "partner_name", "english_name",
-        F.lit(None).cast("string").alias("product_code"), F.lit(None).cast("string").alias("currency_name"),
-        *shown, F.col("amount").cast(WORK).alias("amount"))
-    out = order_rows.unionByName(line_rows).select(*REPORT_COLUMNS)
-    if position is not None:
-        return ordered_slice(out, REPORT_ORDER, position=position)
-    return out.orderBy(*sort_columns(REPORT_ORDER)) if sort else out
+    both = hierarchy(lines, UNDELIVERED_ROLLUP, [c for c in REPORT_COLUMNS if c not in ("level", "name")],
+                     sort=sort or position is not None)
+    order_row = F.col("level") == 0
+    cells: dict[str, Column] = {
+        "name": F.when(order_row, order_label(F.col("order_no"))).otherwise(F.col("order_no")),
+        **{c: F.when(order_row, F.col(c)).otherwise(blank_zero(F.col(c))) for c in shown},
+        "amount": F.when(order_row, F.col("amount")).cast(WORK),
+    }
+    out = both.select(*[cells.get(c, F.col(c)).alias(c) for c in REPORT_COLUMNS])
+    return Pages(out).page(position=position) if position is not None else out

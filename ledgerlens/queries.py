@@ -9,21 +9,23 @@ comparison: decimals become doubles, dates and timestamps ISO text.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.money import round_by_precision, with_converted
 from ledgerlens.operators.latest import latest_rate, latest_rate_named
+from ledgerlens.operators.paging import Pages
 from ledgerlens.operators.periods import period_join
-from ledgerlens.operators.settlement import partial_residual
-from ledgerlens.operators.paging import ordered_slice
+from ledgerlens.operators.rollup import GroupLevel, Rollup
+from ledgerlens.operators.settlement import partial_residual, settled_at, settlement_deltas
 from ledgerlens.plans.aged import aged_by_partner, aged_lines, aged_report
-from ledgerlens.plans.attachments import attachments_main, attachments_page, attachments_typed
-from ledgerlens.plans.spec import run_report
+from ledgerlens.plans.attachments import attachments_main, attachments_page, attachments_typed, attachments_where
+from ledgerlens.plans.spec import ReportSpec, run_report
 from ledgerlens.plans.undelivered import (
     undelivered_by_order, undelivered_lines, undelivered_report,
 )
@@ -120,11 +122,38 @@ def q_period_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(out.select("id", "report_date", "period_index"))
 
 
+def q_period_join_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in each of as many overlapping periods as there are orders, some
+    of them open at an end."""
+    t = _tables(spark, sf_dir)
+    o = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    day, customer = F.col("o_orderdate").cast("date"), F.col("o_custkey")
+    periods = o.select(
+        F.when(customer % 97 != 0, F.date_add(day, (customer % 9).cast("int"))).alias("date_start"),
+        F.when(customer % 89 != 0, F.date_sub(day, (customer % 4).cast("int"))).alias("date_stop"),
+        F.col("o_orderkey").cast("int").alias("period_index"))
+    due = (t["account_move_line"].groupBy(F.coalesce(F.col("date_maturity"), F.col("date")).alias("report_date"))
+           .agg(F.count("*").alias("n")))
+    found = period_join(due, periods, "report_date")
+    return portable(found.groupBy("period_index").agg(
+        F.sum("n").alias("lines"), F.min("report_date").alias("first_date"), F.max("report_date").alias("last_date")))
+
+
 def q_partial_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
     return portable(partial_residual(t["account_partial_reconcile"], FIXTURE_DATE_TO))
 
 
+#: Month ends of a year, for settlements as of many dates.
+MONTH_ENDS = tuple(dt.date(1997, m, 1) - dt.timedelta(days=1) for m in range(1, 13))
+
+
+def q_settled_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settlement of every line as of twelve month ends, in one run."""
+    deltas = settlement_deltas(_tables(spark, sf_dir)["account_partial_reconcile"])
+    return portable(settled_at(deltas, MONTH_ENDS))
+
+
 def q_aged_receivable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
     return portable(aged_lines(t, FIXTURE_DATE_TO, "receivable", _ct(spark)))
@@ -142,8 +171,14 @@ def q_aged_by_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_aged_by_partner_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partners by amount of the newest period, with their place."""
-    rows = aged_by_partner(_tables(spark, sf_dir), FIXTURE_DATE_TO, "receivable", _ct(spark))
-    return portable(ordered_slice(rows, ("period0 DESC", "partner_id"), position="position"))
+    return portable(aged_by_partner(_tables(spark, sf_dir), FIXTURE_DATE_TO, "receivable", _ct(spark),
+                                    sort_by=("period0 DESC", "partner_id"), position="position"))
+
+
+def q_aged_by_partner_by_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partners by the computed column, their original currency amount."""
+    return portable(aged_by_partner(_tables(spark, sf_dir), FIXTURE_DATE_TO, "receivable", _ct(spark),
+                                    sort_by=("original_currency_amount DESC", "partner_id"), position="position"))
 
 
 def q_aged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,20 +186,19 @@ def q_aged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(aged_report(_tables(spark, sf_dir), FIXTURE_DATE_TO, "receivable", _ct(spark)))
 
 
-def q_aged_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts converted at rates without whole reciprocals, at precisions 0
-    to 11; sign, whole part and twelve decimals of the exact result."""
+def _converted(spark: SparkSession, sf_dir: str, money: str, rate: Column, factor: Column) -> DataFrame:
+    """Every line's price at a rate and a factor, at precisions 0 to 11: sign,
+    whole part and twelve decimals of the exact result."""
     li = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
-    by_part, by_supplier = F.col("l_partkey") % 6, F.col("l_suppkey") % 4
-    money = "decimal(18,2)"
-    rate = (F.when(by_part == 0, Decimal("0.3")).when(by_part == 1, Decimal("0.7")).when(by_part == 2, Decimal("6.000001"))
-            .when(by_part == 3, Decimal("0.000001")).when(by_part == 4, None).otherwise(0).cast("decimal(18,6)"))
-    factor = (F.when(by_supplier == 0, 1).when(by_supplier == 1, Decimal("1500000.000001"))
-              .when(by_supplier == 2, Decimal("0.333333")).otherwise(Decimal("-2.5")).cast("decimal(18,6)"))
     key = ((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
-    rows = li.select(key.alias("id"), F.col("l_extendedprice").cast(money).alias("amount"),
+    rows = li.select(key.alias("id"), F.col("l_extendedprice").cast("decimal(18,2)").cast(money).alias("amount"),
                      (F.col("l_discount") * 1000).cast(money).alias("settled"), rate.alias("rate"), factor.alias("factor"),
+                     F.col("l_quantity").cast("int").alias("quantity"),
                      (F.col("l_linenumber") + F.col("l_orderkey") % 6 - 1).cast("int").alias("precision"))
+    thousandths = T.DecimalType(18, 3)
+    if money != "decimal(18,2)":
+        amount = (F.col("amount") + F.col("quantity") * F.lit(Decimal("0.001")).cast(thousandths)).cast(money)
+        rows = rows.withColumn("amount", amount)
     out = with_converted(rows, "value", F.col("amount"), F.col("rate"), F.col("amount"), F.col("settled"),
                          F.col("factor"), F.col("precision"))
     size = F.abs("value").cast("decimal(33,12)")
@@ -173,6 +207,29 @@ def q_aged_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
                       ((size - whole).cast("decimal(12,12)") * F.lit(10**12)).cast("bigint").alias("decimals"))
 
 
+def q_aged_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts converted at rates without whole reciprocals, at precisions 0
+    to 11; sign, whole part and twelve decimals of the exact result."""
+    by_part, by_supplier = F.col("l_partkey") % 6, F.col("l_suppkey") % 4
+    rate = (F.when(by_part == 0, Decimal("0.3")).when(by_part == 1, Decimal("0.7")).when(by_part == 2, Decimal("6.000001"))
+            .when(by_part == 3, Decimal("0.000001")).when(by_part == 4, None).otherwise(0).cast("decimal(18,6)"))
+    factor = (F.when(by_supplier == 0, 1).when(by_supplier == 1, Decimal("1500000.000001"))
+              .when(by_supplier == 2, Decimal("0.333333")).otherwise(Decimal("-2.5")).cast("decimal(18,6)"))
+    return _converted(spark, sf_dir, "decimal(18,2)", rate, factor)
+
+
+def q_aged_converted_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with amounts of three decimals, rates of ten and factors of
+    eight."""
+    by_part, by_supplier = F.col("l_partkey") % 6, F.col("l_suppkey") % 4
+    rate = (F.when(by_part == 0, Decimal("0.1234567")).when(by_part == 1, Decimal("7.0000000003"))
+            .when(by_part == 2, Decimal("123.456789")).when(by_part == 3, Decimal("0.0000004")).when(by_part == 4, None)
+            .otherwise(Decimal("-1")).cast("decimal(22,10)"))
+    factor = (F.when(by_supplier == 0, 1).when(by_supplier == 1, Decimal("0.92345678"))
+              .when(by_supplier == 2, Decimal("1234.5")).otherwise(Decimal("-2.5")).cast("decimal(20,8)"))
+    return _converted(spark, sf_dir, "decimal(18,3)", rate, factor)
+
+
 def q_undelivered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(undelivered_lines(_tables(spark, sf_dir)))
 
@@ -200,6 +257,27 @@ def q_report_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(run_report("undelivered", _tables(spark, sf_dir), level="", company_ids=[2], sort=False))
 
 
+#: A report of three levels, declared: companies, their customers, their orders.
+BY_COMPANY = ReportSpec(
+    name="undelivered_by_company",
+    lines=undelivered_lines,
+    columns=("company_id", "partner_id", "partner_name", "order_id", "order_no", "id", "quantity", "outstanding_quantity",
+             "unit_price", "amount_currency", "product_code", "date"),
+    domain=("company_ids", "partner_ids", "dedupe"),
+    rollup=Rollup(
+        levels=(GroupLevel(("company_id",), ("company_id DESC",)),
+                GroupLevel(("partner_id",), ("partner_name ASC NULLS LAST", "partner_id"), ("partner_name",)),
+                GroupLevel(("order_id",), ("order_no ASC NULLS LAST", "order_id"), ("order_no", "date"))),
+        operators={"quantity": "sum", "outstanding_quantity": "count", "unit_price": "max", "amount_currency": "min",
+                   "product_code": "max", "date": "max"}))
+
+
+def q_undelivered_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three declared levels and the lines, with each row's place."""
+    rows = run_report(BY_COMPANY, _tables(spark, sf_dir), level="")
+    return portable(Pages(rows).page(position="position"))
+
+
 def q_undelivered_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(undelivered_by_order(undelivered_lines(_tables(spark, sf_dir))))
 
@@ -234,6 +312,22 @@ def q_attachments_where(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      order=("mimetype ASC NULLS LAST", "id"), position="position"))
 
 
+def q_attachments_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments of a search domain with every operator and null comparisons."""
+    a = _tables(spark, sf_dir)["ir_attachment"]
+    domain = ["|", "&", ("mimetype", "ilike", "PDF"), "!", ("res_id", "in", [1, 2, 3]),
+              "&", "|", ("mimetype", "=", False), ("mimetype", "not ilike", "image/%g"),
+              "!", "|", ("is_main", "=", True), ("id", "<", 100), ("res_id", "!=", 7), ("create_date", ">=", "2024-01-05")]
+    return portable(attachments_where(a, domain).select(*ATTACHMENT_COLUMNS))
+
+
+def q_undelivered_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines of a search domain over the report's columns."""
+    domain = [("company_id", "in", [1, 3]), "|", ("shipped_quantity", "=", False), "!", ("order_no", "not like", "SO%7"),
+              ("partner_id", "=?", None), "|", ("outstanding_quantity", ">", 0), ("outstanding_quantity", "=", None)]
+    return portable(undelivered_lines(_tables(spark, sf_dir), where=domain))
+
+
 def q_attachments_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preview lists, with each row's place."""
     a = _tables(spark, sf_dir)["ir_attachment"]
@@ -252,16 +346,21 @@ QUERIES: dict[str, Query] = {
     "latest_rate_history": q_latest_rate_history,
     "round_by_precision": q_round_by_precision,
     "period_join": q_period_join,
+    "period_join_many": q_period_join_many,
     "partial_residual": q_partial_residual,
+    "settled_at": q_settled_at,
     "aged_receivable_lines": q_aged_receivable_lines,
     "aged_payable_lines": q_aged_payable_lines,
     "aged_by_partner": q_aged_by_partner,
     "aged_by_partner_sorted": q_aged_by_partner_sorted,
+    "aged_by_partner_by_amount": q_aged_by_partner_by_amount,
     "aged_report": q_aged_report,
     "aged_converted": q_aged_converted,
+    "aged_converted_fine": q_aged_converted_fine,
     "undelivered_lines": q_undelivered_lines,
     "undelivered_filtered": q_undelivered_filtered,
     "undelivered_by_order": q_undelivered_by_order,
+    "undelivered_by_company": q_undelivered_by_company,
     "undelivered_report": q_undelivered_report,
     "undelivered_report_order": q_undelivered_report_order,
     "undelivered_dedupe": q_undelivered_dedupe,
@@ -269,6 +368,8 @@ QUERIES: dict[str, Query] = {
     "attachments_page": q_attachments_page,
     "attachments_offset": q_attachments_offset,
     "attachments_where": q_attachments_where,
+    "attachments_domain": q_attachments_domain,
+    "undelivered_domain": q_undelivered_domain,
     "attachments_typed": q_attachments_typed,
     "attachments_main": q_attachments_main,
 }

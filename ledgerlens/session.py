@@ -8,6 +8,8 @@ launcher has configured.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings the reports rely on.  Each one is applied only when the session
@@ -62,3 +64,22 @@ def ensure_defaults(spark: SparkSession) -> None:
     for key, value in _DEFAULTS.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for kept results, shared by all executors: the one that
+    ``spark.checkpoint.dir`` names.
+
+    A ``local[...]`` session without one gets a scratch folder; on a cluster
+    that is an error, since other executors could not read a local folder.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ledgerlens-")
+    sc.setCheckpointDir(folder)
+    return folder

@@ -22,6 +22,9 @@ CURRENCY_TABLE_SCHEMA = T.StructType([
     T.StructField("precision", T.IntegerType(), True),
 ])
 
+# Decimals that a company rate can have.
+MAX_RATE_DECIMALS = 18
+
 PERIOD_TABLE_SCHEMA = T.StructType([
     # Upper bound of the period (inclusive); null = open.
     T.StructField("date_start", T.DateType(), True),
@@ -33,7 +36,8 @@ PERIOD_TABLE_SCHEMA = T.StructType([
 
 def currency_table(spark: SparkSession,
                    rows: Iterable[tuple[int, Decimal | float | int | str, int]]) -> DataFrame:
-    """Company currency table ``(company_id, rate, precision)``.
+    """Company currency table ``(company_id, rate, precision)``; rates have
+    the decimals of the longest one given, 6 at least.
 
     ``company_id`` must be unique: the report sums over one joined row per
     line, and a second row for a company would double that line.
@@ -42,7 +46,12 @@ def currency_table(spark: SparkSession,
     companies = [c for c, _, _ in clean]
     if len(set(companies)) != len(companies):
         raise ValueError("currency_table: company_id must be unique")
-    return spark.createDataFrame(clean, CURRENCY_TABLE_SCHEMA)
+    scale = max([CURRENCY_TABLE_SCHEMA["rate"].dataType.scale, *(-r.as_tuple().exponent for _, r, _ in clean if r is not None)])
+    if scale > MAX_RATE_DECIMALS:
+        raise ValueError(f"currency_table: more than {MAX_RATE_DECIMALS} decimals in a rate")
+    rate = T.StructField("rate", T.DecimalType(12 + scale, scale), True)
+    company, _, precision = CURRENCY_TABLE_SCHEMA.fields
+    return spark.createDataFrame(clean, T.StructType([company, rate, precision]))
 
 
 def period_rows(date_to: dt.date | str, days: int = 30,

@@ -1,10 +1,10 @@
 """Rounding to a precision taken from the data, against Python's decimal."""
 
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 from fractions import Fraction
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -75,3 +75,60 @@ def test_ties_and_nulls_of_the_whole_amount(spark):
     assert got == [Decimal("0.01"), Decimal("-0.01"), Decimal("0.13"), Decimal("0.00333333"), Decimal("0.000000000001"), None]
     with pytest.raises(PySparkException):
         with_converted(df.withColumn("p", F.lit(13)), "v", *[F.col(c) for c in "arbsfp"]).collect()
+
+
+def wide(n, digits):
+    return st.integers(-10**n, 10**n).map(lambda x: Decimal(x).scaleb(-digits))
+
+
+def ratios(digits):
+    return st.one_of(st.none(), st.sampled_from([Decimal("0"), Decimal("-1"), Decimal("0.3"), Decimal(1).scaleb(-digits)]),
+                     st.integers(1, digits + 3).flatmap(lambda n: st.integers(1, 10**n)).map(lambda x: Decimal(x).scaleb(-digits)))
+
+
+SCALES = {
+    (3, 10, 8): "a decimal(18,3), r decimal(22,10), b decimal(18,3), s decimal(38,3), f decimal(20,8), p int",
+    (4, 12, 12): "a decimal(38,18), r decimal(38,18), b decimal(38,18), s decimal(38,18), f decimal(38,18), p int",
+    (0, 0, 0): "a bigint, r int, b int, s bigint, f int, p int",
+}
+
+
+@pytest.mark.parametrize("scales", sorted(SCALES))
+@settings(max_examples=5, deadline=None, phases=(Phase.generate,))
+@given(data=st.data())
+def test_amounts_at_the_scales_of_their_types(spark, scales, data):
+    """Three decimals and ten of a rate, decimal(38,18) columns, whole numbers."""
+    sa, sr, sk = scales
+    rows = data.draw(st.lists(st.tuples(wide(9, sa), ratios(sr), wide(9, sa), wide(8, sa), wide(sk + 4, sk), st.integers(0, 12)),
+                              min_size=20, max_size=60))
+    if scales == (0, 0, 0):
+        rows = [tuple(None if v is None else int(v) for v in r) for r in rows]
+    df = spark.createDataFrame(rows, SCALES[scales])
+    got = [r.v for r in with_converted(df, "v", *[F.col(c) for c in "arbsfp"]).collect()]
+    with localcontext() as context:
+        context.prec = 60
+        assert got == [exact(*r) for r in rows]
+
+
+def test_amounts_and_rates_are_not_cut(spark):
+    rows = [("1", None, "1.235", "0", "1", 3), ("100", "0.1234567", "0", "0", "1", 6), ("100", "0.0000004", "0", "0", "1", 2),
+            ("0.001", "1", "0", "0", "0.0000001", 10), ("99999999999.999", "0.0000001", "0", "0", "0.0000001", 3)]
+    df = spark.createDataFrame([tuple(Decimal(x) if isinstance(x, str) else x for x in r) for r in rows],
+                               "a decimal(18,3), r decimal(18,7), b decimal(18,3), s decimal(18,3), f decimal(18,7), p int")
+    got = [r.v for r in with_converted(df, "v", *[F.col(c) for c in "arbsfp"]).collect()]
+    assert got == [Decimal(x) for x in ("1.235", "810.000591", "250000000", "0.0000000001", "99999999999.999")]
+
+
+def test_numbers_that_do_not_fit_are_an_error(spark):
+    big = Decimal(10) ** 17
+    df = spark.createDataFrame([(big, Decimal(1).scaleb(-12), big, Decimal(0), Decimal(10) ** 11, 12)],
+                               "a decimal(18,0), r decimal(24,12), b decimal(18,0), s decimal(18,0), f decimal(24,12), p int")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            with pytest.raises(PySparkException):
+                with_converted(df, "v", *[F.col(c) for c in "arbsfp"]).collect()
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+    with pytest.raises(TypeError):
+        with_converted(df.withColumn("r", F.lit(0.5)), "v", *[F.col(c) for c in "arbsfp"])
