@@ -38,15 +38,26 @@ def _bits(count: int) -> int:
     return PAYLOAD // count
 
 
+def _limits() -> np.ndarray:
+    return np.array([1 << _bits(c) for c in COUNTS], U64)
+
+
+#: Place in :data:`COUNTS` of the narrowest selector of each small number.
+_NARROWEST = np.searchsorted(_limits(), np.arange(1 << 16, dtype=U64), "right").astype(np.uint8)
+
+
 def _choices(numbers: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """For a word that began at each number: its selector's place in
     :data:`COUNTS` (:data:`_ESCAPE`: an escape), and the numbers it takes."""
     n, blocks = len(numbers), -(-len(numbers) // block)
-    limits = np.array([1 << _bits(c) for c in COUNTS], U64)
+    limits = _limits()
     pad = COUNTS[0]
     least = np.full((blocks, block + pad), 255, np.uint8)  # the narrowest selector of each number; no word leaves a block
     flat = np.full(blocks * block, 255, np.uint8)
-    flat[:n] = np.searchsorted(limits, numbers, "right")
+    if numbers.max() < len(_NARROWEST):
+        flat[:n] = _NARROWEST[numbers.astype(np.int64)]
+    else:
+        flat[:n] = np.searchsorted(limits, numbers, "right")
     least[:, :block] = flat.reshape(blocks, block)
     spans, span = {1: least}, 1
     while 2 * span <= COUNTS[0]:

@@ -23,12 +23,15 @@ whole is the sum of all parts before, ``first`` and its place in the segment.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +43,12 @@ from ledgerlens.llm.workers import kept
 
 #: Ids after which a segment is full.
 SEGMENT = 1 << 16
-#: Pre-tokens whose ids a worker keeps; when full, it starts again.
+#: Pre-tokens whose ids a worker keeps in each of two generations.
 CACHE = 500_000
 #: Longest pre-token that is kept, in bytes.
 KEPT_BYTES = 64
+#: Words of Latin-1 characters but its two white-space ones, as UTF-8.
+_LATIN = re.compile(rb"(?:[\x00-\x7f]|\xc2[\x80-\x84\x86-\x9f\xa1-\xbf]|\xc3[\x80-\xbf])+")
 SCHEMA = ("part int, segment int, first long, n_ids long, docs array<long>, lengths array<long>, payload binary")
 
 
@@ -65,31 +70,121 @@ def _as_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def encode_texts(texts: list[bytes], encode: Callable, cache: dict[bytes, bytes] | None) -> Iterator[bytes]:
-    """The ids of every text as little-endian 32-bit numbers.
-
-    With a cache, texts are cut at ASCII white space, which nothing that the
-    tokenizer does crosses, and each pre-token is encoded once.
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: a byte's own character where that is printable,
+    else the next one from 256 on."""
+    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + others.index(b)) for b in others}
+
+
+def latin_splitter(path: str) -> regex.Pattern | None:
+    """The tokenizer's own pattern of a pre-token, if words of Latin-1 come to
+    its model as the pattern's matches in lower case: normalisers that change
+    no other thing in them, and bytes mapped to the byte-level alphabet without
+    another split."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before = spec.get("normalizer") or {}
+    steps = before.get("normalizers", [before])
+    first, *after = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    plain = all(s.get("type") in ("NFC", "Lowercase") or (s.get("type") == "Replace" and s["pattern"] == {"Regex": "\\s+"})
+                for s in steps) and any(s.get("type") == "Lowercase" for s in steps)
+    mapped = [(s.get("type"), s.get("use_regex"), s.get("add_prefix_space")) for s in after] == [("ByteLevel", False, False)]
+    return regex.compile(first["pattern"]["Regex"]) if plain and mapped else None
+
+
+def _lower(text: bytes) -> bytes:
+    """A text in lower case if that is all the normaliser would do to it: one
+    of Latin-1 characters without a special string."""
+    if b"<|" in text:
+        return text
+    if text.isascii():
+        return text.lower()
+    chars = text.decode()
+    try:
+        chars.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return chars.lower().encode()
+
+
+class PreTokens:
+    """Ids of texts, word by word, for a tokenizer that drops white space: no
+    step of it crosses that, so texts are cut there and every word is encoded
+    once.
+
+    A word of Latin-1 characters is split by the tokenizer's own pattern and its
+    pieces go to the library's model directly, which is what the library's
+    normaliser and splitter would hand it; others, and those that may hold a
+    special string, go through the library as a whole.  Words are kept in two
+    generations: when the new one is full, the old one is dropped, so those in
+    use stay.
     """
-    if cache is None:
-        for i in range(0, len(texts), 64):
-            for ids in encode([t.decode() for t in texts[i:i + 64]]):
-                yield _as_bytes(ids)
-        return
-    for text in texts:
-        words = text.split()
-        missing = list(set(words).difference(cache))
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.encode = encoder(path)
+        self.split = latin_splitter(path)
+        tokenizer = Tokenizer.from_file(path)
+        self.tokenize = tokenizer.model.tokenize
+        self.as_bytes = [_as_bytes([i]) for i in range(tokenizer.get_vocab_size())]
+        self.alphabet = byte_letters()
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def ids(self, text: bytes) -> bytes:
+        """The text's ids as little-endian 32-bit numbers."""
+        words = _lower(text).split()
+        missing = set(words).difference(self.new)
         if missing:
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                missing = list(set(words))
-            for i in range(0, len(missing), 4096):
-                part = missing[i:i + 4096]
-                cache.update(zip(part, map(_as_bytes, encode([w.decode() for w in part])), strict=True))
-        yield b"".join(map(cache.__getitem__, words))
+            if len(self.new) + len(missing) > CACHE:
+                self.old, self.new = self.new, {}
+                missing = set(words)
+            self._learn(missing)
+        out = b"".join(map(self.new.__getitem__, words))
         for w in missing:
             if len(w) > KEPT_BYTES:
-                del cache[w]
+                del self.new[w]
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        hard = []
+        for w in words:
+            if (ids := self.old.get(w)) is not None:
+                self.new[w] = ids
+            elif self.split is None or b"<|" in w or not _LATIN.fullmatch(w):
+                hard.append(w)
+            elif w.isalpha():  # ASCII letters: one piece
+                self.new[w] = self._piece(w.lower())
+            else:
+                pieces = self.split.findall(w.decode().lower())
+                self.new[w] = b"".join([self._piece(p.encode()) for p in pieces])
+        for i in range(0, len(hard), 4096):
+            part = hard[i:i + 4096]
+            self.new.update(zip(part, map(_as_bytes, self.encode([w.decode() for w in part])), strict=True))
+
+    def _piece(self, piece: bytes) -> bytes:
+        ids = self.new.get(piece) or self.old.get(piece)
+        if ids is None:
+            letters = piece.decode("latin-1")
+            if not piece.isalpha():
+                letters = letters.translate(self.alphabet)
+            ids = b"".join([self.as_bytes[t.id] for t in self.tokenize(letters)])
+            if len(piece) <= KEPT_BYTES:
+                self.new[piece] = ids
+        return ids
+
+
+def encode_texts(texts: list[bytes], encode: Callable, pieces: PreTokens | None) -> Iterator[bytes]:
+    """The ids of every text as little-endian 32-bit numbers, by pre-tokens or
+    by whole texts."""
+    if pieces is not None:
+        yield from map(pieces.ids, texts)
+        return
+    for i in range(0, len(texts), 64):
+        for ids in encode([t.decode() for t in texts[i:i + 64]]):
+            yield _as_bytes(ids)
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col: str = "doc_id",
@@ -106,8 +201,8 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col: str
     cut_up = drops_white_space(path)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = kept(("token_files", path, "encode"), lambda: encoder(path))
-        cache = kept(("token_files", path, "cache"), dict) if cut_up else None
+        pieces = kept(("token_files", path, "pieces"), lambda: PreTokens(path)) if cut_up else None
+        encode = pieces.encode if pieces else kept(("token_files", path), lambda: encoder(path))
         end = _as_bytes([end_id])
         part, segment, first = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
@@ -116,7 +211,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col: str
         total = 0
         for whole in batches:
             for batch in parts_of(whole, "text"):
-                found = encode_texts([t or b"" for t in utf8(batch, "text")], encode, cache)
+                found = encode_texts([t or b"" for t in utf8(batch, "text")], encode, pieces)
                 for name, raw in zip(batch.column("doc").to_pylist(), found, strict=True):
                     ids += (raw, end)
                     names.append(name)

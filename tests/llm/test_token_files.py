@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -107,13 +108,32 @@ def test_one_id_for_all_rows(spark, tmp_path):
     assert parts.selectExpr("sum(size(docs))").first()[0] == 2000
 
 
-def test_cache_does_not_matter(monkeypatch):
-    encode = encoder(P.path(NAMES[0]))
-    texts = [b"a b c", b"", b"A" * 500 + b" a", "é\n̈ a".encode(), b"c b a"]
-    want = list(module.encode_texts(texts, encode, None))
-    monkeypatch.setattr(module, "CACHE", 2)
-    cache = {}
-    assert list(module.encode_texts(texts, encode, cache)) == want and b"A" * 500 not in cache
+def test_generations_and_pieces_do_not_matter(monkeypatch):
+    """Pre-tokens with marks, capitals, combining marks, contractions and
+    special strings, over caches that turn over all the time."""
+    monkeypatch.setattr(module, "CACHE", 3)
+    path = P.path(NAMES[0])
+    pieces, encode = module.PreTokens(path), encoder(path)
+    assert pieces.split is not None and module.latin_splitter(P.path(NAMES[1])) is None
+    texts = ["a b c", "", "A" * 500 + " a", "e\u0301\n\u0308 a", "H\u0331 h\u0331", "Fu\u0308rst F\u00fcrst, (\u00e9t\u00e9). \u00c9t\u00e9", "c b a",
+             "it's 'S don't, (can't)! we'll", "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>,b", "x-y -- \"(q)?!\" ...", "\u00d7\u00f7 \u00df \u00ff \u00e0",
+             "1st 2nd, 3.5 a1b2", "\u0130stanbul \u03a3\u03a3 \ufb01n", "na\u00efve \u00e6\u00f8\u00e5; stra\u00dfe.", "\x00\x01a \x1cb", "a\u200bb c\u00a0d"]
+    for _ in range(2):
+        for t in texts:
+            assert np.frombuffer(pieces.ids(t.encode()), "<u4").tolist() == encode([t])[0], t
+    assert (b"a" * 500) not in pieces.new and len(pieces.new) < 40
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("abzAZ '.,!?-()\"<|>19\n\t\u00e9\u00c9\u00fc\u00df\u0301\u0331"), st.characters(max_codepoint=0x3000, exclude_categories=["Cs"])), max_size=60))
+def test_pieces_equal_the_library_on_any_text(text):
+    pieces = _kept_pieces()
+    assert np.frombuffer(pieces.ids(text.encode()), "<u4").tolist() == pieces.encode([text])[0]
+
+
+@functools.cache
+def _kept_pieces():
+    return module.PreTokens(P.path(NAMES[0]))
 
 
 def test_empty(spark, empty, tmp_path):
