@@ -1,9 +1,12 @@
 """Operator 11: phrases whose words belong together, by sorted count streams.
 
-**Counts.**  Tasks number the words of a buffer, pack every run of up to
-``longest`` words of a piece into one 64-bit number and sort them, so a task
-sends a phrase once per buffer.  Spark adds the counts up; only phrases with
-``least`` occurrences go on, since no part of a candidate has fewer.
+**Counts.**  Tasks number the words of a buffer, pack every run of a length into
+one 64-bit number and sort them, so a task sends a phrase once per buffer.
+Spark adds the counts up; only phrases with ``least`` occurrences go on, since
+no part of a candidate has fewer.  For the same reason words are counted first,
+then pairs, and so on: a phrase is left out if its first or last words are a
+rarer phrase.  A Bloom filter of the others (32 MB at most) tells, and one that
+it lets through only costs a row.
 
 **Streams.**  A phrase is the key ``word TAB word TAB ...``; no word holds a
 tab, so in byte order all phrases that begin with a phrase follow it at once.
@@ -30,19 +33,23 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.bloom import BlockedBloom, build
 from ledgerlens.llm.storage import cut
-from ledgerlens.llm.words import map_arrow, utf8
+from ledgerlens.llm.words import U64, map_arrow, mix64, utf8
 
 #: Bytes of text that a task counts before it sends its counts.
-BUFFER = 16 << 20
+BUFFER = 32 << 20
 #: Words that are packed and sorted at once.
 WORDS = 1 << 20
-#: First-stage groups of a language's report.
-DEALT = 16
+#: Places whose phrases are looked up at once.
+_PROBES = 1 << 16
+#: Groups of a language's phrases whose best are found before the language's.
+DEALT = (64, 4)
 _CUTS, _COMMA = b".,;:!?\n\x0b\x0c\r", b","
 _SPACE = re.compile(rb"[ \t]")
 _TABLE = bytes(ord(",") if b in _CUTS else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -60,52 +67,80 @@ def words_and_cuts(text: bytes, at_once: int = 4 << 20) -> Iterator[list[bytes]]
         start = stop
 
 
-def count_phrases(texts: Iterable[bytes], longest: int) -> Iterator[pa.Table]:
-    """``(key, f)`` tables of the phrases of some texts, each phrase once per
-    :data:`WORDS` words; the empty key counts the words."""
-    limit = min(WORDS, (1 << (63 // longest)) - longest)  # any ``longest`` word numbers fit into 63 bits
+def word_hashes(lang: str, words: Iterable[bytes]) -> np.ndarray:
+    seed = xxhash.xxh3_64_intdigest(lang.encode())
+    return np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], U64)
+
+
+def count_phrases(texts: Iterable[bytes], length: int, lang: str = "", known: BlockedBloom | None = None) -> Iterator[pa.Table]:
+    """``(key, f)`` tables of the phrases of ``length`` words of some texts,
+    each phrase once per :data:`WORDS` words; beside single words, the empty key
+    counts them all.  Of longer phrases, those whose first and last ``length -
+    1`` words ``known`` may hold."""
+    limit = min(WORDS, (1 << (63 // length)) - length)  # any ``length`` word numbers fit into 63 bits
     pending: list[bytes] = []
     for text in texts:
         for tokens in chain(words_and_cuts(text), [[_COMMA]]):
             pending += tokens
-            while len(pending) >= limit + longest:  # the last words complete the runs that begin before them
-                yield _counted(pending[:limit + longest - 1], limit, longest)
+            while len(pending) >= limit + length:  # the last words complete the runs that begin before them
+                yield _counted(pending[:limit + length - 1], limit, length, lang, known)
                 del pending[:limit]
-    yield _counted(pending, len(pending), longest)
+    yield _counted(pending, len(pending), length, lang, known)
 
 
-def _counted(tokens: list[bytes], starts: int, longest: int) -> pa.Table:
+def _counted(tokens: list[bytes], starts: int, length: int, lang: str, known: BlockedBloom | None) -> pa.Table:
     """Counts of the runs that begin at the first ``starts`` tokens."""
     numbers: dict[bytes, int] = {_COMMA: 0}
     ids = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int64, len(tokens))
     words = pa.array(numbers, pa.binary())
     bits = max(len(numbers) - 1, 1).bit_length()
-    starts = min(starts, len(ids))
-    packed = np.zeros(starts, np.int64)
-    alive = np.ones(starts, bool)
-    keys, counts = [pa.array([b""], pa.binary())], [np.array([np.count_nonzero(ids[:starts])], np.int64)]
-    for m in range(1, longest + 1):
-        step = np.zeros(starts, np.int64)
-        step[:max(len(ids) - m + 1, 0)] = ids[m - 1:m - 1 + starts]
+    places = max(min(starts, len(ids) - length + 1), 0)
+    packed = np.zeros(places, np.int64)
+    alive = np.ones(places, bool)
+    for m in range(length):
+        step = ids[m:m + places]
         alive &= step > 0
         packed = (packed << bits) | step
-        found, f = np.unique(packed[alive], return_counts=True)
-        parts = [words.take(pa.array((found >> (bits * (m - 1 - j))) & ((1 << bits) - 1))) for j in range(m)]
-        keys.append(pc.binary_join_element_wise(*parts, b"", b"\t") if len(found) else pa.array([], pa.binary()))
-        counts.append(f.astype(np.int64))
+    if known is not None and places:
+        at = np.flatnonzero(alive)
+        hashes = word_hashes(lang, numbers)[ids]
+        for i in range(0, len(at), _PROBES):
+            here = at[i:i + _PROBES]
+            for shift in (0, 1):  # the first and the last words of the phrase
+                part = [hashes[here + shift + j] for j in range(length - 1)]
+                alive[here] &= known.hits(phrase_hashes(part))
+    found, f = np.unique(packed[alive], return_counts=True)
+    parts = [words.take(pa.array((found >> (bits * (length - 1 - j))) & ((1 << bits) - 1))) for j in range(length)]
+    keys = [pc.binary_join_element_wise(*parts, b"", b"\t") if len(found) else pa.array([], pa.binary())]
+    counts = [f.astype(np.int64)]
+    if length == 1:
+        keys.append(pa.array([b""], pa.binary()))
+        counts.append(np.array([np.count_nonzero(alive)], np.int64))
     return pa.table({"key": pa.concat_arrays(keys), "f": pa.array(np.concatenate(counts))})
 
 
-def phrase_counts(docs: DataFrame, longest: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(lang, key, f)`` of every phrase of up to ``longest`` words of a
-    language's texts; the empty key has the number of words."""
+def phrase_hashes(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases from the hashes of their first, second, ... words."""
+    out = np.full(len(words[0]), len(words), U64)
+    for w in words:
+        out = mix64(out * U64(0x9E3779B97F4A7C15) ^ w)
+    return out
+
+
+def _added_up(rows: DataFrame, length: int, known: Broadcast | None = None) -> DataFrame:
+    """``(lang, key, f)`` of the phrases of a length in ``(lang, text)`` rows.
+
+    Phrases are counted per buffer before the shuffle; a further aggregation on
+    the map side would find few of them twice.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = BlockedBloom(known.value) if known is not None else None
         held: dict[str, list[bytes]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
-                for table in count_phrases(texts, longest):
+                for table in count_phrases(texts, length, lang, bloom):
                     for part in table.to_batches(max_chunksize=50_000):
                         yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), *part.columns], ["lang", "key", "f"])
 
@@ -118,8 +153,36 @@ def phrase_counts(docs: DataFrame, longest: int, text_col: str = "text", lang_co
                     held, size = {}, 0
         yield from flush()
 
+    counted = map_arrow(rows, count, "lang string, key binary, f long")
+    return counted.repartition("lang", "key").groupBy("lang", "key").agg(F.sum("f").alias("f"))
+
+
+def _filter_of(phrases: DataFrame) -> Broadcast:
+    """A Bloom filter of ``(lang, key)`` phrases of one length."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [word_hashes(lang, key.split(b"\t")[:-1]) for lang, key in zip(
+                batch.column("lang").to_pylist(), batch.column("key").to_pylist(), strict=True)]
+            hashes = phrase_hashes(list(np.array(words, U64).T)) if words else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["hash"])
+
+    named = phrases.where(F.octet_length("key") > 0).select("lang", "key")
+    words = build(map_arrow(named, hashed, "hash long"), "hash", named.count()).words
+    return phrases.sparkSession.sparkContext.broadcast(words)
+
+
+def frequent_phrases(docs: DataFrame, longest: int, least: int, text_col: str = "text",
+                     lang_col: str = "lang") -> DataFrame:
+    """``(lang, key, f)`` of every phrase of up to ``longest`` words with
+    ``least`` occurrences in a language's texts; the empty key has the number
+    of all words."""
     rows = docs.select(F.coalesce(docs[lang_col], F.lit("und")).alias("lang"), docs[text_col].alias("text"))
-    return map_arrow(rows, count, "lang string, key binary, f long").groupBy("lang", "key").agg(F.sum("f").alias("f"))
+    found = cut(_added_up(rows, 1).where((F.col("f") >= least) | (F.octet_length("key") == 0)))
+    out = found
+    for length in range(2, longest + 1):
+        found = cut(_added_up(rows, length, _filter_of(found)).where(F.col("f") >= least))
+        out = out.unionByName(found)
+    return out
 
 
 def _sorted_stream(rows: DataFrame) -> DataFrame:
@@ -295,8 +358,7 @@ def candidates(docs: DataFrame, longest: int = 3, least: int = 10, percent: int
     language is ``und``; repeated rows count as often as they stand; an empty
     table has no phrase.  Other columns are not read.
     """
-    counts = phrase_counts(docs, longest, text_col, lang_col)
-    frequent = cut(counts.where((F.col("f") >= least) | (F.octet_length("key") == 0)))
+    frequent = frequent_phrases(docs, longest, least, text_col, lang_col)
     return _suffix_pass(_prefix_pass(frequent), least, percent)
 
 
@@ -304,12 +366,14 @@ def best_phrases(found: DataFrame, top: int = 2000) -> DataFrame:
     """Each language's first ``top`` kept candidates by score, occurrences (both
     descending) and phrase (byte order), with their ``rank`` from 1.
 
-    A task sends ``top`` rows of a language at most, and so do
-    :data:`DEALT` groups of phrases before one task ranks them.
+    A task sends ``top`` rows of a language at most; groups of phrases are
+    reduced to their first ones before one task ranks a language's.
     """
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    dealt = found.where("kept").drop("kept").withColumn("dealt", F.pmod(F.xxhash64("phrase"), F.lit(DEALT)))
-    few = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "dealt").orderBy(*order)))
-    few = few.where(F.col("rank") <= top).drop("rank", "dealt")
+    few = found.where("kept").drop("kept")
+    for groups in DEALT:
+        dealt = few.withColumn("dealt", F.pmod(F.xxhash64("phrase"), F.lit(groups)))
+        few = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "dealt").orderBy(*order)))
+        few = few.where(F.col("rank") <= top).drop("rank", "dealt")
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

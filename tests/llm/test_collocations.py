@@ -2,10 +2,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import ledgerlens.llm.collocations as module
 from llm.conftest import lower_ascii
+from ledgerlens.llm.bloom import BlockedBloom
 from ledgerlens.llm.collocations import best_phrases, candidates, count_phrases
 
 
@@ -73,16 +75,32 @@ def test_ranges_cut_inside_a_hot_word(spark):
 def test_small_buffers_and_long_texts(spark, monkeypatch):
     """Counts don't depend on where buffers end; a text of many buffers is whole."""
     raw = [b"a b c. a b c d! " * 500, b"a", b"", b"a b c"]
-    want = Counter(dict(zip(*[next(count_phrases(raw, 3)).column(c).to_pylist() for c in ("key", "f")], strict=True)))
+
+    def counts(length):
+        out = Counter()
+        for table in count_phrases(raw, length):
+            for key, f in zip(table.column("key").to_pylist(), table.column("f").to_pylist(), strict=True):
+                out[key] += f
+        return out
+    want = [counts(n) for n in (1, 2, 3)]
+    assert want[0][b""] == 500 * 7 + 4 and want[2][b"a\tb\tc\t"] == 1001
     monkeypatch.setattr(module, "WORDS", 7)
-    got = Counter()
-    for table in count_phrases(raw, 3):
-        got.update(dict(zip(table.column("key").to_pylist(), table.column("f").to_pylist(), strict=True)))
-    assert got == want and got[b""] == 500 * 7 + 4
+    assert [counts(n) for n in (1, 2, 3)] == want
     pieces = list(module.words_and_cuts(raw[0], at_once=5))
     assert len(pieces) > 100 and sum(pieces, []) == sum(module.words_and_cuts(raw[0]), [])
 
 
+def test_phrases_with_rare_parts_are_left_out(spark, monkeypatch):
+    """Only work is saved: a filter that holds everything changes nothing."""
+    rows = texts(200)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    want = found(candidates(docs, 3, 4))
+    few = module.frequent_phrases(docs, 3, 4).count()
+    monkeypatch.setattr(module, "build", lambda *a: BlockedBloom(np.full((1, 8), 2**64 - 1, np.uint64)))
+    assert found(candidates(docs, 3, 4)) == want == brute_force(rows, 3, 4)
+    assert module.frequent_phrases(docs, 3, 4).count() == few
+
+
 def test_products_past_64_bits():
     row = ("x", b"b\ta\t", 4 * 10**18, [5 * 10**18], 0, 10**19)
     header = [("x", b"", 9, [], 0, 9), ("x", b"b\t", 6 * 10**18, [], 0, 9), row]
