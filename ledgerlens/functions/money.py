@@ -81,19 +81,24 @@ def _power(digits: int) -> Column:
     return F.lit(10**digits).cast(T.DecimalType(digits + 1, 0))
 
 
+def _table(values: Iterable[str]) -> Column:
+    """An array of SQL literals, as one expression."""
+    return F.expr(f"array({', '.join(values)})")
+
+
 def _powers(exponent: Column) -> Column:
     """10 to a power from the data, 0 to 37, as a decimal."""
-    return F.get(F.array(*[F.lit(Decimal(10**i)).cast(_WHOLE) for i in range(38)]), F.greatest(exponent, F.lit(0)))
+    return F.get(_table(f"CAST({10**i}BD AS DECIMAL(38, 0))" for i in range(38)), F.greatest(exponent, F.lit(0)))
 
 
 def _long_powers(exponent: Column) -> Column:
     """10 to a power from the data, 0 to 18, as a bigint."""
-    return F.get(F.array(*[F.lit(10**i).cast("bigint") for i in range(19)]), F.greatest(exponent, F.lit(0)))
+    return F.get(_table(f"{10**i}L" for i in range(19)), F.greatest(exponent, F.lit(0)))
 
 
 def _sizes(exponent: Column) -> Column:
     """10 to a power from the data, 0 to 40, in floating point."""
-    return F.get(F.array(*[F.lit(float(10**i)) for i in range(41)]), F.greatest(exponent, F.lit(0)))
+    return F.get(_table(f"1e{i}D" for i in range(41)), F.greatest(exponent, F.lit(0)))
 
 
 def _div(number: Column, by: Column) -> Column:
@@ -128,13 +133,12 @@ def _digits_of(value: Column, digits: int, scale: int) -> tuple[Column, Column]:
     return number, decimals
 
 
-def _zeros(number: Column, decimals: Column, scale: int) -> Column:
-    """Decimals at the end of a bigint that are zeros and can be cut off."""
-    out = F.lit(0)
-    for kept in reversed([k for k in _KEPT if k < scale]):
-        cut = decimals - kept
-        out = F.when((cut > 0) & (number % _long_powers(cut) == 0), cut).otherwise(out)
-    return out
+def _zeros(number: str, decimals: str, scale: int) -> Column:
+    """Decimals at the end of a bigint column that are zeros and can be cut off."""
+    powers = f"array({', '.join(f'{10**i}L' for i in range(19))})"
+    cases = [f"WHEN `{decimals}` > {kept} AND `{number}` % get({powers}, `{decimals}` - {kept}) = 0 THEN `{decimals}` - {kept}"
+             for kept in _KEPT if kept < scale]
+    return F.expr(f"CASE {' '.join(cases)} ELSE 0 END") if cases else F.lit(0)
 
 
 def _rest(number: Column, by: Column) -> Column:
@@ -188,7 +192,7 @@ def with_converted(df: DataFrame, name: str, amount_currency: Column, rate: Colu
     whole = {x: _digits_of(c(f"{x}v"), digits, scale) for x, (_, scale, digits) in given.items()}
     out = put(out, **{f"{x}w": w for x, (w, _) in whole.items()}, **{f"{x}t": t for x, (_, t) in whole.items()})
     out = put(out, **{f"{x}u": c(f"{x}w").try_cast("bigint") for x in given})
-    out = put(out, **{f"{x}z": F.coalesce(_zeros(c(f"{x}u"), c(f"{x}t"), given[x][1]), F.lit(0)) for x in given})
+    out = put(out, **{f"{x}z": F.coalesce(_zeros(f"__{name}_{x}u", f"__{name}_{x}t", given[x][1]), F.lit(0)) for x in given})
     # bigint and decimals of each number without its zeros
     out = put(out, **{f"{x}l": _div(c(f"{x}u"), _long_powers(c(f"{x}z"))) for x in given},
               **{f"{x}d": c(f"{x}t") - c(f"{x}z") for x in given})
@@ -198,7 +202,7 @@ def with_converted(df: DataFrame, name: str, amount_currency: Column, rate: Colu
     out = _bigint_steps(out, put, c)
     out = _decimal_steps(out, put, c, precision)
     out = put(out, neg=F.when(c("fast"), (c("n1") < 0) != (c("kl") < 0)).otherwise((c("w_signed") < 0) != (c("kw") < 0)))
-    unit = F.get(F.array(*[F.lit(Decimal(1).scaleb(-i)).cast(T.DecimalType(13, 12)) for i in PRECISIONS]), precision)
+    unit = F.get(_table(f"CAST({Decimal(1).scaleb(-i):f}BD AS DECIMAL(13, 12))" for i in PRECISIONS), precision)
     size = F.when(c("fast"), (c("u").cast(T.DecimalType(19, 0)) * unit).cast(ROUNDED)).otherwise(c("w_value"))
     out = put(out, size=F.when(precision.between(min(PRECISIONS), max(PRECISIONS)), size))
     given_all = reduce(Column.__and__, [c(f"{x}v").isNotNull() for x in given])
