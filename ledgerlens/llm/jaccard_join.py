@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import grouped
+from ledgerlens.llm import bloom, grouped
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.storage import cut
 from ledgerlens.llm.words import U64, map_arrow, mix64, parts_of, shingle_set, utf8
@@ -99,23 +99,23 @@ def shingle_sizes(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     return map_arrow(_texts(docs, id_col, text_col), run, "doc long, n_shingles long, h1 long, h2 long")
 
 
-def candidate_keys(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id",
+def candidate_keys(docs: DataFrame, k: int, percent: int, firsts: DataFrame, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """``(key, doc)``: the part keys of every document with words and an id.
-
-    Copies with the same set give the same keys; within a task only the first
-    of them is sent, so a large group of copies costs each task one document.
+    """``(key, doc)``: the part keys of every document with words and an id
+    that is one of ``firsts(doc)``, and of a few others that a Bloom filter of
+    these lets through; within a task, copies that it does are sent once.
     """
     limits = band_limits(percent)
+    listed = docs.sparkSession.sparkContext.broadcast(bloom.build(firsts, "doc", firsts.count()).words)
 
     def run(batches):
         seen: set[bytes] = set()
+        first = bloom.BlockedBloom(listed.value)
         for whole in batches:
-            for batch in parts_of(whole, "text"):
+            for part in parts_of(whole, "text"):
+                batch = part.filter(pa.array(first.hits(part.column("doc").to_numpy().view(U64))))
                 ids, keys = [], []
                 for doc, text in zip(batch.column("doc").to_pylist(), utf8(batch, "text"), strict=True):
-                    if doc is None:
-                        continue
                     grams = shingle_set(text, k)
                     if not len(grams):
                         continue
@@ -132,7 +132,7 @@ def candidate_keys(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id"
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))],
                         ["key", "doc"])
-    return map_arrow(_texts(docs, id_col, text_col), run, "key long, doc long")
+    return map_arrow(_texts(docs, id_col, text_col).where("doc IS NOT NULL"), run, "key long, doc long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -150,7 +150,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """
     sizes = cut(shingle_sizes(docs, k, id_col, text_col))
     named = sizes.where("n_shingles > 0 AND doc IS NOT NULL")
-    members = cut(grouped.pivots(candidate_keys(docs, k, percent, id_col, text_col)))
+    # copies of a set are one class: only the first of each is compared
+    firsts = cut(grouped.one_of_each(named))
+    keys = candidate_keys(docs, k, percent, firsts, id_col, text_col)
+    members = cut(grouped.pivots(keys).join(firsts, "doc", "left_semi").select("pivot", "doc"))
     links = grouped.verified_links(members, named, _texts(docs, id_col, text_col), k, percent)
     roots = connected_components(links)
     return class_components(sizes, roots)

@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerlens.llm import grouped
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.jaccard_join import band_limits, jaccard_components, part_keys
 from ledgerlens.llm.words import shingle_set
@@ -67,6 +69,46 @@ def test_similar_sets_share_a_key(percent):
                 assert len(np.intersect1d(part_keys(x, percent, limits), part_keys(y, percent, limits)))
 
 
+def near_copies(count, apart, seed=7):
+    """Near copies of one text, of which every ``apart``-th is of a neighbour
+    group that links to some of them but not to the first."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(count):
+        words = list(base)
+        if apart and i and i % apart == 0:
+            for j in range(30, 36):  # too far from the first document
+                words[j] = f"x{j}"
+        words[rng.randrange(20)] = f"y{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("apart", [0, 9, 2])
+def test_large_groups_meet_their_first_member(spark, monkeypatch, apart):
+    """Blocks of ten: members unlike the first one still meet all others."""
+    monkeypatch.setattr(grouped, "BLOCK_MEMBERS", 10)
+    rows = near_copies(150, apart)
+    chain = " ".join(f"w{i}" if not 30 <= i < 36 or i < 33 else f"x{i}" for i in range(60))
+    rows += [(1000, chain), (1001, chain + " end"), (None, chain), (1001, "other text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc"]: r["component"] for r in jaccard_components(docs, 2, 80).collect() if r["doc"] not in (None, 1001)}
+    want = brute_components(dict(r for r in rows if r[0] not in (None, 1001)), 2, 80)
+    assert got == {i: c for i, (_, c) in want.items()}
+
+
+def test_near_copies_are_dealt_once(spark):
+    """3,000 near copies: each text goes to one block, the first to all."""
+    members = spark.range(3000).selectExpr("0L AS pivot", "id AS doc")
+    large = spark.createDataFrame([(0, 0, 12)], "p long, head long, blocks int")
+    deal = grouped.first_deal(members, large)
+    assert deal.count() == 2999 + 12 and deal.where("side = 2").select("j").distinct().count() == 12
+    left = members.where("doc > 2990")
+    n = members.select("doc", F.lit(50).alias("n"))
+    assert grouped.second_deal(members, left, large, n).count() == 3000 + 9 * 12
+
+
 def test_shingles_of_words():
     assert len(shingle_set(b"a b c", 4)) == 1 and len(shingle_set(b"a b c d e", 4)) == 2
     assert len(shingle_set(b"a a a a a a a", 4)) == 1 and len(shingle_set(b" \t", 4)) == 0
