@@ -25,6 +25,8 @@ from ledgerlens.llm.words import U64, map_arrow
 
 #: Verdict of urls that no rule fits: a block list passes what it doesn't list.
 DEFAULT_VERDICT = "allow"
+#: Equal rows that are written out from one array.
+HEAP = 4096
 
 
 def canonical(url: str | None) -> tuple[str, str]:
@@ -42,11 +44,16 @@ _UPPER = string.ascii_uppercase
 _LOWER = str.maketrans(_UPPER, _UPPER.lower())
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Canonical urls that could be listed and would fit, longest first."""
-    labels = host.split(".")
-    out = [".".join(labels[i:]) + path[:n] for i in range(len(labels)) for n in lengths if n <= len(path)]
-    return sorted(set(out), key=len, reverse=True) if host else []
+def candidates(host: str, path: str, lengths: list[tuple[int, int]]) -> list[str]:
+    """Canonical urls that could be listed and would fit, longest first.
+
+    ``lengths`` are the (host, path) lengths of listed rules: only a parent
+    domain of a listed length is built, so a host of any length costs a look at
+    as many places.
+    """
+    out = {host[len(host) - h:] + path[:p] for h, p in lengths
+           if h <= len(host) and p <= len(path) and (h == len(host) or host[-h - 1] == ".")}
+    return sorted(out, key=len, reverse=True)
 
 
 def rule_key(rule: str) -> int:
@@ -69,9 +76,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """
     listed = (rules.select(F.translate("host", _UPPER, _UPPER.lower()).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
               .where("host IS NOT NULL AND host != ''")
-              .groupBy(F.concat("host", "path").alias("rule"), F.length("path").alias("plen"))
+              .groupBy(F.concat("host", "path").alias("rule"), F.length("host").alias("hlen"), F.length("path").alias("plen"))
               .agg(F.min("verdict").alias("rule_verdict")))
-    lengths = sorted(r[0] for r in listed.select("plen").distinct().collect())  # path lengths: a few
+    lengths = sorted(map(tuple, listed.select("hlen", "plen").distinct().collect()))  # lengths, not rules: a few
     exact = listed.groupBy("rule").agg(F.min("rule_verdict").alias("rule_verdict"))
     sc = pages.sparkSession.sparkContext
     keys = map_arrow(exact.select("rule"), _keys, "key long")
@@ -108,10 +115,13 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         F.max(F.when(F.col("listed").isNotNull(), F.struct(F.length("listed").alias("n"), F.col("listed").alias("rule"),
                                                            F.col("rule_verdict").alias("verdict")))).alias("best"),
         F.count(F.when(F.coalesce("pos", F.lit(0)) == 0, 1)).alias("copies"))
-    return (best.select("id", "host", "path", F.col("best.rule").alias("rule"),
-                        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-                        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
-            .drop("copy"))
+    # equal rows are written out in two steps, so that no array is as long as
+    # their number
+    heaps = best.select("id", "host", "path", F.col("best.rule").alias("rule"),
+                        F.coalesce("best.verdict", F.lit(default)).alias("verdict"), "copies",
+                        F.explode(F.expr(f"sequence(0L, (copies - 1) div {HEAP})")).alias("heap"))
+    inside = F.least(F.lit(HEAP), F.col("copies") - F.col("heap") * HEAP).cast("int")
+    return heaps.withColumn("copy", F.explode(F.array_repeat(F.lit(0), inside))).drop("copies", "heap", "copy")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

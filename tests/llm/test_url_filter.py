@@ -1,11 +1,12 @@
 import random
+import time
 
 import numpy as np
 
 from ledgerlens.llm import url_filter as module
 from ledgerlens.llm.bloom import BlockedBloom, places
 from ledgerlens.llm.queries import URL_RULES
-from ledgerlens.llm.url_filter import canonical, url_filter
+from ledgerlens.llm.url_filter import candidates, canonical, url_filter
 from llm.conftest import lower_ascii
 
 URLS = [None, "", "no scheme", "http://", "https://WWW.Example.COM/en/x?q#f", "http://example.com/en/", "http://example.com",
@@ -64,6 +65,22 @@ def test_many_rules(spark, monkeypatch):
     assert run(spark, pages, rules) == want
 
 
+def test_a_very_long_host_is_linear():
+    """Only parent domains of a listed length are built."""
+    host = "a." * 2_500_000 + "example.com"
+    begun = time.perf_counter()
+    assert candidates(host, "/en/" + "x" * 1000, [(3, 1), (11, 4), (15, 4), (10, 1)]) == ["a.a.example.com/en/", "example.com/en/", "com/"]
+    assert time.perf_counter() - begun < 1 and candidates("", "/", [(3, 1)]) == []
+
+
+def test_hot_equal_rows(spark, monkeypatch):
+    """Equal rows come out as many as they are, from arrays of a bounded length."""
+    monkeypatch.setattr(module, "HEAP", 7)
+    pages = spark.createDataFrame([(None, "http://example.com/en/")] * 50 + [(None, None)] * 15 + [(1, None)], "page_id long, url string")
+    got = run(spark, pages, URL_RULES)
+    assert len(got) == 66 and got.count(("None", "example.com", "/en/", "'example.com/en/'", "block")) == 50
+
+
 def test_bloom_has_no_false_negatives():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 2**63, 5000, dtype=np.uint64)
