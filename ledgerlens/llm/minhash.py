@@ -98,24 +98,31 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 80, n: int
     sizes = cut(shingle_sizes(docs, k, id_col, text_col))
     named = sizes.where("n_shingles > 0 AND doc IS NOT NULL")
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = np.frombuffer(b"".join(batch.column("fingerprint").to_pylist()), np.uint32)
-            marks = marks.reshape(batch.num_rows, n // band, band).astype(U64)
-            key = np.zeros(marks.shape[:2], U64) + np.arange(n // band, dtype=U64)
-            for i in range(band):
-                key = mix64(key ^ marks[:, :, i])
-            doc = np.repeat(np.asarray(batch.column("doc")), n // band)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(doc)],
-                                             ["key", "doc"])
-    empty = bytes(np.full(n, _EMPTY).tobytes())
-    marked = fingerprints(docs.where(docs[id_col].isNotNull()), k, n, id_col, text_col).where(
-        F.col("fingerprint") != F.lit(empty))
-    # copies stay out of the bands (all but a few by a Bloom filter) and of the blocks
+    # copies get no signature (all but a few by a Bloom filter) and no place in a group
     firsts = cut(grouped.one_of_each(named))
-    keys = map_arrow(bloom.only_listed(marked, "doc", firsts, "doc"), bands, "key long, doc long")
+    listed = docs.sparkSession.sparkContext.broadcast(bloom.build(firsts, "doc", firsts.count()).words)
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = permutations(n)
+        first = bloom.BlockedBloom(listed.value)
+        for whole in batches:
+            for part in parts_of(whole, "text"):
+                batch = part.filter(pa.array(first.hits(part.column("doc").to_numpy().view(U64))))
+                marks = [signature(t, k, a, b) for t in utf8(batch, "text")]
+                held = [i for i, m in enumerate(marks) if (m != _EMPTY).any()]
+                if not held:
+                    continue
+                mark = np.array([marks[i] for i in held]).reshape(len(held), n // band, band).astype(U64)
+                key = np.zeros(mark.shape[:2], U64) + np.arange(n // band, dtype=U64)
+                for i in range(band):
+                    key = mix64(key ^ mark[:, :, i])
+                doc = np.repeat(np.asarray(batch.column("doc"))[held], n // band)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(doc)], ["key", "doc"])
+
+    texts = _texts(docs, id_col, text_col)
+    keys = map_arrow(texts.where("doc IS NOT NULL"), bands, "key long, doc long")
     members = cut(grouped.pivots(keys).join(firsts, "doc", "left_semi").select("pivot", "doc"))
-    links = grouped.verified_links(members, named, _texts(docs, id_col, text_col), k, percent)
+    links = grouped.verified_links(members, named, texts, k, percent)
     return class_components(sizes, connected_components(links))
 
 
