@@ -70,7 +70,7 @@ def q_latest_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = latest_rate(t["res_currency_rate"]).select(
         F.col("currency_id").alias("r_currency_id"), F.col("rate").alias("currency_rate"))
     mv = t["account_move"]
-    out = mv.join(rates, mv.currency_id == rates.r_currency_id, "left").select(
+    out = mv.join(F.broadcast(rates), mv.currency_id == rates.r_currency_id, "left").select(
         mv.id.alias("move_id"), mv.currency_id, "currency_rate")
     return portable(out)
 
@@ -81,7 +81,7 @@ def q_latest_rate_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = latest_rate_named(t["res_currency_rate"], t["res_currency"]).withColumnRenamed(
         "currency_id", "r_currency_id")
     so = t["sale_order"]
-    out = so.join(rates, so.currency_id == rates.r_currency_id, "left").select(
+    out = so.join(F.broadcast(rates), so.currency_id == rates.r_currency_id, "left").select(
         so.id.alias("order_id"), so.currency_id, "rate", "currency_name", "currency_symbol")
     return portable(out)
 
@@ -106,7 +106,7 @@ def q_round_by_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     ct = currency_table(spark, CURRENCY_TABLE_ROWS).select("company_id", "precision")
     signed = F.when(F.col("id") % 2 == 0, F.col("balance")).otherwise(-F.col("balance"))
     value = (signed * F.lit(Decimal("0.125")).cast(T.DecimalType(18, 6))).cast(T.DecimalType(18, 6))
-    out = (aml.join(ct, "company_id")
+    out = (aml.join(F.broadcast(ct), "company_id")  # a row per company
            .select("id", "company_id", "precision", value.alias("value"))
            .withColumn("rounded", round_by_precision(F.col("value"), F.col("precision"))))
     return portable(out)
