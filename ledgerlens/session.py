@@ -20,6 +20,13 @@ _DEFAULTS = {
     # out small at runtime.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A task of a shuffled join sorts both its sides, which take several times
+    # their shuffled size: Spark's 64 MB are most of a task's memory.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    # Accounts, journals, companies, currencies: a side of a few rows leaves most
+    # partitions empty, and Spark then keeps a sort of the other side, all its
+    # rows in as many tasks as there are keys, instead of a broadcast.
+    "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A join on order_id followed by a per-order aggregation reuses the join's
     # partitioning; without this AQE refuses to split a hot order there

@@ -26,3 +26,23 @@ def test_submitted_master_survives():
     env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--master local[2] pyspark-shell", "PYTHONPATH": ROOT}
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
     assert "MASTER local[2]" in out.stdout, out.stderr[-2000:]
+
+
+def test_a_side_of_few_rows_is_broadcast(spark):
+    """A key with few values: the other side's rows are not sorted in as many
+    tasks as there are keys (the small side leaves most partitions empty)."""
+    few = spark.createDataFrame([(1, "a"), (2, "b")], "k int, name string")  # of unknown size
+    many = spark.range(2000).selectExpr("id", "cast(id % 2 + 1 as int) AS k")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        out = many.join(few, "k")
+        assert len(out.collect()) == 2000
+        final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
+
+
+def test_partition_size_of_joins(spark):
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
