@@ -33,14 +33,18 @@ def test_a_side_of_few_rows_is_broadcast(spark):
     tasks as there are keys (the small side leaves most partitions empty)."""
     few = spark.createDataFrame([(1, "a"), (2, "b")], "k int, name string")  # of unknown size
     many = spark.range(2000).selectExpr("id", "cast(id % 2 + 1 as int) AS k")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
     try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
         out = many.join(few, "k")
         assert len(out.collect()) == 2000
         final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
 
 
