@@ -15,11 +15,12 @@ cut inside.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # One row in so many is counted to learn how many rows there are.
 COUNTED_SHARE = 64
@@ -118,20 +119,47 @@ def cut_points(df: DataFrame, keys: Sequence[SortKey], row_key: Column, most: in
     return [tuple(found[len(found) * i // ranges]) for i in range(1, ranges)] if found else []
 
 
-def range_of(keys: Sequence[SortKey], cuts: Sequence[CutPoint]) -> Column:
-    """Number of cut points that a row doesn't come before, by binary search."""
+# Types whose values compare inside a struct as they do alone.
+_PLAIN = (T.IntegralType, T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
+def range_of(keys: Sequence[SortKey], cuts: Sequence[CutPoint], kinds: Sequence[T.DataType] | None = None) -> Column:
+    """Number of cut points that a row doesn't come before, by binary search.
+
+    With ``kinds``, the keys' types, a row's keys are put into one struct that
+    sorts as the keys do, if their types allow it: one comparison a step.
+    """
     if not cuts:
         return F.lit(0)
     size = 1 << len(cuts).bit_length()  # cut points that are missing to a power of two: before none
-    table = F.array(*[F.struct(F.lit(c.length).alias("length"), *[F.lit(v).alias(f"c{i}") for i, v in enumerate(c.values)])
-                      for c in cuts])
     steps = F.lit([size >> (i + 1) for i in range(size.bit_length() - 1)])
 
-    def search(low: Column, step: Column) -> Column:
-        cut = F.get(table, low + step - 1)
-        return F.when(cut.isNull() | _before(keys, cut), low).otherwise(low + step)
-
-    return F.aggregate(steps, F.lit(0), search)
+    def search(table: Column, before: Callable[[Column], Column]) -> Column:
+        def step_up(low: Column, step: Column) -> Column:
+            cut = F.get(table, low + step - 1)
+            return F.when(cut.isNull() | before(cut), low).otherwise(low + step)
+        return F.aggregate(steps, F.lit(0), step_up)
+
+    if kinds is not None and all(isinstance(t, T.IntegralType if k.descending else _PLAIN) for k, t in zip(keys, kinds, strict=True)):
+        table = F.array(*[_sortable(keys, [F.lit(v).cast(t) for v, t in zip(c.values, kinds, strict=False)], kinds, c.length)
+                          for c in cuts])
+        own = _sortable(keys, [F.expr(k.expression) for k in keys], kinds, len(keys))
+        return F.get(F.transform(F.array(own), lambda row: search(table, lambda cut: row < cut)), F.lit(0))
+    table = F.array(*[F.struct(F.lit(c.length).alias("length"), *[F.lit(v).alias(f"c{i}") for i, v in enumerate(c.values)])
+                      for c in cuts])
+    return search(table, lambda cut: _before(keys, cut))
+
+
+def _sortable(keys: Sequence[SortKey], values: Sequence[Column], kinds: Sequence[T.DataType], length: int) -> Column:
+    """A struct whose own order (ascending, nulls first) is that of the first
+    ``length`` keys; the others are null, i.e. before all."""
+    fields = []
+    for i, (key, kind) in enumerate(zip(keys, kinds, strict=True)):
+        value = values[i] if i < length else F.lit(None).cast(kind)
+        if not key.nulls_first:
+            fields.append((value.isNull() if i < length else F.lit(None).cast("boolean")).alias(f"n{i}"))
+        fields.append((F.bitwise_not(value) if key.descending else value).alias(f"k{i}"))
+    return F.struct(*fields)
 
 
 def _before(keys: Sequence[SortKey], cut: Column) -> Column:

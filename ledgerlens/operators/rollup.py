@@ -140,7 +140,8 @@ def hierarchy(lines: DataFrame, rollup: Rollup, columns: Sequence[str] | None =
     most = ranges or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = align(cut_points(lines, keys, F.col(rollup.line_key), most), lengths)
     place = "__range"
-    rows = wide.withColumn(place, range_of(keys, cuts)).repartitionById(len(cuts) + 1, place)
+    sorted_by = [f.dataType for f in wide.select(*[F.expr(k.expression).alias(f"k{i}") for i, k in enumerate(keys)]).schema]
+    rows = wide.withColumn(place, range_of(keys, cuts, sorted_by)).repartitionById(len(cuts) + 1, place)
 
     values: list[dict[str, Column]] = []
     heads: list[Column] = []

@@ -107,6 +107,21 @@ def test_range_of_rows(spark):
     assert [r[0] for r in rows.select(range_of(keys, cuts)).collect()] == [0, 1, 1, 2, 2, 2, 3, 3]
 
 
+def test_range_of_rows_by_one_comparison(spark):
+    """With the keys' types, one struct comparison a step finds the same ranges:
+    nulls on either side, falling numbers, cut points of a group's start."""
+    for order in (("a DESC NULLS LAST", "s", "b DESC NULLS FIRST"), ("a", "s ASC NULLS LAST", "b DESC"), ("s DESC", "a", "b")):
+        keys = [SortKey.parse(k) for k in order]
+        values = [(a, s, b) for a in (1, 5, None) for s in ("", "\u00e9", "z", None) for b in (-(2**63), 7, None)]
+        rows = spark.createDataFrame(values, "a int, s string, b long")
+        kinds = [rows.schema[k.expression].dataType for k in keys]
+        ordered = [tuple(r[k.expression] for k in keys) for r in rows.orderBy(*[k.column for k in keys]).collect()]
+        cuts = align(ordered[2::3], (1, 2))
+        plain, typed = range_of(keys, cuts), range_of(keys, cuts, kinds)
+        found = rows.select(plain.alias("plain"), typed.alias("typed")).collect()
+        assert [r["typed"] for r in found] == [r["plain"] for r in found] and len({r["typed"] for r in found}) > 3
+
+
 @needs_data
 def test_three_declared_levels_equal_sql(spark, monkeypatch):
     monkeypatch.setattr(ranges, "RANGE_ROWS", 300)
