@@ -7,7 +7,7 @@ a display value computed from two aggregated numbers).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from decimal import Decimal
 from functools import reduce
 
@@ -23,14 +23,15 @@ WORK = T.DecimalType(28, 6)
 PRECISIONS = range(0, 13)
 ROUNDED = T.DecimalType(38, 12)
 # Whole-number arithmetic: a decimal of whole numbers, the integer digits that
-# amounts and rates may have, a size that a bigint surely holds (tested in
-# floating point), and the limb a factor is split by.
+# amounts and rates may have, sizes that a bigint and a whole number surely hold
+# (tested in floating point), and the zeros that a bigint can end with.
 _WHOLE = T.DecimalType(38, 0)
 _AMOUNT_DIGITS, _RATE_DIGITS = 18, 12
-_LONG_SIZE = 4e18
-_LIMB = 10**6
-# Decimals that a number may be cut to where its other digits are zeros.
-_KEPT = (0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15)
+_LONG_SIZE, _WHOLE_SIZE = 4e18, 1e37
+_LONG_DIGITS = 18
+# A type with more decimals than the first is read at the second, where a number
+# has no more.
+_MANY, _FEW = 10, 6
 
 
 def _unsupported(precision: Column) -> Column:
@@ -96,11 +97,6 @@ def _long_powers(exponent: Column) -> Column:
     return F.get(_table(f"{10**i}L" for i in range(19)), F.greatest(exponent, F.lit(0)))
 
 
-def _sizes(exponent: Column) -> Column:
-    """10 to a power from the data, 0 to 40, in floating point."""
-    return F.get(_table(f"1e{i}D" for i in range(41)), F.greatest(exponent, F.lit(0)))
-
-
 def _div(number: Column, by: Column) -> Column:
     """Whole quotient of two bigints, by cutting off the remainder."""
     return F.call_function("div", number, by)
@@ -133,12 +129,11 @@ def _digits_of(value: Column, digits: int, scale: int) -> tuple[Column, Column]:
     return number, decimals
 
 
-def _zeros(number: str, decimals: str, scale: int) -> Column:
-    """Decimals at the end of a bigint column that are zeros and can be cut off."""
-    powers = f"array({', '.join(f'{10**i}L' for i in range(19))})"
-    cases = [f"WHEN `{decimals}` > {kept} AND `{number}` % get({powers}, `{decimals}` - {kept}) = 0 THEN `{decimals}` - {kept}"
-             for kept in _KEPT if kept < scale]
-    return F.expr(f"CASE {' '.join(cases)} ELSE 0 END") if cases else F.lit(0)
+def _zeros(number: Column, decimals: Column) -> Column:
+    """Decimals at the end of a bigint that are zeros and can be cut off."""
+    digits = number.cast("string")
+    zeros = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
+    return F.least(decimals, F.when(number == 0, F.lit(_LONG_DIGITS)).otherwise(zeros))
 
 
 def _rest(number: Column, by: Column) -> Column:
@@ -162,12 +157,12 @@ def with_converted(df: DataFrame, name: str, amount_currency: Column, rate: Colu
 
     Everything is counted in whole numbers: with amounts A, S of ``m``
     decimals, a rate R of ``i`` and a factor K of ``j``, the value is
-    (A * 10^i - S * R) * K / (R * 10^(m + j)), divided step by step with
-    remainders.  Zeros at the end of a number are cut off first, so the sizes
-    follow the data, not the types.  Where a row's numbers fit, the steps run
-    on bigints, with the factor in two limbs; the sizes are tested beforehand,
-    and only the other rows take the same steps on 38-digit decimals.  Each
-    step is a column of its own, computed once per row.
+    (A * 10^i - S * R) * K / (R * 10^(m + j)).  Where both sides of the
+    fraction fit 38 digits and the result a bigint, which is tested beforehand
+    in floating point, one whole division rounds it.  The other rows go step
+    by step with remainders (:func:`_stepwise_size`).  That is a function of one
+    struct, so its code is not part of the generated method that runs all
+    rows: a method of more than 8,000 bytes is never compiled by the JVM.
 
     The result has type :data:`ROUNDED`; null where an input is null, an error
     where a number doesn't fit 38 digits or for a precision outside
@@ -188,90 +183,132 @@ def with_converted(df: DataFrame, name: str, amount_currency: Column, rate: Colu
              "s": (settled, scale_of(df, settled), _AMOUNT_DIGITS),
              "r": (F.when(usable, rate).otherwise(F.lit(1)), scale_of(df, rate), _RATE_DIGITS),
              "k": (factor, scale_of(df, factor), _RATE_DIGITS)}
-    out = put(df, **{f"{x}v": v.cast(T.DecimalType(digits + scale, scale)) for x, (v, scale, digits) in given.items()})
-    whole = {x: _digits_of(c(f"{x}v"), digits, scale) for x, (_, scale, digits) in given.items()}
-    out = put(out, **{f"{x}w": w for x, (w, _) in whole.items()}, **{f"{x}t": t for x, (_, t) in whole.items()})
-    out = put(out, **{f"{x}u": c(f"{x}w").try_cast("bigint") for x in given})
-    out = put(out, **{f"{x}z": F.coalesce(_zeros(f"__{name}_{x}u", f"__{name}_{x}t", given[x][1]), F.lit(0)) for x in given})
-    # bigint and decimals of each number without its zeros
-    out = put(out, **{f"{x}l": _div(c(f"{x}u"), _long_powers(c(f"{x}z"))) for x in given},
-              **{f"{x}d": c(f"{x}t") - c(f"{x}z") for x in given})
-    out = put(out, m=F.greatest(c("ad"), c("sd")))
-    out = put(out, up_a=c("m") - c("ad") + c("rd"), up_s=c("m") - c("sd"), places=c("m") + c("kd"))
-    out = put(out, more=F.greatest(precision - c("places"), F.lit(0)), less=F.greatest(c("places") - precision, F.lit(0)))
-    out = _bigint_steps(out, put, c)
-    out = _decimal_steps(out, put, c, precision)
-    out = put(out, neg=F.when(c("fast"), (c("n1") < 0) != (c("kl") < 0)).otherwise((c("w_signed") < 0) != (c("kw") < 0)))
+    out = put(df, **{x: v.cast(T.DecimalType(digits + scale, scale)) for x, (v, scale, digits) in given.items()})
+    sizes = {x: (scale, digits) for x, (_, scale, digits) in given.items()}
+    fits, top, bottom = _fraction(c, sizes, precision)
+    out = put(out, fits=fits)
+    out = put(out, top=F.when(c("fits"), top), bottom=F.when(c("fits"), bottom))
+    half = F.when(c("top") < 0, -c("bottom")).otherwise(c("bottom"))
+    units = _div((c("top") + c("top") + half).cast(_WHOLE), (c("bottom") + c("bottom")).cast(_WHOLE))
     unit = F.get(_table(f"CAST({Decimal(1).scaleb(-i):f}BD AS DECIMAL(13, 12))" for i in PRECISIONS), precision)
-    size = F.when(c("fast"), (c("u").cast(T.DecimalType(19, 0)) * unit).cast(ROUNDED)).otherwise(c("w_value"))
-    out = put(out, size=F.when(precision.between(min(PRECISIONS), max(PRECISIONS)), size))
-    given_all = reduce(Column.__and__, [c(f"{x}v").isNotNull() for x in given])
+    size = _stepwise_size(F.struct(*[c(x).alias(x) for x in given], precision.alias("p")), sizes)
     lost = F.raise_error(F.lit("converted amount: a number has more than 38 digits")).cast(ROUNDED)
+    given_all = reduce(Column.__and__, [c(x).isNotNull() for x in given])
     value = (F.when(precision.isNull() | ~given_all, F.lit(None).cast(ROUNDED))
              .when(~precision.between(min(PRECISIONS), max(PRECISIONS)), _unsupported(precision).cast(ROUNDED))
-             .when(c("size").isNull(), lost).when(c("neg"), -c("size")).otherwise(c("size")))
+             .when(c("fits"), (units.cast(T.DecimalType(19, 0)) * unit).cast(ROUNDED))
+             .otherwise(F.coalesce(size, lost)))
     return out.withColumn(name, value.cast(ROUNDED)).drop(*made)
 
 
-def _bigint_steps(out: DataFrame, put, c) -> DataFrame:
-    """``fast``: the row's numbers fit bigints all the way; ``u``: then, the
-    size of the result in units of its last digit."""
-    rate, factor = c("rl").cast("double"), F.abs(c("kl").cast("double"))
-    top = (F.abs(c("al").cast("double")) * _sizes(c("up_a"))
-           + F.abs(c("sl").cast("double")) * _sizes(c("up_s")) * rate)
-    result = (top / rate + 2) * (factor + 1)
-    fits = ((top < _LONG_SIZE) & (result * _sizes(c("more")) < _LONG_SIZE) & (rate * (factor / _LIMB + 2) < _LONG_SIZE)
-            & (rate * _LIMB < _LONG_SIZE) & (rate * _sizes(c("more")) < _LONG_SIZE)
-            & (F.greatest(c("up_a"), c("up_s"), c("less"), c("more")) <= 18))
-    out = put(out, fast=F.coalesce(fits, F.lit(False)))
-    n1 = c("al") * _long_powers(c("up_a")) - c("sl") * _long_powers(c("up_s")) * c("rl")
-    out = put(out, n1=F.when(c("fast"), n1))
-    out = put(out, n=F.abs(c("n1")), k=F.abs(c("kl")))
-    out = put(out, q=_div(c("n"), c("rl")), rest=c("n") % c("rl"), k_high=_div(c("k"), F.lit(_LIMB)), k_low=c("k") % _LIMB)
-    high = c("rest") * c("k_high")  # the remainder times the factor, limb by limb
-    out = put(out, high_q=_div(high, c("rl")), low=(high % c("rl")) * _LIMB + c("rest") * c("k_low"))
-    out = put(out, all=c("q") * c("k") + c("high_q") * _LIMB + _div(c("low"), c("rl")), part=c("low") % c("rl"))
-    unit = _long_powers(c("less"))
-    out = put(out, units=F.when(c("less") > 0, _div(c("all"), unit)).otherwise(
-                  c("all") * _long_powers(c("more")) + _div(c("part") * _long_powers(c("more")), c("rl"))),
-              over=F.when(c("less") > 0, c("all") % unit).otherwise((c("part") * _long_powers(c("more"))) % c("rl")),
-              by=F.when(c("less") > 0, unit).otherwise(c("rl")))
-    return put(out, u=c("units") + F.when(c("over") >= c("by") - c("over"), F.lit(1)).otherwise(F.lit(0)))
-
-
-def _decimal_steps(out: DataFrame, put, c, precision: Column) -> DataFrame:
-    """``w_value``: the size of the result of the other rows, on decimals."""
-    wide = ~c("fast")
+def _fraction(c, sizes: dict[str, tuple[int, int]], precision: Column) -> tuple[Column, Column, Column]:
+    """``fits``: whether a row can do with one division; then, the numerator
+    and denominator of the result in units of its last digit.
+
+    Of a type with many decimals only ``_FEW`` are taken here; a number with
+    more doesn't fit.
+    """
+    few = {x: scale if scale <= _MANY else _FEW for x, (scale, _) in sizes.items()}
+    m = max(few["a"], few["s"])
+    places = m + few["k"]
+    more, less = [max(p - places, 0) for p in PRECISIONS], [max(places - p, 0) for p in PRECISIONS]
 
     def number(x: str) -> Column:
-        return F.when(wide, F.when(c(f"{x}u").isNull(), c(f"{x}w")).otherwise(c(f"{x}l").cast(_WHOLE)))
-
-    out = put(out, w_a=number("a"), w_s=number("s"), w_r=number("r"), w_k=F.abs(number("k")))
-    signed = (c("w_a") * _powers(c("up_a"))).cast(_WHOLE) - ((c("w_s") * _powers(c("up_s"))).cast(_WHOLE) * c("w_r")).cast(_WHOLE)
-    out = put(out, w_signed=signed.cast(_WHOLE))
-    out = put(out, w_rest=_rest(F.abs(c("w_signed")), c("w_r")))
-    out = put(out, w_prod=(c("w_rest") * c("w_k")).cast(_WHOLE))
-    out = put(out, w_low=_rest(c("w_prod"), c("w_r")))
-    out = put(out, w_n=((_quotient(F.abs(c("w_signed")), c("w_rest"), c("w_r")) * c("w_k")).cast(_WHOLE)
-                        + _quotient(c("w_prod"), c("w_low"), c("w_r"))).cast(_WHOLE))
-    # fewer decimals than the numbers have: n over a power of ten (what is
-    # below a multiple can't tip an even power); else more digits of low / R
-    fine = c("less") == 0
-    more = _powers(c("more"))
-    out = put(out, w_num=F.when(fine, (c("w_low") * more).cast(_WHOLE)).otherwise(c("w_n")),
-              w_by=F.when(wide, F.when(fine, c("w_r")).otherwise(_powers(c("less")))))
-    out = put(out, w_over=_rest(c("w_num"), c("w_by")))
-    units = _quotient(c("w_num"), c("w_over"), c("w_by"))
-    up = F.when(c("w_over") >= (c("w_by") - c("w_over")), F.lit(1)).otherwise(F.lit(0))
-    out = put(out, w_units=(F.when(fine, (c("w_n") * more).cast(_WHOLE) + units).otherwise(units) + up).cast(_WHOLE))
-    unit = F.when(wide, _powers(precision))
-    out = put(out, w_frac=_rest(c("w_units"), unit))
+        digits = sizes[x][1]
+        return _whole(c(x).cast(T.DecimalType(digits + few[x], few[x])), digits, few[x])
+
+    def by_precision(powers: list[int]) -> Column:
+        return F.get(_table(f"CAST({10**i}BD AS DECIMAL(38, 0))" for i in powers), precision)
+
+    def size(x: str) -> Column:
+        return F.abs(c(x).cast("double"))
+
+    def sizes_of(powers: list[int]) -> Column:
+        return F.get(_table(f"1e{i}D" for i in powers), precision)
+
+    top_size = (size("a") + size("s") * size("r")) * float(10**(m + few["r"]))
+    fits = ((top_size * (size("k") * float(10**few["k"]) + 1) * sizes_of(more) < _WHOLE_SIZE)
+            & (size("r") * float(10**few["r"]) * sizes_of(less) < _WHOLE_SIZE)
+            & ((size("a") / size("r") + size("s")) * size("k") * sizes_of(list(PRECISIONS)) < _LONG_SIZE))
+    for x, (scale, _) in sizes.items():
+        if few[x] < scale:
+            fits = fits & (F.round(c(x), few[x]) == c(x))
+
+    amount = (number("a") * _power(m - few["a"] + few["r"])).cast(_WHOLE)
+    paid = ((number("s") * _power(m - few["s"])).cast(_WHOLE) * number("r")).cast(_WHOLE)
+    top = (((amount - paid).cast(_WHOLE) * number("k")).cast(_WHOLE) * by_precision(more)).cast(_WHOLE)
+    return F.coalesce(fits, F.lit(False)), top, (number("r") * by_precision(less)).cast(_WHOLE)
+
+
+def _stepwise(start: Column, steps: Iterable[Callable[[Column], dict[str, Column]]]) -> Column:
+    """A struct with the fields that steps add to it, each from those before,
+    computed once a step."""
+    def add(step: Callable[[Column], dict[str, Column]]) -> Callable[[Column], Column]:
+        def run(row: Column) -> Column:
+            new = step(row)
+            return reduce(lambda r, field: r.withField(field, new[field]), new, row)
+        return run
+
+    state = F.array(start)
+    for step in steps:
+        state = F.transform(state, add(step))
+    return F.get(state, F.lit(0))
+
+
+def _stepwise_size(start: Column, sizes: dict[str, tuple[int, int]]) -> Column:
+    """The converted amount of numbers of any size that 38 digits hold, null
+    beyond: divided step by step with remainders, after the zeros at the end of
+    each number are cut off, so the sizes follow the data, not the types."""
     most = max(PRECISIONS)
     part = T.DecimalType(37, most)
-    fraction = (c("w_frac").cast(T.DecimalType(most, 0)) * _powers(F.lit(most) - precision).cast(
-        T.DecimalType(most + 1, 0))).cast(T.DecimalType(most, 0))
-    return put(out, w_value=(_quotient(c("w_units"), c("w_frac"), unit).cast(part)
-                             + (fraction * F.lit(Decimal(1).scaleb(-most))).cast(part)).cast(ROUNDED))
+
+    def digits(r: Column) -> dict[str, Column]:
+        found = {x: _digits_of(r[x], whole, scale) for x, (scale, whole) in sizes.items()}
+        return {**{f"{x}w": w for x, (w, _) in found.items()}, **{f"{x}t": t for x, (_, t) in found.items()}}
+
+    def signed(r: Column) -> Column:
+        paid = ((r["sn"] * _powers(r["up_s"])).cast(_WHOLE) * r["rn"]).cast(_WHOLE)
+        return ((r["an"] * _powers(r["up_a"])).cast(_WHOLE) - paid).cast(_WHOLE)
+
+    def units(r: Column) -> Column:
+        whole = _quotient(r["num"], r["over"], r["by"])
+        up = F.when(r["over"] >= (r["by"] - r["over"]), F.lit(1)).otherwise(F.lit(0))
+        exact = (r["n"] * _powers(r["more"])).cast(_WHOLE)
+        return (F.when(r["less"] == 0, exact + whole).otherwise(whole) + up).cast(_WHOLE)
+
+    def value(r: Column) -> Column:
+        fraction = (r["frac"].cast(T.DecimalType(most, 0)) * _powers(F.lit(most) - r["p"]).cast(
+            T.DecimalType(most + 1, 0))).cast(T.DecimalType(most, 0))
+        size = (_quotient(r["units"], r["frac"], r["unit"]).cast(part)
+                + (fraction * F.lit(Decimal(1).scaleb(-most))).cast(part)).cast(ROUNDED)
+        return F.when((r["signed"] < 0) != (r["kn"] < 0), -size).otherwise(size)
+
+    end = _stepwise(start, [
+        digits,
+        lambda r: {f"{x}u": r[f"{x}w"].try_cast("bigint") for x in sizes},
+        lambda r: {f"{x}z": F.coalesce(_zeros(r[f"{x}u"], r[f"{x}t"]), F.lit(0)) for x in sizes},
+        # each number without its zeros, and its decimals
+        lambda r: {**{f"{x}n": F.coalesce(_div(r[f"{x}u"], _long_powers(r[f"{x}z"])).cast(_WHOLE), r[f"{x}w"]) for x in sizes},
+                   **{f"{x}d": r[f"{x}t"] - r[f"{x}z"] for x in sizes}},
+        lambda r: {"m": F.greatest(r["ad"], r["sd"])},
+        lambda r: {"up_a": r["m"] - r["ad"] + r["rd"], "up_s": r["m"] - r["sd"], "places": r["m"] + r["kd"]},
+        lambda r: {"more": F.greatest(r["p"] - r["places"], F.lit(0)), "less": F.greatest(r["places"] - r["p"], F.lit(0)),
+                   "signed": signed(r)},
+        lambda r: {"rest": _rest(F.abs(r["signed"]), r["rn"])},
+        lambda r: {"prod": (r["rest"] * F.abs(r["kn"])).cast(_WHOLE)},
+        lambda r: {"low": _rest(r["prod"], r["rn"])},
+        lambda r: {"n": ((_quotient(F.abs(r["signed"]), r["rest"], r["rn"]) * F.abs(r["kn"])).cast(_WHOLE)
+                         + _quotient(r["prod"], r["low"], r["rn"])).cast(_WHOLE)},
+        # fewer decimals than the numbers have: n over a power of ten (what is
+        # below a multiple can't tip an even power); else more digits of low / R
+        lambda r: {"num": F.when(r["less"] == 0, (r["low"] * _powers(r["more"])).cast(_WHOLE)).otherwise(r["n"]),
+                   "by": F.when(r["less"] == 0, r["rn"]).otherwise(_powers(r["less"]))},
+        lambda r: {"over": _rest(r["num"], r["by"])},
+        lambda r: {"units": units(r), "unit": _powers(r["p"])},
+        lambda r: {"frac": _rest(r["units"], r["unit"])},
+        lambda r: {"value": value(r)},
+    ])
+    return end["value"]
 
 
 def ratio_or_one(numerator: Column, rate: Column) -> Column:

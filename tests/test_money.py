@@ -1,5 +1,6 @@
 """Rounding to a precision taken from the data, against Python's decimal."""
 
+import re
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 from fractions import Fraction
 
@@ -132,3 +133,38 @@ def test_numbers_that_do_not_fit_are_an_error(spark):
             spark.conf.unset("spark.sql.ansi.enabled")
     with pytest.raises(TypeError):
         with_converted(df.withColumn("r", F.lit(0.5)), "v", *[F.col(c) for c in "arbsfp"])
+
+
+# The JVM never compiles a longer method: all rows are interpreted.
+LONGEST_METHOD = 8_000
+
+
+def longest_method(df, capsys) -> int:
+    """Bytes of the longest method that Spark generates for a plan."""
+    df.explain("codegen")
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)))
+
+
+def test_generated_code_of_the_conversion_can_be_compiled(spark, capsys):
+    df = spark.range(10).selectExpr(
+        "cast(id as decimal(18,2)) as a", "cast(id as decimal(18,6)) as r", "cast(id as decimal(18,2)) as b",
+        "cast(id as decimal(38,2)) as s", "cast(1 as decimal(18,6)) as f", "cast(id % 4 as int) as p")
+    out = with_converted(df, "v", *[F.col(c) for c in "arbsfp"])
+    assert longest_method(out, capsys) <= LONGEST_METHOD
+    assert out.count() == 10
+
+
+def test_numbers_at_the_edge_of_one_division(spark):
+    """Results beyond a bigint, fractions beyond 38 digits and numbers with more
+    decimals than are read at first take the steps; the sign and ties hold."""
+    rows = [("100000", "0.0000004", "0", "0", "1234.5", 11), ("-100000", "0.0000004", "0", "0", "1234.5", 11),
+            ("-100000", "0.0000004", "0", "0", "-1234.5", 11), ("922337203685.47", "1", "0", "0", "10", 6),
+            ("-922337203685.47", "1", "0", "0", "10", 6), ("0.1234567891234", "1", "0", "0", "1", 12),
+            ("-0.0000005", "1", "0", "0", "1", 6), ("0", "1", "0", "0.0000005", "1", 6),
+            ("0.0000004999999", "1", "0", "0", "1", 6), ("0", None, "0", "0", "0", 0), ("5", None, "5", "5.5", "-1", 0)]
+    rows = [tuple(Decimal(x) if isinstance(x, str) else x for x in r) for r in rows]
+    df = spark.createDataFrame(rows, "a decimal(36,18), r decimal(24,12), b decimal(36,18), s decimal(36,18), f decimal(24,12), p int")
+    got = [r.v for r in with_converted(df, "v", *[F.col(c) for c in "arbsfp"]).collect()]
+    with localcontext() as context:
+        context.prec = 60
+        assert got == [exact(*r) for r in rows]
