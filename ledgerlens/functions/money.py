@@ -58,6 +58,15 @@ def round_by_precision(value: Column, precision: Column,
             .otherwise(_unsupported(precision).cast(ROUNDED)))
 
 
+def rounds_to_nonzero(value: Column, precision: Column) -> Column:
+    """``round_by_precision(value, precision) != 0`` as one comparison with half
+    a unit of the last digit; null and an error as there."""
+    half = F.get(_table(f"CAST({Decimal(5).scaleb(-p - 1):f}BD AS DECIMAL(14, 13))" for p in PRECISIONS), precision)
+    return (F.when(precision.isNull(), F.lit(None).cast("boolean"))
+            .when(~precision.between(min(PRECISIONS), max(PRECISIONS)), _unsupported(precision).cast("boolean"))
+            .otherwise(F.abs(value) >= half))
+
+
 def converted_amount(amount_currency: Column, rate: Column, fallback: Column) -> Column:
     """``amount_currency / rate`` when the rate is positive, else ``fallback``.
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.money import (
-    ROUNDED, ratio_or_one, round_by_precision, scale_of, with_converted,
+    ROUNDED, ratio_or_one, rounds_to_nonzero, scale_of, with_converted,
 )
 from ledgerlens.functions.text import DEFAULT_TRUST, account_label
 from ledgerlens.operators.checks import assert_unique
@@ -121,8 +121,7 @@ def aged_lines(tables: Mapping[str, DataFrame], date_to: dt.date | str,
     scale = max(scale_of(lines, F.col("balance")), scale_of(lines, debit))
     kept = T.DecimalType(36, scale)
     paid = (debit.cast(kept) - credit.cast(kept)).cast(kept)
-    lines = lines.filter(
-        round_by_precision((F.col("balance").cast(kept) - paid).cast(kept), F.col("__precision")) != 0)
+    lines = lines.filter(rounds_to_nonzero((F.col("balance").cast(kept) - paid).cast(kept), F.col("__precision")))
 
     # document header, its source order and the latest rate of its currency
     lines = lines.join(_move_headers(tables), F.col("move_id") == F.col("__mv_id"))

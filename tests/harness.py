@@ -3,7 +3,10 @@ check: row count, column names, order-insensitive values)."""
 
 from __future__ import annotations
 
+import contextlib
+import io
 import math
+import re
 
 import duckdb
 
@@ -56,3 +59,21 @@ def compare(spark_df, con, sql: str) -> dict:
         res["only_oracle"] = sorted(sb - sa, key=str)[:3]
         res["sorted_cols"] = sorted(s_cols)
     return res
+
+
+# The JVM never compiles a longer method: all rows are interpreted.
+LONGEST_METHOD = 8_000
+
+
+def longest_method(df) -> int:
+    """Bytes of the longest method that Spark generates for a plan (built
+    without adaptive execution, which shows its code only as it runs)."""
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    before, text = spark.conf.get(key), io.StringIO()
+    spark.conf.set(key, "false")
+    try:
+        with contextlib.redirect_stdout(text):
+            df.select("*").explain("codegen")
+    finally:
+        spark.conf.set(key, before)
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())))

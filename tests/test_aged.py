@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.plans.aged import aged_by_partner, aged_lines, aged_report
 from ledgerlens.sources.fixtures import ACCOUNT_ROWS, CURRENCY_ROWS, JOURNAL_ROWS
 from ledgerlens.sources.inline import PERIOD_TABLE_SCHEMA, period_rows
+from harness import LONGEST_METHOD, longest_method
 from micro import day, line, move, partial, rate, tables, trust
 
 D = dt.date(2000, 1, 31)
@@ -275,3 +276,9 @@ def test_money_of_three_decimals(spark):
     assert rate is None or rate == 1 or rate > 0
     if rate in (None, 1):
         assert str(base_amount) == "1.235000100000"
+
+
+def test_generated_code_of_the_lines_can_be_compiled(spark):
+    t = base(spark, [line(1), line(2, account_id=3)])
+    for kind in ("receivable", "payable"):
+        assert longest_method(aged_lines(t, D, kind, CT)) <= LONGEST_METHOD

@@ -1,6 +1,5 @@
 """Rounding to a precision taken from the data, against Python's decimal."""
 
-import re
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 from fractions import Fraction
 
@@ -10,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.money import ROUNDED, ratio_or_one, round_by_precision, with_converted
+from ledgerlens.functions.money import ROUNDED, ratio_or_one, round_by_precision, rounds_to_nonzero, with_converted
+from harness import LONGEST_METHOD, longest_method
 
 values = st.integers(-10**13, 10**13).map(lambda n: Decimal(n).scaleb(-8))
 cases = st.lists(st.tuples(values, st.integers(0, 12)), min_size=1, max_size=40)
@@ -26,6 +26,19 @@ def test_round_by_precision_matches_half_away_from_zero(spark, rows):
     assert df.select(round_by_precision(F.col("v"), F.col("p")).alias("r")).schema[0].dataType == ROUNDED
 
 
+def test_rounds_to_nonzero_is_rounding_compared_with_zero(spark):
+    halves = [Decimal(n).scaleb(-d) for d in range(0, 15) for n in (-51, -50, -49, -5, -4, 0, 4, 5, 49, 50, 51)]
+    rows = [(v, p) for v in [*halves, None] for p in [*range(0, 13), None]]
+    df = spark.createDataFrame(rows, "v decimal(36,14), p int")
+    both = df.select("v", "p", rounds_to_nonzero(F.col("v"), F.col("p")).alias("one"),
+                     (round_by_precision(F.col("v"), F.col("p")) != 0).alias("two")).collect()
+    assert [r.one for r in both] == [r.two for r in both] and {r.one for r in both} == {True, False, None}
+    with pytest.raises(PySparkException):
+        df.select(rounds_to_nonzero(F.col("v"), F.lit(13))).collect()
+    with pytest.raises(PySparkException):
+        df.select(rounds_to_nonzero(F.col("v"), F.lit(-1))).collect()
+
+
 def test_round_by_precision_null_and_unsupported(spark):
     df = spark.createDataFrame([(Decimal("1.25"), None)], "v decimal(10,2), p int")
     assert df.select(round_by_precision(F.col("v"), F.col("p"))).first()[0] is None
@@ -135,22 +148,12 @@ def test_numbers_that_do_not_fit_are_an_error(spark):
         with_converted(df.withColumn("r", F.lit(0.5)), "v", *[F.col(c) for c in "arbsfp"])
 
 
-# The JVM never compiles a longer method: all rows are interpreted.
-LONGEST_METHOD = 8_000
-
-
-def longest_method(df, capsys) -> int:
-    """Bytes of the longest method that Spark generates for a plan."""
-    df.explain("codegen")
-    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)))
-
-
-def test_generated_code_of_the_conversion_can_be_compiled(spark, capsys):
+def test_generated_code_of_the_conversion_can_be_compiled(spark):
     df = spark.range(10).selectExpr(
         "cast(id as decimal(18,2)) as a", "cast(id as decimal(18,6)) as r", "cast(id as decimal(18,2)) as b",
         "cast(id as decimal(38,2)) as s", "cast(1 as decimal(18,6)) as f", "cast(id % 4 as int) as p")
     out = with_converted(df, "v", *[F.col(c) for c in "arbsfp"])
-    assert longest_method(out, capsys) <= LONGEST_METHOD
+    assert longest_method(out) <= LONGEST_METHOD
     assert out.count() == 10
 
 
